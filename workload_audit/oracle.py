@@ -573,3 +573,182 @@ CHECK_SQL = {
 def check_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
     cfg = cfg or fixture_config()
     return {k: f(cfg) for k, f in CHECK_SQL.items()}
+
+
+# ---------------------------------------------------------------------------
+# Stand-alone operator queries
+# ---------------------------------------------------------------------------
+
+
+def op_anti_join(cfg: AuditConfig) -> str:
+    n = cfg.lookback_days
+    cur = f"cur AS (SELECT normalized_query_hash, count(*) AS executions FROM query_log WHERE {base_where(cfg, n)} AND query_kind <> 'Insert' GROUP BY 1)"
+    bl = f"bl AS (SELECT normalized_query_hash FROM query_log WHERE {base_where(cfg, 4 * n, n)} AND query_kind <> 'Insert')"
+    return with_(cur, bl) + "SELECT * FROM cur WHERE normalized_query_hash NOT IN (SELECT normalized_query_hash FROM bl)"
+
+
+def op_quantile_exact(cfg: AuditConfig) -> str:
+    return with_() + (
+        f'SELECT database, "table", count(*) AS merges, {exact_quantile("duration_ms", 0.5)} AS p50_ms, '
+        f'{exact_quantile("duration_ms", 0.9)} AS p90_ms, {exact_quantile("duration_ms", 1.0)} AS max_ms '
+        f"FROM part_log WHERE event_type = {q(P.MERGE_PARTS)} GROUP BY database, \"table\""
+    )
+
+
+def cont_quantile(x: str, p: float) -> str:
+    """Linear interpolation between the sorted elements at ranks floor/ceil
+    of p * (n - 1), spelled out (DuckDB's own quantile_cont can differ in
+    the last bit of the interpolation)."""
+    pos = f"(({float(p)!r})::DOUBLE * (count(*) - 1))"
+    lo = f"CAST(list_sort(list({x}))[CAST(floor({pos}) AS BIGINT) + 1] AS DOUBLE)"
+    hi = f"CAST(list_sort(list({x}))[CAST(ceil({pos}) AS BIGINT) + 1] AS DOUBLE)"
+    return f"({lo} + ({hi} - {lo}) * ({pos} - floor({pos})))"
+
+
+def op_quantile_cont(cfg: AuditConfig) -> str:
+    return with_() + (
+        f"SELECT normalized_query_hash, {cont_quantile('query_duration_ms', 0.5)} AS p50, "
+        f"{cont_quantile('query_duration_ms', 0.95)} AS p95, {cont_quantile('query_duration_ms', 0.99)} AS p99 "
+        "FROM query_log GROUP BY 1"
+    )
+
+
+def op_primary_user(cfg: AuditConfig) -> str:
+    return with_(primary_user_cte("pu", "query_log")) + (
+        "SELECT normalized_query_hash, pu.primary_user, count(*) AS executions, min(query) AS query_text "
+        "FROM query_log JOIN pu ON pu.h = normalized_query_hash GROUP BY normalized_query_hash, pu.primary_user"
+    )
+
+
+def op_interval_mean(cfg: AuditConfig) -> str:
+    return with_() + (
+        'SELECT database, "table", count(*) AS parts, CASE WHEN count(*) > 1 THEN '
+        "CAST(date_diff('second', min(event_time), max(event_time)) AS DOUBLE) / (count(*) - 1) END AS avg_interval_sec "
+        f"FROM part_log WHERE event_type = {q(P.NEW_PART)} GROUP BY database, \"table\""
+    )
+
+
+def op_part_dedup(cfg: AuditConfig) -> str:
+    d = (
+        'd AS (SELECT database, "table", partition_id, part_name, min(event_time) AS event_time, max("rows") AS "rows", '
+        f"count(*) AS copies FROM part_log WHERE event_type = {q(P.NEW_PART)} GROUP BY ALL)"
+    )
+    return with_(d) + (
+        'SELECT database, "table", count(*) AS parts, CAST(sum(copies) AS BIGINT) AS logged, '
+        'CAST(sum("rows") AS BIGINT) AS "rows", min(event_time) AS first_part FROM d GROUP BY database, "table"'
+    )
+
+
+def op_share_of_total(cfg: AuditConfig) -> str:
+    pct = rnd("100.0::DOUBLE * executions / NULLIF(CAST(sum(executions) OVER () AS DOUBLE), 0)", 2)
+    per = "per AS (SELECT query_kind, count(*) AS executions FROM query_log GROUP BY 1)"
+    return with_(per) + (
+        f"SELECT query_kind, executions, {pct} AS pct, {bar('executions', '0', 'max(executions) OVER ()', 30)} AS bar_chart FROM per"
+    )
+
+
+def op_readable_size(cfg: AuditConfig) -> str:
+    per = (
+        "per AS (SELECT normalized_query_hash, sum(read_bytes) AS s, count(*) AS n, max(memory_usage) AS m, "
+        "min(read_bytes) AS lo FROM query_log GROUP BY 1)"
+    )
+    return with_(per) + (
+        f"SELECT normalized_query_hash, {readable_size('s')} AS total_read, {readable_size('s / n')} AS avg_read, "
+        f"{readable_size('m')} AS peak_memory, {readable_size('lo')} AS min_read FROM per"
+    )
+
+
+def op_readable_delta(cfg: AuditConfig) -> str:
+    per = (
+        'per AS (SELECT database, "table", max(duration_ms) AS d, '
+        "date_diff('second', min(event_time), max(event_time)) AS span FROM part_log GROUP BY database, \"table\")"
+    )
+    return with_(per) + (
+        f'SELECT database, "table", {readable_delta(trunc("d / 1000.0"))} AS longest_merge, '
+        f"{readable_delta('span')} AS span FROM per"
+    )
+
+
+def op_bar(cfg: AuditConfig) -> str:
+    per = 'per AS (SELECT "user", count(*) AS executions FROM query_log GROUP BY 1)'
+    return with_(per) + f'SELECT "user", executions, {bar("executions", "0", "max(executions) OVER ()", 60)} AS bar_chart FROM per'
+
+
+def _partition_status_sql(cfg: AuditConfig) -> tuple[list[str], str, str]:
+    """CTEs (mem, thr, ma) plus the status CASE and the rank CASE over ps/ma/t."""
+    from .operators.cluster_health import PARTITION_STATUS, STATUS_RANK, history_bounds, oversize_threshold_steps
+
+    month_bound, year_bound = history_bounds(cfg)
+    mem = (
+        "mem AS (SELECT CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 64000000000 END AS total FROM "
+        "(SELECT coalesce(CAST(trunc(max(value) FILTER (WHERE metric = 'MemoryTotal')) AS BIGINT), 0) AS a FROM asynchronous_metrics) "
+        "CROSS JOIN (SELECT coalesce(CASE WHEN regexp_full_match(v, '[0-9]+') THEN TRY_CAST(v AS BIGINT) END, 0) AS b FROM "
+        "(SELECT max(value) FILTER (WHERE name = 'max_memory_usage') AS v FROM settings)))"
+    )
+    steps, top_mb = oversize_threshold_steps()
+    thr = (
+        f"thr AS (SELECT {rnd('total / 1024 / 1024 / 1024', 2)} AS node_ram_gb, "
+        "CASE " + " ".join(f"WHEN total < {b!r} THEN {mb}" for b, mb in steps) + f" ELSE {top_mb} END AS oversized_threshold_mb FROM mem)"
+    )
+    ma = 'ma AS (SELECT database, "table", count(*) AS active_merges FROM merges GROUP BY database, "table")'
+    num = "coalesce(CASE WHEN regexp_full_match(ps.\"partition\", '[0-9]+') THEN TRY_CAST(ps.\"partition\" AS BIGINT) END, 0)"
+    hist = (
+        f"((length(ps.\"partition\") = 6 AND {num} < {month_bound}) OR (length(ps.\"partition\") = 4 AND {num} < {year_bound}))"
+    )
+    am = "coalesce(ma.active_merges, 0)"
+    S = PARTITION_STATUS
+    status = (
+        "CASE "
+        f"WHEN ps.size_gb < 0.1 THEN {q(S['small'])} "
+        f"WHEN {hist} AND ({am} > 0 OR ps.parts_per_gb > 100) THEN {q(S['historical_busy'])} "
+        f"WHEN {hist} AND {am} = 0 AND ps.parts_per_gb <= 100 THEN {q(S['archived'])} "
+        f"WHEN (ps.avg_part_size_mb < 16 OR ps.parts_per_gb > 300) AND {am} = 0 THEN {q(S['backlog'])} "
+        f"WHEN (ps.avg_part_size_mb < 16 OR ps.parts_per_gb > 300) AND {am} > 0 THEN {q(S['catch_up_many'])} "
+        f"WHEN (ps.avg_part_size_mb < 64 OR ps.parts_per_gb > 150) AND {am} > 0 THEN {q(S['catch_up_moderate'])} "
+        f"WHEN ps.avg_part_size_mb BETWEEN 16 AND 32 AND ps.parts_per_gb <= 50 THEN {q(S['healthy_small'])} "
+        f"WHEN ps.avg_part_size_mb BETWEEN 32 AND 128 AND ps.parts_per_gb <= 50 THEN {q(S['healthy_batching'])} "
+        f"WHEN ps.avg_part_size_mb BETWEEN 128 AND t.oversized_threshold_mb * 0.8 THEN {q(S['healthy_batching'])} "
+        f"WHEN ps.avg_part_size_mb BETWEEN t.oversized_threshold_mb * 0.8 AND t.oversized_threshold_mb * 1.5 THEN {q(S['large_ok'])} "
+        f"WHEN ps.avg_part_size_mb BETWEEN t.oversized_threshold_mb * 1.5 AND t.oversized_threshold_mb * 3 THEN {q(S['oversized'])} "
+        f"WHEN ps.avg_part_size_mb > t.oversized_threshold_mb * 3 THEN {q(S['extreme'])} "
+        f"ELSE {q(S['unclassified'])} END"
+    )
+    rank = "CASE " + " ".join(f"WHEN partition_status LIKE {q(p + '%')} THEN {i}" for i, p in enumerate(STATUS_RANK, 1))
+    rank += f" ELSE {len(STATUS_RANK) + 1} END"
+    return [mem, thr, ma], status, rank
+
+
+def op_status_rank(cfg: AuditConfig) -> str:
+    ctes, status, rank = _partition_status_sql(cfg)
+    ps = (
+        'ps AS (SELECT database, "table", "partition", '
+        f"{rnd('sum(bytes_on_disk) / 1024 / 1024 / 1024', 2)} AS size_gb, "
+        f"{rnd('sum(bytes_on_disk) / count(*) / 1024 / 1024', 2)} AS avg_part_size_mb, "
+        f"{rnd('count(*) / NULLIF(sum(bytes_on_disk) / 1024 / 1024 / 1024, 0)', 0)} AS parts_per_gb "
+        'FROM parts WHERE active GROUP BY database, "table", "partition")'
+    )
+    return with_(*ctes, ps) + (
+        f"SELECT database, \"table\", \"partition\", partition_status, {rank} AS status_rank FROM ("
+        f'SELECT ps.database, ps."table", ps."partition", {status} AS partition_status '
+        'FROM ps LEFT JOIN ma ON ps.database = ma.database AND ps."table" = ma."table" CROSS JOIN thr t)'
+    )
+
+
+OPERATOR_SQL = {
+    "op_anti_join": op_anti_join,
+    "op_quantile_exact": op_quantile_exact,
+    "op_quantile_cont": op_quantile_cont,
+    "op_primary_user": op_primary_user,
+    "op_interval_mean": op_interval_mean,
+    "op_part_dedup": op_part_dedup,
+    "op_share_of_total": op_share_of_total,
+    "op_readable_size": op_readable_size,
+    "op_readable_delta": op_readable_delta,
+    "op_bar": op_bar,
+    "op_status_rank": op_status_rank,
+}
+
+
+def operator_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
+    cfg = cfg or fixture_config()
+    return {k: f(cfg) for k, f in OPERATOR_SQL.items()}
