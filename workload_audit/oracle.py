@@ -752,3 +752,196 @@ OPERATOR_SQL = {
 def operator_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
     cfg = cfg or fixture_config()
     return {k: f(cfg) for k, f in OPERATOR_SQL.items()}
+
+
+# ---------------------------------------------------------------------------
+# Report and archive queries
+# ---------------------------------------------------------------------------
+
+
+def _per_check(cfg: AuditConfig, body: str) -> str:
+    """UNION ALL over the checks of ``body`` formatted with {cat}, {name},
+    {desc} and {sql} (the check's own SQL as a subquery)."""
+    from .config import CHECK_DESCRIPTIONS
+
+    parts = []
+    for key, fn in CHECK_SQL.items():
+        cat, name = key.split("/")
+        parts.append(body.format(cat=q(cat), name=q(name), desc=q(CHECK_DESCRIPTIONS[(cat, name)]), sql=fn(cfg)))
+    return "\nUNION ALL\n".join(f"({p})" for p in parts)
+
+
+def _severity_case(j: str) -> tuple[str, str, str]:
+    from .plans.report import SEVERITY_MAP
+
+    sev = "CASE " + " ".join(f"WHEN contains({j}, {q(k)}) THEN {q(lv)}" for k, lv, _ in SEVERITY_MAP) + " END"
+    lab = "CASE " + " ".join(f"WHEN contains({j}, {q(k)}) THEN {q(lb)}" for k, _, lb in SEVERITY_MAP) + " END"
+    crit = "(" + " OR ".join(f"contains({j}, {q(k)})" for k, lv, _ in SEVERITY_MAP if lv == "critical") + ")"
+    return sev, lab, crit
+
+
+def report_counts(cfg: AuditConfig) -> str:
+    return _per_check(
+        cfg, "SELECT {cat} AS category, {name} AS name, {desc} AS description, CAST(count(*) AS BIGINT) AS \"rows\" FROM ({sql}) x"
+    )
+
+
+def report_severity(cfg: AuditConfig) -> str:
+    sev, lab, crit = _severity_case("j")
+    return _per_check(
+        cfg,
+        "SELECT {cat} AS category, {name} AS name, "
+        + f"{sev} AS severity, {lab} AS severity_label, {crit} AS is_critical, "
+        + 'CAST(count(*) AS BIGINT) AS "rows" FROM (SELECT CAST(to_json(x) AS VARCHAR) AS j FROM ({sql}) x) GROUP BY ALL',
+    )
+
+
+def report_preview(cfg: AuditConfig) -> str:
+    from .plans.report import PREVIEW_ROWS
+
+    return _per_check(
+        cfg,
+        "SELECT {cat} AS category, {name} AS name, "
+        + f"CAST(unnest(range(1, least(n, {PREVIEW_ROWS}) + 1)) AS INTEGER) AS rank, "
+        + f"CAST(greatest(n - {PREVIEW_ROWS}, 0) AS BIGINT) AS more "
+        + "FROM (SELECT count(*) AS n FROM ({sql}) x)",
+    )
+
+
+def _check_stats(cfg: AuditConfig) -> str:
+    _, _, crit = _severity_case("j")
+    return _per_check(
+        cfg,
+        "SELECT {cat} AS category, {name} AS name, count(*) AS n, "
+        + f"coalesce(max(CAST({crit} AS INTEGER)), 0) AS c "
+        + "FROM (SELECT CAST(to_json(x) AS VARCHAR) AS j FROM ({sql}) x)",
+    )
+
+
+def report_health_score(cfg: AuditConfig) -> str:
+    from .plans import report as R
+
+    weight = "CASE " + " ".join(f"WHEN category = {q(c)} THEN {w}" for c, w in R.CATEGORY_WEIGHTS) + " ELSE 1 END"
+    tenths = (
+        f"CASE WHEN n = 0 THEN 0 WHEN c = 1 THEN {R.ISSUE_TENTHS_CRITICAL} "
+        f"WHEN category IN ('anomalies', 'anti_patterns') THEN {R.ISSUE_TENTHS_PATTERNS} ELSE {R.ISSUE_TENTHS_OTHER} END"
+    )
+    score = (
+        f"CAST(CASE WHEN total = 0 THEN {R.UNKNOWN_SCORE} ELSE least(greatest(floor(100.0::DOUBLE - "
+        f"CAST(issue10 * {R.SCORE_SPAN // 10} AS DOUBLE) / CAST(total AS DOUBLE)), 0), 100) END AS INTEGER)"
+    )
+    return (
+        f"WITH per AS ({_check_stats(cfg)}), agg AS (SELECT sum({weight}) AS total, sum(({weight}) * ({tenths})) AS issue10 FROM per), "
+        f"s AS (SELECT total, {score} AS score FROM agg) "
+        f"SELECT score, CASE WHEN total = 0 THEN 'Unknown' WHEN score >= {R.HEALTHY_FROM} THEN 'Healthy' "
+        f"WHEN score >= {R.ATTENTION_FROM} THEN 'Needs Attention' ELSE 'Critical' END AS label, "
+        f"CASE WHEN total = 0 THEN 'info' WHEN score >= {R.HEALTHY_FROM} THEN 'ok' "
+        f"WHEN score >= {R.ATTENTION_FROM} THEN 'warning' ELSE 'critical' END AS level FROM s"
+    )
+
+
+def report_key_findings(cfg: AuditConfig) -> str:
+    pop = f"pop AS (SELECT * FROM query_log WHERE {base_where(cfg, cfg.lookback_days, types=(P.FINISHED, P.FAILED))})"
+    top_user = (
+        f'tu AS (SELECT {system_user(chr(34) + "user" + chr(34))} AS u, {readable_size("sum(read_bytes)")} AS total_read '
+        'FROM pop GROUP BY 1 ORDER BY sum(read_bytes) DESC, u LIMIT 1)'
+    )
+    frag = f"(SELECT count(*) FROM ({insert_part_fragmentation(cfg)}) x WHERE batch_size_class LIKE '%VERY SMALL%')"
+    small = f"(SELECT count(*) FROM ({small_insert_batches(cfg)}) x)"
+    wow = f"(SELECT count(*) FROM ({wow_duration_regressions(cfg)}) x)"
+    new = f"(SELECT count(*) FROM ({new_expensive_patterns(cfg)}) x)"
+    anti = "(" + " + ".join(
+        f"(SELECT count(*) FROM ({fn(cfg)}) x)" for k, fn in CHECK_SQL.items() if k.startswith("anti_patterns/")
+    ) + ")"
+    pct = f"{cfg.regression_threshold_pct:g}"
+    bullets = [
+        f"SELECT 1 AS ord, printf('Largest consumer: %s read %s over the last %d days.', u, total_read, {cfg.lookback_days}) AS text FROM tu",
+        f"SELECT 2, printf('%d table(s) insert in very small batches, fragmenting into many parts.', n) FROM (SELECT {frag} AS n) WHERE n > 0",
+        f"SELECT 3, printf('%d insert pattern(s) write fewer than %d rows per statement.', n, {cfg.min_batch_size}) FROM (SELECT {small} AS n) WHERE n > 0",
+        f"SELECT 4, CASE WHEN n > 0 THEN printf('%d pattern(s) got slower by more than {pct}%% at p95 since the previous period.', n) "
+        "ELSE 'No p95 latency regressions against the previous period.' END FROM (SELECT " + wow + " AS n)",
+        f"SELECT 5, printf('%d new expensive pattern(s) appeared in this period.', n) FROM (SELECT {new} AS n) WHERE n > 0",
+        f"SELECT 6, printf('%d anti-pattern finding(s) across all anti-pattern checks.', n) FROM (SELECT {anti} AS n) WHERE n > 0",
+    ]
+    union = " UNION ALL ".join(f"({b})" for b in bullets)
+    return (
+        with_(pop, top_user)
+        + f"SELECT CAST(ord AS INTEGER) AS ord, text FROM ({union}) b "
+        + "UNION ALL SELECT 99, 'Nothing significant found; the cluster looks healthy.' "
+        + f"WHERE NOT EXISTS (SELECT 1 FROM ({union}) b2)"
+    )
+
+
+def report_query_summary(cfg: AuditConfig) -> str:
+    from .plans import report as R
+
+    per = "per AS (SELECT normalized_query_hash, min(query) AS q0 FROM query_log GROUP BY 1)"
+    s = "s AS (SELECT normalized_query_hash, regexp_replace(q0, '^\\s+|\\s+$', '', 'g') AS t FROM per)"
+    ins = f"regexp_extract(t, {q(R.INSERT_TARGET_REGEX)}, 1)"
+    frm = f"regexp_replace(regexp_extract(t, {q(R.FROM_TABLE_REGEX)}, 1), '^\\(+|\\(+$', '', 'g')"
+    return with_(per, s) + (
+        f"SELECT normalized_query_hash, CASE WHEN {ins} <> '' THEN concat({ins}, ' ...') "
+        f"WHEN regexp_matches(t, {q(R.FROM_TABLE_REGEX)}) THEN concat(substring(split_part(t, chr(10), 1), 1, {R.SUMMARY_FIRST_LINE_CHARS}), '... FROM ', {frm}) "
+        f"ELSE concat(replace(substring(t, 1, {R.SUMMARY_MAX_CHARS}), chr(10), ' '), CASE WHEN length(t) > {R.SUMMARY_MAX_CHARS} THEN '...' ELSE '' END) END "
+        "AS summary FROM s"
+    )
+
+
+def report_recommendations(cfg: AuditConfig) -> str:
+    from .plans import report as R
+
+    related = dict(R.RELATED_CHECKS)
+    values = ", ".join(
+        f"({q(c)}, {q(n)}, {q(R.RECOMMENDATIONS.get((c, n), ''))}, "
+        + ("[" + ", ".join(q(x) for x in related.get((c, n), ())) + "]::VARCHAR[]")
+        + ")"
+        for (c, n) in sorted(R.RECOMMENDATIONS)
+    )
+    return (
+        f"SELECT c.category, c.name, c.\"rows\", a.recommendation, a.related FROM ({report_counts(cfg)}) c "
+        f"LEFT JOIN (VALUES {values}) a(category, name, recommendation, related) "
+        "ON a.category = c.category AND a.name = c.name WHERE c.\"rows\" > 0"
+    )
+
+
+def _archive_summary(where: str) -> str:
+    return with_() + (
+        "SELECT event_date, count(*) AS \"rows\", CAST(sum(query_id) AS BIGINT) AS sum_query_id, "
+        "CAST(sum(normalized_query_hash) AS BIGINT) AS sum_hash, min(event_time) AS first_event, "
+        f"max(event_time) AS last_event FROM query_log {where} GROUP BY event_date"
+    )
+
+
+def archive_backfill(cfg: AuditConfig) -> str:
+    from .plans.queries import ARCHIVE_CUTOFF
+
+    return _archive_summary(f"WHERE event_time < {ts_lit(ARCHIVE_CUTOFF)}")
+
+
+def archive_stream(cfg: AuditConfig) -> str:
+    return _archive_summary("")
+
+
+def archive_retention(cfg: AuditConfig) -> str:
+    from .plans.queries import ARCHIVE_RETENTION_DAYS
+
+    return _archive_summary(f"WHERE event_date > {date_lit(cfg.today - dt.timedelta(days=ARCHIVE_RETENTION_DAYS))}")
+
+
+REPORT_SQL = {
+    "report_counts": report_counts,
+    "report_severity": report_severity,
+    "report_preview": report_preview,
+    "report_health_score": report_health_score,
+    "report_key_findings": report_key_findings,
+    "report_query_summary": report_query_summary,
+    "report_recommendations": report_recommendations,
+    "archive_backfill": archive_backfill,
+    "archive_stream": archive_stream,
+    "archive_retention": archive_retention,
+}
+
+
+def report_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
+    cfg = cfg or fixture_config()
+    return {k: f(cfg) for k, f in REPORT_SQL.items()}

@@ -161,8 +161,23 @@ def node_settings(spark: SparkSession, max_memory_usage: str | None = MAX_MEMORY
     return spark.createDataFrame(rows, "name string, value string")
 
 
+_TABLES: dict[tuple[str, str], LogTables] = {}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> LogTables:
-    """All seven log tables derived from the driver's Parquet files."""
+    """All seven log tables derived from the driver's Parquet files.
+
+    The table definitions (lazy plans, no data) are made once per session
+    and directory, the way a job defines its inputs once and runs many
+    queries over them; every query still scans the files when it runs.
+    """
+    key = (spark.sparkContext.applicationId + "/" + str(id(spark._jsparkSession)), os.path.abspath(sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = _build_fixture_tables(spark, sf_dir)
+    return _TABLES[key]
+
+
+def _build_fixture_tables(spark: SparkSession, sf_dir: str) -> LogTables:
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
