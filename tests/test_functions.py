@@ -1,8 +1,6 @@
 """Column helpers: formatters, rounding, casts and every ladder boundary."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from workload_audit.functions import columns as C
 
 
@@ -13,16 +11,16 @@ def one(spark, expr, rows, schema):
 
 def test_readable_size(spark):
     vals = [0, 1, 1023, 1024, 1024**2 - 1, 1024**2, 4509715660, 1024**5, 1536]
-    got = one(spark, C.readable_size(F.col("x")), [(v,) for v in vals], "x long")
+    got = one(spark, C.readable_size("x"), [(v,) for v in vals], "x long")
     assert got == [
         "0.00 B", "1.00 B", "1023.00 B", "1.00 KiB", "1024.00 KiB", "1.00 MiB", "4.20 GiB", "1.00 PiB", "1.50 KiB",
     ]
-    assert one(spark, C.readable_size(F.col("x")), [(None,)], "x long") == [None]
+    assert one(spark, C.readable_size("x"), [(None,)], "x long") == [None]
 
 
 def test_readable_delta(spark):
     vals = [0, 1, 59, 60, 61, 3600, 86461, 100, 12345, 432546534]
-    got = one(spark, C.readable_delta(F.col("x")), [(v,) for v in vals], "x long")
+    got = one(spark, C.readable_delta("x"), [(v,) for v in vals], "x long")
     assert got == [
         "0 seconds",
         "1 second",
@@ -39,19 +37,19 @@ def test_readable_delta(spark):
 
 def test_bar(spark):
     rows = [(0, 100), (100, 100), (50, 100), (1, 8), (7, 64), (150, 100)]
-    got = one(spark, C.bar(F.col("x"), 0, F.col("m"), 8), rows, "x long, m long")
+    got = one(spark, C.bar("x", "0", "m", 8), rows, "x long, m long")
     assert got == ["", "█" * 8, "█" * 4, "█", "▉", "█" * 8]
 
 
 def test_round_half_up_and_trunc(spark):
-    got = one(spark, C.round_half_up(F.col("x"), 2), [(1.005,), (2.675,), (0.125,), (-1.5,)], "x double")
+    got = one(spark, C.round_half_up("x", 2), [(1.005,), (2.675,), (0.125,), (-1.5,)], "x double")
     assert got == [1.0, 2.68, 0.13, -1.5]  # 2.675 * 100 is exactly 267.5 in binary
-    assert one(spark, C.round_half_up(F.col("x"), 0), [(2.5,), (3.4999,)], "x double") == [3.0, 3.0]
-    assert one(spark, C.trunc_long(F.col("x")), [(2.9,), (-2.9,)], "x double") == [2, -2]
+    assert one(spark, C.round_half_up("x", 0), [(2.5,), (3.4999,)], "x double") == [3.0, 3.0]
+    assert one(spark, C.trunc_long("x"), [(2.9,), (-2.9,)], "x double") == [2, -2]
 
 
 def test_to_uint_or_zero(spark):
-    got = one(spark, C.to_uint_or_zero(F.col("s")), [("202401",), ("2023",), ("all",), ("",), ("-5",), (None,)], "s string")
+    got = one(spark, C.to_uint_or_zero("s"), [("202401",), ("2023",), ("all",), ("",), ("-5",), (None,)], "s string")
     assert got == [202401, 2023, 0, 0, 0, 0]
 
 
@@ -59,9 +57,9 @@ def test_table_reference_helpers(spark):
     rows = [(["db1.`t1`"],), (["plain"],), ([],)]
     df = spark.createDataFrame(rows, "a array<string>")
     out = df.select(
-        C.first_element(F.col("a")).alias("f"),
-        C.strip_database(C.first_element(F.col("a"))).alias("t"),
-        C.database_of(C.first_element(F.col("a"))).alias("d"),
+        C.first_element("a").alias("f"),
+        C.strip_database("get(a, 0)").alias("t"),
+        C.database_of("get(a, 0)").alias("d"),
     ).collect()
     assert [tuple(r) for r in out] == [("db1.`t1`", "t1", "db1"), ("plain", "plain", "plain"), (None, None, None)]
 
@@ -82,7 +80,7 @@ def test_ladders_at_each_boundary(spark, fn, steps, over):
         xs += [bound - 0.5, float(bound)]
         want += [label, None]  # at the bound the next step applies
         prev_label = label
-    got = one(spark, fn(F.col("x")), [(x,) for x in xs], "x double")
+    got = one(spark, fn("x"), [(x,) for x in xs], "x double")
     labels = [l for _, l in steps] + [over]
     for i, (bound, label) in enumerate(steps):
         assert got[2 * i] == label
@@ -92,8 +90,8 @@ def test_ladders_at_each_boundary(spark, fn, steps, over):
 
 def test_frequency_ladders(spark):
     rows = [(None,), (9.9,), (10.0,), (1799.0,), (1800.0,), (3599.0,), (86399.0,), (86400.0,)]
-    ins = one(spark, C.insert_frequency_class(F.col("x")), rows, "x double")
-    mer = one(spark, C.merge_frequency_class(F.col("x")), rows, "x double")
+    ins = one(spark, C.insert_frequency_class("x"), rows, "x double")
+    mer = one(spark, C.merge_frequency_class("x"), rows, "x double")
     assert ins == ["Rare", "<10s", "<1min", "<30min", "Hourly", "Hourly", "Daily", "Rare"]
     assert mer == ["Rare", "<10s", "<1min", "Hourly", "Hourly", "Hourly", "Daily", "Rare"]
 
@@ -109,7 +107,7 @@ def test_merge_pressure_ladder(spark):
         (9000.0, 1e4),
         (9000.0, 9999.0),
     ]
-    got = one(spark, C.merge_pressure_class(F.col("p"), F.col("n")), rows, "p double, n double")
+    got = one(spark, C.merge_pressure_class("p", "n"), rows, "p double, n double")
     assert got == [
         "🔵 FAST",
         "-",
@@ -120,3 +118,9 @@ def test_merge_pressure_ladder(spark):
         "🛑 CRITICAL (>= 2 h)",
         "-",
     ]
+
+
+def test_bar_over_window(spark):
+    df = spark.createDataFrame([(1,), (2,), (4,)], "x long")
+    got = sorted(r[0] for r in df.select(C.bar("x", "0", "max(x) OVER ()", 4)).collect())
+    assert got == ["█", "██", "████"]

@@ -1,7 +1,12 @@
 """Scalar Column helpers: readable formats, rounding, casts and class ladders.
 
-Every helper returns a plain Column built from ``pyspark.sql.functions``, so
-it stays inside whole-stage codegen (no Python UDF anywhere).
+Every helper takes its input as Spark SQL expression text (a column name or
+a small expression such as ``"sum_read / executions"``) and returns one
+Column parsed by ``F.expr`` - a single call into the JVM, where the same
+tree built node by node through the Column API costs hundreds of calls. The
+result is an ordinary built-in expression: it stays inside whole-stage
+codegen (no Python UDF anywhere). Each ``*_sql`` function returns the text,
+for callers that compose larger expressions.
 """
 
 from __future__ import annotations
@@ -99,130 +104,155 @@ PRESSURE_NONE = "-"
 # --- end of fixed values ---------------------------------------------------
 
 
-def ladder(x: Column, steps: Sequence[tuple[float, str]], default: str) -> Column:
-    """``CASE WHEN x < b1 THEN l1 WHEN x < b2 THEN l2 ... ELSE default``."""
-    out = None
-    for bound, label in steps:
-        out = F.when(x < bound, label) if out is None else out.when(x < bound, label)
-    return out.otherwise(default)
+def lit(v) -> str:
+    """SQL literal for a Python string or number."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    return str(v)
 
 
-def round_half_up(x: Column, digits: int = 0) -> Column:
+def ladder_sql(x: str, steps: Sequence[tuple[float, str]], default: str) -> str:
+    """``CASE WHEN x < b1 THEN l1 WHEN x < b2 THEN l2 ... ELSE default END``."""
+    whens = " ".join(f"WHEN ({x}) < {lit(float(b))} THEN {lit(l)}" for b, l in steps)
+    return f"CASE {whens} ELSE {lit(default)} END"
+
+
+def ladder(x: str, steps: Sequence[tuple[float, str]], default: str) -> Column:
+    return F.expr(ladder_sql(x, steps, default))
+
+
+def round_half_up_sql(x: str, digits: int = 0) -> str:
+    scale = 10**digits
+    return f"CAST(floor(CAST(({x}) AS DOUBLE) * {scale} + 0.5D) / {scale} AS DOUBLE)"
+
+
+def round_half_up(x: str, digits: int = 0) -> Column:
     """``floor(x * 10^d + 0.5) / 10^d`` as double; the same expression is
     used by the oracle, so both engines agree on half-way cases."""
-    scale = 10**digits
-    return (F.floor(x.cast("double") * scale + 0.5) / scale).cast("double")
+    return F.expr(round_half_up_sql(x, digits))
 
 
-def trunc_long(x: Column) -> Column:
+def trunc_long(x: str) -> Column:
     """Float -> signed 64-bit integer, truncating toward zero."""
-    return x.cast("bigint")
+    return F.expr(f"CAST(({x}) AS BIGINT)")
+
+
+def avg_sql(total: str, n: str) -> str:
+    """Mean from an exact sum and a count, as double."""
+    return f"(CAST(({total}) AS DOUBLE) / CAST(({n}) AS DOUBLE))"
+
+
+def readable_size_sql(x: str) -> str:
+    v = f"CAST(({x}) AS DOUBLE)"
+    idx = "CASE " + " ".join(
+        f"WHEN abs({v}) >= {lit(float(1024**k))} THEN {k}" for k in range(len(SIZE_UNITS) - 1, 0, -1)
+    ) + " ELSE 0 END"
+    units = "array(" + ", ".join(lit(u) for u in SIZE_UNITS) + ")"
+    # Bind (cents, unit index) once through a one-element lambda.
+    return (
+        f"CASE WHEN {v} IS NULL THEN NULL ELSE transform(array(named_struct("
+        f"'c', floor({v} / pow(1024.0D, {idx}) * 100 + 0.5D), 'i', {idx})), s -> concat("
+        "CASE WHEN s.c < 0 THEN '-' ELSE '' END, CAST(abs(s.c) div 100 AS STRING), '.', "
+        f"lpad(CAST(abs(s.c) % 100 AS STRING), 2, '0'), ' ', element_at({units}, s.i + 1)))[0] END"
+    )
 
 
-def readable_size(x: Column) -> Column:
+def readable_size(x: str) -> Column:
     """Bytes as text with a binary unit, e.g. ``4.20 GiB`` / ``512.00 B``."""
-    v = x.cast("double")
-    ax = F.abs(v)
-    idx = F.lit(0)
-    for k in range(1, len(SIZE_UNITS)):
-        idx = F.when(ax >= float(1024**k), k).otherwise(idx)
-    scaled = v / F.pow(F.lit(1024.0), idx)
-    cents = F.floor(scaled * 100 + 0.5)
-    unit = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), idx + 1)
-    text = F.concat(
-        F.when(cents < 0, "-").otherwise(""),
-        (F.abs(cents) / 100).cast("bigint").cast("string"),
-        F.lit("."),
-        F.lpad((F.abs(cents) % 100).cast("string"), 2, "0"),
-        F.lit(" "),
-        unit,
-    )
-    return F.when(v.isNotNull(), text)
+    return F.expr(readable_size_sql(x))
 
 
-def readable_delta(seconds: Column) -> Column:
-    """Whole seconds as ``1 day, 2 hours and 5 seconds`` (``0 seconds`` for 0)."""
-    rem = seconds.cast("bigint")
+def readable_delta_sql(x: str) -> str:
+    rem = f"CAST(({x}) AS BIGINT)"
     parts = []
     for size, name in DELTA_UNITS:
-        n = ((rem - rem % size) / size).cast("bigint") if size > 1 else rem
-        parts.append(
-            F.when(n > 0, F.concat(n.cast("string"), F.lit(" " + name), F.when(n != 1, "s").otherwise("")))
-        )
-        rem = rem % size
-    arr = F.array_compact(F.array(*parts))
-    k = F.size(arr)
-    joined = (
-        F.when(k == 0, F.lit("0 seconds"))
-        .when(k == 1, F.element_at(arr, 1))
-        .otherwise(F.concat(F.array_join(F.slice(arr, 1, k - 1), ", "), F.lit(" and "), F.element_at(arr, -1)))
+        n = f"({rem} div {size})" if size > 1 else rem
+        parts.append(f"CASE WHEN {n} > 0 THEN concat(CAST({n} AS STRING), {lit(' ' + name)}, CASE WHEN {n} <> 1 THEN 's' ELSE '' END) END")
+        rem = f"({rem} % {size})"
+    arr = "array_compact(array(" + ", ".join(parts) + "))"
+    return (
+        f"CASE WHEN ({x}) IS NULL THEN NULL ELSE transform(array({arr}), a -> CASE WHEN size(a) = 0 THEN '0 seconds' "
+        "WHEN size(a) = 1 THEN element_at(a, 1) "
+        "ELSE concat(array_join(slice(a, 1, size(a) - 1), ', '), ' and ', element_at(a, -1)) END)[0] END"
     )
-    return F.when(seconds.isNotNull(), joined)
 
 
-def bar(x: Column, lo: Column | float, hi: Column | float, width: int) -> Column:
-    """Unicode bar of ``width`` cells for ``x`` scaled from [lo, hi]."""
-    lo_c = lo if isinstance(lo, Column) else F.lit(lo)
-    hi_c = hi if isinstance(hi, Column) else F.lit(hi)
+def readable_delta(x: str) -> Column:
+    """Whole seconds as ``1 day, 2 hours and 5 seconds`` (``0 seconds`` for 0)."""
+    return F.expr(readable_delta_sql(x))
+
+
+def bar_sql(x: str, lo: str, hi: str, width: int) -> str:
     w = (
-        F.when(x <= lo_c, F.lit(0.0))
-        .when(x >= hi_c, F.lit(float(width)))
-        .otherwise((x - lo_c).cast("double") * width / (hi_c - lo_c).cast("double"))
+        f"CASE WHEN ({x}) <= ({lo}) THEN 0.0D WHEN ({x}) >= ({hi}) THEN {lit(float(width))} "
+        f"ELSE CAST(({x}) - ({lo}) AS DOUBLE) * {width} / CAST(({hi}) - ({lo}) AS DOUBLE) END"
+    )
+    chars = "array(" + ", ".join(lit(c) for c in BAR_EIGHTHS) + ")"
+    return (
+        f"transform(array({w}), w -> concat(repeat({lit(BAR_FULL)}, CAST(floor(w) AS INT)), "
+        f"coalesce(CASE WHEN floor((w - floor(w)) * 8) > 0 THEN element_at({chars}, CAST(floor((w - floor(w)) * 8) AS INT)) END, '')))[0]"
     )
-    full = F.floor(w)
-    eighths = F.floor((w - full) * 8)
-    partial = F.when(eighths > 0, F.element_at(F.array(*[F.lit(c) for c in BAR_EIGHTHS]), eighths.cast("int")))
-    return F.concat(F.repeat(F.lit(BAR_FULL), full.cast("int")), F.coalesce(partial, F.lit("")))
 
 
-def to_uint_or_zero(s: Column) -> Column:
+def bar(x: str, lo: str, hi: str, width: int) -> Column:
+    """Unicode bar of ``width`` cells for ``x`` scaled from [lo, hi]; ``hi``
+    may be a window expression such as ``max(n) OVER ()``."""
+    return F.expr(bar_sql(x, lo, hi, width))
+
+
+def to_uint_or_zero_sql(s: str) -> str:
+    return f"coalesce(CASE WHEN ({s}) RLIKE '^[0-9]+$' THEN try_cast(({s}) AS BIGINT) END, CAST(0 AS BIGINT))"
+
+
+def to_uint_or_zero(s: str) -> Column:
     """Digits-only text -> non-negative long; anything else -> 0."""
-    v = F.when(s.rlike(r"^[0-9]+$"), s.try_cast("bigint"))
-    return F.coalesce(v, F.lit(0).cast("bigint"))
+    return F.expr(to_uint_or_zero_sql(s))
 
 
-def first_element(arr: Column) -> Column:
+def first_element(arr: str) -> Column:
     """``arr[1]`` that is NULL (not an error) for an empty array."""
-    return F.get(arr, 0)
+    return F.expr(f"get(({arr}), 0)")
 
 
-def strip_database(table_ref: Column) -> Column:
+def strip_database(table_ref: str) -> Column:
     """``db.`t``` -> ``t``: drop everything up to the first dot and backticks."""
-    return F.replace(F.substr(table_ref, F.instr(table_ref, ".") + 1), F.lit("`"), F.lit(""))
+    return F.expr(f"replace(substr(({table_ref}), instr(({table_ref}), '.') + 1), '`', '')")
 
 
-def database_of(table_ref: Column) -> Column:
-    """``db.`t``` -> ``db`` (empty when there is no dot)."""
-    return F.replace(F.substring_index(table_ref, ".", 1), F.lit("`"), F.lit(""))
+def database_of(table_ref: str) -> Column:
+    """``db.`t``` -> ``db`` (the whole name when there is no dot)."""
+    return F.expr(f"replace(substring_index(({table_ref}), '.', 1), '`', '')")
 
 
-def insert_duration_bucket(ms: Column) -> Column:
+def insert_duration_bucket(ms: str) -> Column:
     return ladder(ms, INSERT_DURATION_BUCKETS, INSERT_DURATION_OVER)
 
 
-def batch_size_class(avg_rows: Column) -> Column:
+def batch_size_class(avg_rows: str) -> Column:
     return ladder(avg_rows, BATCH_SIZE_CLASSES, BATCH_SIZE_OVER)
 
 
-def insert_frequency_class(interval_s: Column) -> Column:
-    return ladder(F.coalesce(interval_s, F.lit(MISSING_INTERVAL)), INSERT_FREQUENCY_CLASSES, FREQUENCY_OVER)
+def insert_frequency_class(interval_s: str) -> Column:
+    return ladder(f"coalesce(({interval_s}), {lit(MISSING_INTERVAL)})", INSERT_FREQUENCY_CLASSES, FREQUENCY_OVER)
 
 
-def merge_frequency_class(interval_s: Column) -> Column:
-    return ladder(F.coalesce(interval_s, F.lit(MISSING_INTERVAL)), MERGE_FREQUENCY_CLASSES, FREQUENCY_OVER)
+def merge_frequency_class(interval_s: str) -> Column:
+    return ladder(f"coalesce(({interval_s}), {lit(MISSING_INTERVAL)})", MERGE_FREQUENCY_CLASSES, FREQUENCY_OVER)
 
 
-def merge_duration_class(p90_s: Column) -> Column:
+def merge_duration_class(p90_s: str) -> Column:
     return ladder(p90_s, MERGE_DURATION_CLASSES, MERGE_DURATION_OVER)
 
 
-def merge_load_class(merges: Column) -> Column:
+def merge_load_class(merges: str) -> Column:
     return ladder(merges, MERGE_LOAD_CLASSES, MERGE_LOAD_OVER)
 
 
-def merge_pressure_class(p90_s: Column, merges: Column) -> Column:
-    busy = merges >= PRESSURE_MIN_MERGES
-    out = F.when(p90_s < PRESSURE_FAST[0], PRESSURE_FAST[1])
-    for bound, label in PRESSURE_CLASSES:
-        out = out.when((p90_s < bound) & busy, label)
-    return out.when(busy, PRESSURE_CRITICAL).otherwise(PRESSURE_NONE)
+def merge_pressure_class(p90_s: str, merges: str) -> Column:
+    busy = f"({merges}) >= {lit(PRESSURE_MIN_MERGES)}"
+    whens = [f"WHEN ({p90_s}) < {lit(float(PRESSURE_FAST[0]))} THEN {lit(PRESSURE_FAST[1])}"]
+    whens += [f"WHEN ({p90_s}) < {lit(float(b))} AND {busy} THEN {lit(l)}" for b, l in PRESSURE_CLASSES]
+    whens.append(f"WHEN {busy} THEN {lit(PRESSURE_CRITICAL)}")
+    return F.expr("CASE " + " ".join(whens) + f" ELSE {lit(PRESSURE_NONE)} END")

@@ -56,30 +56,25 @@ def _pick(cands: DataFrame, part: Sequence[str], order: str) -> DataFrame:
 
 
 def _targets(n: DataFrame, keys: list[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Per group: one row per wanted rank, ``(keys, _tag, _r, _w)``; ``_w``
+    is the interpolation weight carried by the ``#lo`` rank of a ``cont``
+    quantile, so no join back to the counts is needed afterwards."""
     cnt = F.col("_n")
     rows: list[Column] = []
     for name, (kind, p) in specs.items():
         if kind == "exact":
             r = F.least(F.floor(F.lit(float(p)) * cnt), cnt - 1) if p < 1 else cnt - 1
-            rows.append(F.struct(F.lit(name).alias("_tag"), r.cast("bigint").alias("_r")))
+            rows.append(F.struct(F.lit(name).alias("_tag"), r.cast("bigint").alias("_r"), F.lit(0.0).alias("_w")))
         elif kind == "cont":
             pos = (cnt - 1).cast("double") * float(p)
-            rows.append(F.struct(F.lit(name + "#lo").alias("_tag"), F.floor(pos).cast("bigint").alias("_r")))
-            rows.append(F.struct(F.lit(name + "#hi").alias("_tag"), F.ceil(pos).cast("bigint").alias("_r")))
+            frac = (pos - F.floor(pos)).cast("double")
+            rows.append(F.struct(F.lit(name + "#lo").alias("_tag"), F.floor(pos).cast("bigint").alias("_r"), frac.alias("_w")))
+            rows.append(F.struct(F.lit(name + "#hi").alias("_tag"), F.ceil(pos).cast("bigint").alias("_r"), F.lit(0.0).alias("_w")))
         else:
             raise ValueError(f"unknown quantile kind {kind!r}")
     return n.select(*keys, F.inline(F.array(*rows)))
 
 
-def _fractions(n: DataFrame, keys: list[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
-    cols = []
-    for name, (kind, p) in specs.items():
-        if kind == "cont":
-            pos = (F.col("_n") - 1).cast("double") * float(p)
-            cols.append((pos - F.floor(pos)).cast("double").alias(name + "#frac"))
-    return n.select(*keys, *cols)
-
-
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -116,10 +111,10 @@ def group_quantiles(
 
     tk = keys + ["_tag"]
     targets = _targets(n, keys, specs)
-    s1 = _pick(targets.join(h1, keys), tk, "_b1").select(*tk, "_r", "_b1")
-    s2 = _pick(s1.join(h2, keys + ["_b1"]), tk, "_b2").select(*tk, "_r", "_b2")
+    s1 = _pick(targets.join(h1, keys), tk, "_b1").select(*tk, "_r", "_w", "_b1")
+    s2 = _pick(s1.join(h2, keys + ["_b1"]), tk, "_b2").select(*tk, "_r", "_w", "_b2")
     s3 = _pick(s2.join(freq.select(*keys, "_b2", "_x", "_c"), keys + ["_b2"]), tk, "_x")
-    picked = s3.select(*tk, F.col("_x").alias("_v"))
+    picked = s3.select(*tk, "_w", F.col("_x").alias("_v"))
 
     tag, v = F.col("_tag"), F.col("_v")
     aggs: list[Column] = []
@@ -129,10 +124,8 @@ def group_quantiles(
         else:
             aggs.append(F.max(F.when(tag == name + "#lo", v)).alias(name + "#lo"))
             aggs.append(F.max(F.when(tag == name + "#hi", v)).alias(name + "#hi"))
+            aggs.append(F.max(F.when(tag == name + "#lo", F.col("_w"))).alias(name + "#frac"))
     wide = picked.groupBy(*keys).agg(*aggs)
-
-    if any(kind == "cont" for kind, _ in specs.values()):
-        wide = wide.join(_fractions(n, keys, specs), keys)
     out = [F.col(k) for k in keys]
     for name, (kind, _) in specs.items():
         if kind == "exact":

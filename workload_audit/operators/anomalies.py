@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import avg_of, pattern_stats
-from ..functions.columns import readable_size, round_half_up, trunc_long
+from ..functions.aggregates import pattern_stats
+from ..functions.columns import avg_sql, readable_size, round_half_up, trunc_long
 from ..functions.predicates import day_range, days_before, finished, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
@@ -46,8 +46,8 @@ def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         PERIOD,
         "primary_user",
         "query_text",
-        trunc_long(F.col("p95")).alias("p95_ms"),
-        trunc_long(avg_of(F.col("sum_read"), F.col("executions"))).alias("avg_bytes"),
+        trunc_long("p95").alias("p95_ms"),
+        trunc_long(avg_sql("sum_read", "executions")).alias("avg_bytes"),
     )
     tw = per.where(F.col(PERIOD) == CURRENT).alias("tw")
     lw = per.where(F.col(PERIOD) == PREVIOUS).alias("lw")
@@ -57,7 +57,7 @@ def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
     def change(curr: str, prev: str):
-        return round_half_up(F.try_divide(F.col(curr) - F.col(prev), F.col(prev)) * 100, 2)
+        return round_half_up(f"try_divide({curr} - {prev}, {prev}) * 100", 2)
 
     out = joined.select(
         F.col(f"tw.{HASH}").alias(HASH),
@@ -65,8 +65,8 @@ def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         F.col("lw.p95_ms").alias("prev_p95_ms"),
         F.col("tw.p95_ms").alias("curr_p95_ms"),
         change("tw.p95_ms", "lw.p95_ms").alias("duration_change_pct"),
-        readable_size(F.col("lw.avg_bytes")).alias("prev_avg_read"),
-        readable_size(F.col("tw.avg_bytes")).alias("curr_avg_read"),
+        readable_size("lw.avg_bytes").alias("prev_avg_read"),
+        readable_size("tw.avg_bytes").alias("curr_avg_read"),
         change("tw.avg_bytes", "lw.avg_bytes").alias("bytes_change_pct"),
         F.col("tw.query_text").alias("query_text"),
     )
@@ -93,14 +93,14 @@ def new_expensive_patterns(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         [HASH],
         [("sum_read", "sum", F.col("read_bytes")), ("sum_dur", "sum", F.col("query_duration_ms"))],
     )
-    avg_read = avg_of(F.col("sum_read"), F.col("executions"))
+    avg_read = avg_sql("sum_read", "executions")
     stats = stats.select(
         HASH,
         "primary_user",
         "executions",
-        trunc_long(avg_of(F.col("sum_dur"), F.col("executions"))).alias("avg_duration_ms"),
+        trunc_long(avg_sql("sum_dur", "executions")).alias("avg_duration_ms"),
         trunc_long(avg_read).alias("avg_read_bytes"),
-        avg_read.alias("_avg_read"),
+        F.expr(avg_read).alias("_avg_read"),
         "query_text",
     ).where(
         (F.col("avg_read_bytes") > NEW_PATTERN_MIN_AVG_READ_BYTES)
@@ -117,6 +117,6 @@ def new_expensive_patterns(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         "primary_user",
         "executions",
         "avg_duration_ms",
-        readable_size(F.col("_avg_read")).alias("avg_read"),
+        readable_size("_avg_read").alias("avg_read"),
         "query_text",
     )

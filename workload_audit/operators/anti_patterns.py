@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import avg_of, pattern_stats
-from ..functions.columns import readable_size, round_half_up, trunc_long
+from ..functions.aggregates import pattern_stats
+from ..functions.columns import avg_sql, readable_size, round_half_up, trunc_long
 from ..functions.predicates import (
     finished,
     has_limit,
@@ -21,8 +21,8 @@ from ..sources.logs import LogTables
 from .common import HASH, query_rows, top
 
 
-def _avg(total: str):
-    return avg_of(F.col(total), F.col("executions"))
+def _avg(total: str) -> str:
+    return avg_sql(total, "executions")
 
 
 @check("anti_patterns", "full_scans")
@@ -38,10 +38,10 @@ def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
             ("s_rb", "sum", F.col("read_bytes")),
         ],
     )
-    stats = stats.withColumn("scan_ratio", round_half_up(_avg("s_rr") / _avg("s_res"), 2)).where(
+    stats = stats.withColumn("scan_ratio", round_half_up(f"{_avg('s_rr')} / {_avg('s_res')}", 2)).where(
         F.col("scan_ratio") > float(cfg.scan_ratio_threshold)
     )
-    order = F.col("executions").cast("double") * _avg("s_rr")
+    order = F.expr(f"CAST(executions AS DOUBLE) * {_avg('s_rr')}")
     return top(stats, [order.desc(), F.asc(HASH)], cfg.top_n).select(
         "primary_user",
         "executions",
@@ -123,7 +123,7 @@ def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     rows = query_rows(tables, cfg).where(finished() & not_insert_text())
     stats = pattern_stats(rows, [HASH], [("s_rb", "sum", F.col("read_bytes"))])
     stats = stats.withColumn(
-        "avg_per_hour", round_half_up(F.col("executions") / cfg.lookback_days / 24, 2)
+        "avg_per_hour", round_half_up(f"executions / {cfg.lookback_days} / 24", 2)
     ).where(F.col("avg_per_hour") > float(cfg.repeat_threshold))
     return top(stats, [F.desc("executions"), F.asc(HASH)], cfg.top_n).select(
         "primary_user",

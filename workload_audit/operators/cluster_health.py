@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import avg_of, mean_interval_seconds
+from ..functions.aggregates import mean_interval_seconds
 from ..functions.columns import (
+    avg_sql,
     bar,
     batch_size_class,
     database_of,
@@ -23,8 +24,9 @@ from ..functions.columns import (
     readable_delta,
     round_half_up,
     strip_database,
+    lit,
     to_uint_or_zero,
-    trunc_long,
+    to_uint_or_zero_sql,
 )
 from ..functions.predicates import (
     FINISHED,
@@ -122,19 +124,22 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         lead_parts, TABLE_KEY, "rows", {"p50_rows_per_part": ("exact", 0.5)},
         approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
     )
-    interval = mean_interval_seconds(F.col("added_parts"), F.col("_first"), F.col("_last"))
-    avg_rows = round_half_up(avg_of(F.col("total_rows"), F.col("added_parts")), 0)
-    out = leaders.join(p50, TABLE_KEY).select(
-        "database",
-        "table",
-        "added_parts",
-        "total_rows",
-        batch_size_class(avg_rows).alias("batch_size_class"),
-        round_half_up(interval, 1).alias("avg_interval_sec"),
-        insert_frequency_class(interval).alias("insert_frequency_class"),
-        avg_rows.alias("avg_rows_per_part"),
-        "p50_rows_per_part",
-        round_half_up(F.col("small_parts") * 100 / F.col("added_parts"), 2).alias("small_parts_pct"),
+    out = (
+        leaders.join(p50, TABLE_KEY)
+        .withColumn("_ivl", mean_interval_seconds(F.col("added_parts"), F.col("_first"), F.col("_last")))
+        .withColumn("avg_rows_per_part", round_half_up(avg_sql("total_rows", "added_parts"), 0))
+        .select(
+            "database",
+            "table",
+            "added_parts",
+            "total_rows",
+            batch_size_class("avg_rows_per_part").alias("batch_size_class"),
+            round_half_up("_ivl", 1).alias("avg_interval_sec"),
+            insert_frequency_class("_ivl").alias("insert_frequency_class"),
+            "avg_rows_per_part",
+            "p50_rows_per_part",
+            round_half_up("small_parts * 100 / added_parts", 2).alias("small_parts_pct"),
+        )
     )
     return top(out, order, cfg.top_n)
 
@@ -153,7 +158,7 @@ def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """
     query_log, table_list = tables.require("query_log", "tables")
     since = cfg.now - dt.timedelta(days=cfg.lookback_days)
-    tbl = first_element(F.col("tables"))
+    tbl = first_element("tables")
     rows = query_log.where(
         (F.col("type") == FINISHED)
         & (F.col("query_kind") == "Insert")
@@ -163,11 +168,11 @@ def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         & (F.col("written_rows") > 0)
         & ~tbl.rlike(INNER_TABLE_REGEX)
     )
-    target_db = database_of(tbl) if cfg.use_table_prefix else F.col("current_database")
+    target_db = database_of("get(tables, 0)") if cfg.use_table_prefix else F.col("current_database")
     pre = rows.groupBy(
         target_db.alias("_db"),
-        strip_database(tbl).alias("_tbl"),
-        insert_duration_bucket(F.col("query_duration_ms")).alias("duration_bucket"),
+        strip_database("get(tables, 0)").alias("_tbl"),
+        insert_duration_bucket("query_duration_ms").alias("duration_bucket"),
     ).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("query_duration_ms").alias("_ms"),
@@ -179,19 +184,17 @@ def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         .groupBy(F.coalesce(F.col("engine"), F.lit(UNKNOWN_ENGINE)).alias("engine"), "duration_bucket")
         .agg(F.sum("_n").alias("inserts"), F.sum("_ms").alias("_ms"), F.sum("_rows").alias("_rows"))
     )
-    everything = Window.partitionBy()
-    avg_s = avg_of(F.col("_ms"), F.col("inserts")) / 1000.0
+    # The OVER () windows span the final (engine x bucket) rows only.
+    avg_s = f"{avg_sql('_ms', 'inserts')} / 1000.0D"
     out = buckets.select(
         "engine",
         "duration_bucket",
         "inserts",
-        round_half_up(
-            F.lit(100.0) * F.col("inserts") / F.nullif(F.sum("inserts").over(everything).cast("double"), F.lit(0.0)), 2
-        ).alias("pct"),
-        round_half_up(avg_of(F.col("_rows"), F.col("inserts")), 1).alias("avg_rows"),
+        round_half_up("100.0D * inserts / nullif(CAST(sum(inserts) OVER () AS DOUBLE), 0.0D)", 2).alias("pct"),
+        round_half_up(avg_sql("_rows", "inserts"), 1).alias("avg_rows"),
         round_half_up(avg_s, 3).alias("avg_query_s"),
-        bar(F.col("inserts"), 0, F.max("inserts").over(everything), BAR_WIDTH).alias("bar_chart"),
-        avg_s.alias("_avg_s"),
+        bar("inserts", "0", "max(inserts) OVER ()", BAR_WIDTH).alias("bar_chart"),
+        F.expr(avg_s).alias("_avg_s"),
     )
     return out.orderBy("engine", "_avg_s").drop("_avg_s")
 
@@ -228,29 +231,33 @@ def merge_pressure(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         merges, TABLE_KEY, "duration_ms", {"_p90_ms": ("exact", 0.9)},
         approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
     )
-    j = per.join(p90, TABLE_KEY)
-    p90_s = F.col("_p90_ms").cast("double") / 1000.0
-    avg_pos_s = F.try_divide(F.col("_ms_pos").cast("double"), F.col("_n_pos").cast("double")) / 1000.0
-    interval = mean_interval_seconds(F.col("total_merges"), F.col("first_merge_time"), F.col("last_merge_time"))
-    n = F.col("total_merges")
+    j = (
+        per.join(p90, TABLE_KEY)
+        .withColumn("_p90_s", F.col("_p90_ms").cast("double") / 1000.0)
+        .withColumn("_avg_s", F.try_divide(F.col("_ms_pos").cast("double"), F.col("_n_pos").cast("double")) / 1000.0)
+        .withColumn(
+            "avg_merge_interval_sec",
+            mean_interval_seconds(F.col("total_merges"), F.col("first_merge_time"), F.col("last_merge_time")),
+        )
+    )
     out = j.select(
         "database",
         "table",
-        round_half_up(p90_s, 2).alias("p90_merge_duration_s"),
-        round_half_up(avg_pos_s, 2).alias("avg_merge_duration_s"),
-        readable_delta(trunc_long(p90_s)).alias("p90_merge_duration_human"),
-        merge_duration_class(p90_s).alias("merge_duration_class"),
+        round_half_up("_p90_s", 2).alias("p90_merge_duration_s"),
+        round_half_up("_avg_s", 2).alias("avg_merge_duration_s"),
+        readable_delta("CAST(_p90_s AS BIGINT)").alias("p90_merge_duration_human"),
+        merge_duration_class("_p90_s").alias("merge_duration_class"),
         "total_merges",
-        merge_load_class(n).alias("merge_load_class"),
-        merge_pressure_class(p90_s, n).alias("merge_pressure_class"),
+        merge_load_class("total_merges").alias("merge_load_class"),
+        merge_pressure_class("_p90_s", "total_merges").alias("merge_pressure_class"),
         "total_parts_merged",
-        round_half_up(avg_of(F.col("total_parts_merged"), n), 2).alias("avg_parts_per_merge"),
+        round_half_up(avg_sql("total_parts_merged", "total_merges"), 2).alias("avg_parts_per_merge"),
         "total_rows_merged",
-        round_half_up(avg_of(F.col("total_rows_merged"), n), 0).alias("avg_rows_per_merge"),
-        round_half_up(F.col("_ms").cast("double") / 1000.0 / 3600.0, 2).alias("total_merge_wall_time_h"),
-        interval.alias("avg_merge_interval_sec"),
-        merge_frequency_class(interval).alias("merge_frequency_class"),
-        readable_delta(trunc_long(avg_pos_s)).alias("avg_merge_duration_human"),
+        round_half_up(avg_sql("total_rows_merged", "total_merges"), 0).alias("avg_rows_per_merge"),
+        round_half_up("CAST(_ms AS DOUBLE) / 1000.0D / 3600.0D", 2).alias("total_merge_wall_time_h"),
+        "avg_merge_interval_sec",
+        merge_frequency_class("avg_merge_interval_sec").alias("merge_frequency_class"),
+        readable_delta("CAST(_avg_s AS BIGINT)").alias("avg_merge_duration_human"),
         "first_merge_time",
         "last_merge_time",
     )
@@ -271,8 +278,8 @@ def node_thresholds(tables: LogTables) -> DataFrame:
     from_metric = metrics.agg(
         F.coalesce(F.max(F.when(F.col("metric") == MEMORY_METRIC, F.col("value"))).cast("bigint"), F.lit(0)).alias("a")
     )
-    from_setting = settings.agg(
-        to_uint_or_zero(F.max(F.when(F.col("name") == MEMORY_SETTING, F.col("value")))).alias("b")
+    from_setting = settings.agg(F.max(F.when(F.col("name") == MEMORY_SETTING, F.col("value"))).alias("_v")).select(
+        to_uint_or_zero("_v").alias("b")
     )
     total = (
         F.when(F.col("a") > 0, F.col("a"))
@@ -284,45 +291,43 @@ def node_thresholds(tables: LogTables) -> DataFrame:
     for bound, mb in OVERSIZE_STEPS:
         threshold = F.when(F.col("total") < bound, mb) if threshold is None else threshold.when(F.col("total") < bound, mb)
     return mem.select(
-        round_half_up(F.col("total") / 1024 / 1024 / 1024, 2).alias("node_ram_gb"),
+        round_half_up("total / 1024 / 1024 / 1024", 2).alias("node_ram_gb"),
         threshold.otherwise(OVERSIZE_TOP_MB).cast("bigint").alias("oversized_threshold_mb"),
     )
 
 
 def partition_status(cfg: AuditConfig) -> Column:
-    """The ordered status ladder of a partition (L9); first match wins."""
+    """The ordered status ladder of a partition (L9); first match wins.
+    Reads size_gb, avg_part_size_mb, parts_per_gb, active_merges,
+    oversized_threshold_mb and partition."""
     month_bound, year_bound = history_bounds(cfg)
-    part = F.col("partition")
-    num = to_uint_or_zero(part)
-    historical = ((F.length(part) == 6) & (num < month_bound)) | ((F.length(part) == 4) & (num < year_bound))
-    am = F.col("active_merges")
-    ppg = F.col("parts_per_gb")
-    mb = F.col("avg_part_size_mb")
-    thr = F.col("oversized_threshold_mb")
-    small_parts = (mb < 16) | (ppg > 300)
-    S = PARTITION_STATUS
-    return (
-        F.when(F.col("size_gb") < 0.1, S["small"])
-        .when(historical & ((am > 0) | (ppg > 100)), S["historical_busy"])
-        .when(historical & (am == 0) & (ppg <= 100), S["archived"])
-        .when(small_parts & (am == 0), S["backlog"])
-        .when(small_parts & (am > 0), S["catch_up_many"])
-        .when(((mb < 64) | (ppg > 150)) & (am > 0), S["catch_up_moderate"])
-        .when(mb.between(16, 32) & (ppg <= 50), S["healthy_small"])
-        .when(mb.between(32, 128) & (ppg <= 50), S["healthy_batching"])
-        .when(mb.between(F.lit(128), thr * 0.8), S["healthy_batching"])
-        .when(mb.between(thr * 0.8, thr * 1.5), S["large_ok"])
-        .when(mb.between(thr * 1.5, thr * 3), S["oversized"])
-        .when(mb > thr * 3, S["extreme"])
-        .otherwise(S["unclassified"])
+    num = to_uint_or_zero_sql("`partition`")
+    hist = f"((length(`partition`) = 6 AND {num} < {month_bound}) OR (length(`partition`) = 4 AND {num} < {year_bound}))"
+    small = "(avg_part_size_mb < 16 OR parts_per_gb > 300)"
+    thr = "oversized_threshold_mb"
+    S = {k: lit(v) for k, v in PARTITION_STATUS.items()}
+    return F.expr(
+        "CASE "
+        f"WHEN size_gb < 0.1D THEN {S['small']} "
+        f"WHEN {hist} AND (active_merges > 0 OR parts_per_gb > 100) THEN {S['historical_busy']} "
+        f"WHEN {hist} AND active_merges = 0 AND parts_per_gb <= 100 THEN {S['archived']} "
+        f"WHEN {small} AND active_merges = 0 THEN {S['backlog']} "
+        f"WHEN {small} AND active_merges > 0 THEN {S['catch_up_many']} "
+        f"WHEN (avg_part_size_mb < 64 OR parts_per_gb > 150) AND active_merges > 0 THEN {S['catch_up_moderate']} "
+        f"WHEN avg_part_size_mb BETWEEN 16 AND 32 AND parts_per_gb <= 50 THEN {S['healthy_small']} "
+        f"WHEN avg_part_size_mb BETWEEN 32 AND 128 AND parts_per_gb <= 50 THEN {S['healthy_batching']} "
+        f"WHEN avg_part_size_mb BETWEEN 128 AND {thr} * 0.8D THEN {S['healthy_batching']} "
+        f"WHEN avg_part_size_mb BETWEEN {thr} * 0.8D AND {thr} * 1.5D THEN {S['large_ok']} "
+        f"WHEN avg_part_size_mb BETWEEN {thr} * 1.5D AND {thr} * 3 THEN {S['oversized']} "
+        f"WHEN avg_part_size_mb > {thr} * 3 THEN {S['extreme']} "
+        f"ELSE {S['unclassified']} END"
     )
 
 
-def status_rank(status: Column) -> Column:
-    out = None
-    for i, prefix in enumerate(STATUS_RANK, 1):
-        out = F.when(status.startswith(prefix), i) if out is None else out.when(status.startswith(prefix), i)
-    return out.otherwise(len(STATUS_RANK) + 1)
+def status_rank(status: str) -> Column:
+    """Report order of a status by its leading symbol (T4)."""
+    whens = " ".join(f"WHEN startswith(({status}), {lit(p)}) THEN {i}" for i, p in enumerate(STATUS_RANK, 1))
+    return F.expr(f"CASE {whens} ELSE {len(STATUS_RANK) + 1} END")
 
 
 @check(
@@ -352,16 +357,16 @@ def partition_health(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         )
         .where((F.col("_rows") > MIN_PARTITION_ROWS) & (F.col("_bytes") > MIN_PARTITION_BYTES))
     )
-    gb = F.col("_bytes") / 1024 / 1024 / 1024
+    gb = "_bytes / 1024 / 1024 / 1024"
     ps = ps.select(
         "database",
         "table",
         "partition",
         "active_parts",
-        round_half_up(F.col("_rows") / 1e6, 2).alias("total_rows_m"),
+        round_half_up("_rows / 1e6", 2).alias("total_rows_m"),
         round_half_up(gb, 2).alias("size_gb"),
-        round_half_up(avg_of(F.col("_bytes"), F.col("active_parts")) / 1024 / 1024, 2).alias("avg_part_size_mb"),
-        round_half_up(F.col("active_parts") / F.nullif(gb, F.lit(0.0)), 0).alias("parts_per_gb"),
+        round_half_up(f"{avg_sql('_bytes', 'active_parts')} / 1024 / 1024", 2).alias("avg_part_size_mb"),
+        round_half_up(f"active_parts / nullif({gb}, 0.0D)", 0).alias("parts_per_gb"),
     )
     activity = merges.groupBy(*TABLE_KEY).agg(F.count(F.lit(1)).alias("_merges"))
     joined = (
@@ -384,7 +389,7 @@ def partition_health(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         "oversized_threshold_mb",
     )
     order = [
-        status_rank(F.col("partition_status")),
+        status_rank("partition_status"),
         F.desc("parts_per_gb"),
         F.desc("size_gb"),
         F.asc("database"),

@@ -33,8 +33,8 @@ def by_user(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return per_user.orderBy(F.desc("_read"), F.asc("user")).select(
         "user",
         "total_queries",
-        readable_size(F.col("_read")).alias("total_read"),
-        round_half_up(F.col("_ms") / 1000 / 3600, 2).alias("total_hours"),
+        readable_size("_read").alias("total_read"),
+        round_half_up("_ms / 1000 / 3600", 2).alias("total_hours"),
         "errors",
-        round_half_up(F.col("errors") / F.col("total_queries") * 100, 2).alias("error_rate_pct"),
+        round_half_up("errors / total_queries * 100", 2).alias("error_rate_pct"),
     )

@@ -9,12 +9,12 @@ rank, R7 query summary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 from ..functions.aggregates import mean_interval_seconds, pattern_stats
-from ..functions.columns import bar, readable_delta, readable_size, round_half_up, trunc_long
+from ..functions.columns import bar, readable_delta, readable_size, round_half_up
 from ..functions.predicates import MERGE_PARTS, NEW_PART, day_range, finished, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..sources.logs import LogTables
@@ -97,14 +97,11 @@ def op_share_of_total(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     aggregate (a handful of rows)."""
     (ql,) = tables.require("query_log")
     per = ql.groupBy("query_kind").agg(F.count(F.lit(1)).alias("executions"))
-    everything = Window.partitionBy()
     return per.select(
         "query_kind",
         "executions",
-        round_half_up(
-            F.lit(100.0) * F.col("executions") / F.nullif(F.sum("executions").over(everything).cast("double"), F.lit(0.0)), 2
-        ).alias("pct"),
-        bar(F.col("executions"), 0, F.max("executions").over(everything), SHARE_BAR_WIDTH).alias("bar_chart"),
+        round_half_up("100.0D * executions / nullif(CAST(sum(executions) OVER () AS DOUBLE), 0.0D)", 2).alias("pct"),
+        bar("executions", "0", "max(executions) OVER ()", SHARE_BAR_WIDTH).alias("bar_chart"),
     )
 
 
@@ -117,10 +114,10 @@ def op_readable_size(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
     return per.select(
         HASH,
-        readable_size(F.col("_s")).alias("total_read"),
-        readable_size(F.col("_s") / F.col("_n")).alias("avg_read"),
-        readable_size(F.col("_m")).alias("peak_memory"),
-        readable_size(F.col("_lo")).alias("min_read"),
+        readable_size("_s").alias("total_read"),
+        readable_size("_s / _n").alias("avg_read"),
+        readable_size("_m").alias("peak_memory"),
+        readable_size("_lo").alias("min_read"),
     )
 
 
@@ -132,8 +129,8 @@ def op_readable_delta(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
     return per.select(
         *TABLE_KEY,
-        readable_delta(trunc_long(F.col("_d") / 1000.0)).alias("longest_merge"),
-        readable_delta(F.timestamp_diff("SECOND", F.col("_a"), F.col("_b"))).alias("span"),
+        readable_delta("CAST(_d / 1000.0D AS BIGINT)").alias("longest_merge"),
+        readable_delta("timestampdiff(SECOND, _a, _b)").alias("span"),
     )
 
 
@@ -141,9 +138,7 @@ def op_bar(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """executions per user as a bar scaled to the busiest user."""
     (ql,) = tables.require("query_log")
     per = ql.groupBy("user").agg(F.count(F.lit(1)).alias("executions"))
-    return per.select(
-        "user", "executions", bar(F.col("executions"), 0, F.max("executions").over(Window.partitionBy()), 60).alias("bar_chart")
-    )
+    return per.select("user", "executions", bar("executions", "0", "max(executions) OVER ()", 60).alias("bar_chart"))
 
 
 def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -152,14 +147,14 @@ def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     ps = parts.where(F.col("active")).groupBy("database", "table", "partition").agg(
         F.count(F.lit(1)).alias("active_parts"), F.sum("bytes_on_disk").alias("_b")
     )
-    gb = F.col("_b") / 1024 / 1024 / 1024
+    gb = "_b / 1024 / 1024 / 1024"
     ps = ps.select(
         "database",
         "table",
         "partition",
         round_half_up(gb, 2).alias("size_gb"),
-        round_half_up(F.col("_b") / F.col("active_parts") / 1024 / 1024, 2).alias("avg_part_size_mb"),
-        round_half_up(F.col("active_parts") / F.nullif(gb, F.lit(0.0)), 0).alias("parts_per_gb"),
+        round_half_up("_b / active_parts / 1024 / 1024", 2).alias("avg_part_size_mb"),
+        round_half_up(f"active_parts / nullif({gb}, 0.0D)", 0).alias("parts_per_gb"),
     )
     activity = merges.groupBy(*TABLE_KEY).agg(F.count(F.lit(1)).alias("_m"))
     j = (
@@ -169,7 +164,7 @@ def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         .withColumn("partition_status", partition_status(cfg))
     )
     return j.select(
-        "database", "table", "partition", "partition_status", status_rank(F.col("partition_status")).alias("status_rank")
+        "database", "table", "partition", "partition_status", status_rank("partition_status").alias("status_rank")
     )
 
 

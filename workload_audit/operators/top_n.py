@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import avg_of, pattern_stats
-from ..functions.columns import readable_size, trunc_long
+from ..functions.aggregates import pattern_stats
+from ..functions.columns import avg_sql, readable_size, trunc_long
 from ..functions.predicates import finished, kind_is, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
@@ -35,8 +35,8 @@ def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return top(leaders.join(p95, HASH), [F.desc("max_mem"), F.asc(HASH)], cfg.top_n).select(
         "primary_user",
         "executions",
-        readable_size(F.col("max_mem")).alias("peak_memory"),
-        readable_size(F.col("p95")).alias("p95_memory"),
+        readable_size("max_mem").alias("peak_memory"),
+        readable_size("p95").alias("p95_memory"),
         "query_text",
     )
 
@@ -48,8 +48,8 @@ def by_read_bytes(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return top(stats, [F.desc("sum_read"), F.asc(HASH)], cfg.top_n).select(
         "primary_user",
         "executions",
-        readable_size(F.col("sum_read")).alias("total_read"),
-        readable_size(avg_of(F.col("sum_read"), F.col("executions"))).alias("avg_read"),
+        readable_size("sum_read").alias("total_read"),
+        readable_size(avg_sql("sum_read", "executions")).alias("avg_read"),
         "query_text",
     )
 
@@ -67,8 +67,8 @@ def by_duration(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         HASH,
         "primary_user",
         "executions",
-        trunc_long(F.col("p50")).alias("p50_ms"),
-        trunc_long(F.col("p95")).alias("p95_ms"),
+        trunc_long("p50").alias("p50_ms"),
+        trunc_long("p95").alias("p95_ms"),
         "max_ms",
         "query_text",
     )
@@ -80,12 +80,13 @@ def by_weighted_cost(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns by executions x average bytes read (INSERTs excluded)."""
     rows = query_rows(tables, cfg).where(finished() & kind_is_not("Insert"))
     stats = pattern_stats(rows, [HASH], [("sum_read", "sum", F.col("read_bytes"))])
-    avg_read = avg_of(F.col("sum_read"), F.col("executions"))
-    stats = stats.withColumn("_avg", avg_read).withColumn("_cost", F.col("executions").cast("double") * F.col("_avg"))
+    stats = stats.withColumn("_avg", F.expr(avg_sql("sum_read", "executions"))).withColumn(
+        "_cost", F.col("executions").cast("double") * F.col("_avg")
+    )
     return top(stats, [F.desc("_cost"), F.asc(HASH)], cfg.top_n).select(
         "primary_user",
         "executions",
-        readable_size(F.col("_avg")).alias("avg_read"),
-        readable_size(F.col("_cost")).alias("weighted_cost"),
+        readable_size("_avg").alias("avg_read"),
+        readable_size("_cost").alias("weighted_cost"),
         "query_text",
     )
