@@ -9,14 +9,18 @@ joins and windows:
 1. ``freq``  = count per (group, value)            - partial aggregation
 2. ``h2``    = count per (group, value >> 21)
    ``h1``    = count per (group, value >> 42)
-3. per (group, wanted rank): running counts over ``h1`` pick the level-1
-   bucket holding the rank, then over that bucket's ``h2`` rows the level-2
-   bucket, then over that bucket's ``freq`` rows the value itself.
+3. running counts per bucket: over ``h1`` per group, over ``h2`` per
+   (group, level-1 bucket), over ``freq`` per (group, level-2 bucket); each
+   is one window, shared by every wanted rank;
+4. per (group, wanted rank): an equi-join on the bucket key with a range
+   condition finds the level-1 bucket holding the rank, then the level-2
+   bucket, then the value itself.
 
 A 64-bit value has at most 2^21 distinct sub-buckets under one bucket, so no
 window partition and no join key ever holds more than ~2^22 rows, whatever
-the skew: the result is exact and every task is bounded. Small inputs just
-see three tiny extra stages.
+the skew: the result is exact and every task is bounded. The wanted ranks
+are a few rows per group, so the range joins can be broadcast at run time
+(AQE) and the frequency table is never shuffled for them.
 
 Two rank rules are offered:
 
@@ -42,16 +46,24 @@ _SHIFT_1 = 2 * LEVEL_BITS
 _SHIFT_2 = LEVEL_BITS
 
 
-def _pick(cands: DataFrame, part: Sequence[str], order: str) -> DataFrame:
-    """Keep, per ``part``, the row whose running count range holds ``_r``,
-    and make ``_r`` relative to that row."""
+def _locate(targets: DataFrame, cands: DataFrame, part: list[str], order: str) -> DataFrame:
+    """Running counts of ``cands`` per ``part`` in ``order`` (one window per
+    bucket, shared by all wanted ranks), then each target ``(part, _tag,
+    _r, _w)`` is matched to the candidate whose count range holds its rank -
+    an equi-join on ``part`` plus a range condition. Returns the targets
+    with ``order`` set and ``_r`` made relative to that candidate."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_upto")
-    start = upto - F.col("_c")
-    return (
-        cands.withColumn("_upto", F.sum("_c").over(w))
-        .where((F.col("_r") >= start) & (F.col("_r") < upto))
-        .withColumn("_r", F.col("_r") - start)
+    cum = cands.withColumn("_upto", F.sum("_c").over(w)).alias("c")
+    t = targets.alias("t")
+    start = F.col("c._upto") - F.col("c._c")
+    cond = [F.col(f"t.`{k}`") == F.col(f"c.`{k}`") for k in part]
+    cond += [F.col("t._r") >= start, F.col("t._r") < F.col("c._upto")]
+    return t.join(cum, cond).select(
+        *[F.col(f"t.`{k}`").alias(k) for k in part],
+        F.col("t._tag").alias("_tag"),
+        (F.col("t._r") - start).alias("_r"),
+        F.col("t._w").alias("_w"),
+        F.col(f"c.`{order}`").alias(order),
     )
 
 
@@ -109,12 +121,11 @@ def group_quantiles(
     h1 = h2.groupBy(*keys, "_b1").agg(F.sum("_c").alias("_c"))
     n = h1.groupBy(*keys).agg(F.sum("_c").alias("_n"))
 
-    tk = keys + ["_tag"]
     targets = _targets(n, keys, specs)
-    s1 = _pick(targets.join(h1, keys), tk, "_b1").select(*tk, "_r", "_w", "_b1")
-    s2 = _pick(s1.join(h2, keys + ["_b1"]), tk, "_b2").select(*tk, "_r", "_w", "_b2")
-    s3 = _pick(s2.join(freq.select(*keys, "_b2", "_x", "_c"), keys + ["_b2"]), tk, "_x")
-    picked = s3.select(*tk, "_w", F.col("_x").alias("_v"))
+    s1 = _locate(targets, h1, keys, "_b1")
+    s2 = _locate(s1, h2, keys + ["_b1"], "_b2").drop("_b1")
+    s3 = _locate(s2, freq.select(*keys, "_b2", "_x", "_c"), keys + ["_b2"], "_x")
+    picked = s3.select(*keys, "_tag", "_w", F.col("_x").alias("_v"))
 
     tag, v = F.col("_tag"), F.col("_v")
     aggs: list[Column] = []
