@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field, replace
 
-# --- fixed values (must equal the reference's for the same results) -------
+# --- fixed values (must equal the source tool's for the same results) -----
 # Built-in internal service users excluded from query-level analysis unless
 # ``include_internal`` is set.
 INTERNAL_USERS = (
