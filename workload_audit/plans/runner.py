@@ -1,11 +1,11 @@
 """Run a selection of checks over one set of inputs.
 
 When two or more selected checks read the query log, the base population
-(window widened to the longest look-back any check needs, initial queries,
-no self queries, allowed users, only the needed columns) is built once and
-persisted for the run, so the log is scanned once instead of once per
-check. If an executor is lost its cached blocks are simply recomputed from
-the scan. A failing check is logged and skipped; the others continue.
+(the last two periods, initial queries, no self queries, allowed users,
+only the needed columns) is built once and persisted for the run, so the log
+is scanned once instead of once per check. If an executor is lost its cached
+blocks are simply recomputed from the scan. A failing check is logged and
+skipped; the others continue.
 """
 
 from __future__ import annotations
@@ -33,9 +33,12 @@ class CheckResult:
 
 
 def base_days(cfg: AuditConfig) -> int:
-    """Longest look-back of any query-log check: the new-pattern baseline
-    reaches back four periods."""
-    return 4 * cfg.lookback_days
+    """Days kept in the shared base: two periods, the window of the
+    week-over-week check and (with the current period) of every other
+    query-log check. The new-pattern baseline reaches four periods back but
+    only needs pattern hashes, so it reads the log directly with a narrow,
+    partition-pruned projection instead of widening what is persisted."""
+    return 2 * cfg.lookback_days
 
 
 def share_query_base(tables: LogTables, cfg: AuditConfig, specs: list[CheckSpec]) -> LogTables:
