@@ -1,7 +1,6 @@
 """Partition status ladder (L9) branch by branch, the partition-age quirks,
 the node-memory cascade (L8) and the status rank (T4)."""
 
-import datetime as dt
 
 import pytest
 

@@ -72,8 +72,3 @@ def mean_interval_seconds(n: Column, first: Column, last: Column) -> Column:
     """Mean gap between ``n`` events spanning [first, last], NULL if n <= 1."""
     span = F.timestamp_diff("SECOND", first, last).cast("double")
     return F.when(n > 1, span / (n - 1).cast("double")).cast("double")
-
-
-def avg_of(total: Column, n: Column) -> Column:
-    """Mean from a sum and a count (both exact longs), as double."""
-    return total.cast("double") / n.cast("double")

@@ -110,9 +110,12 @@ def group_quantiles(
         ]
         return df.where(x.isNotNull()).groupBy(*keys).agg(*aggs)
 
+    # Group by plain columns (not an expression) so the three levels share
+    # one exchange for ``freq`` (exchange reuse needs identical subtrees).
     freq = (
-        df.where(x.isNotNull())
-        .groupBy(*keys, x.cast("bigint").alias("_x"))
+        df.select(*keys, x.cast("bigint").alias("_x"))
+        .where(F.col("_x").isNotNull())
+        .groupBy(*keys, "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b1", F.shiftright("_x", _SHIFT_1))
         .withColumn("_b2", F.shiftright("_x", _SHIFT_2))

@@ -489,20 +489,7 @@ def merge_pressure(cfg: AuditConfig) -> str:
 
 
 def partition_health(cfg: AuditConfig) -> str:
-    from .operators.cluster_health import PARTITION_STATUS, STATUS_RANK, history_bounds, oversize_threshold_steps
-
-    month_bound, year_bound = history_bounds(cfg)
-    mem = (
-        "mem AS (SELECT CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 64000000000 END AS total FROM "
-        "(SELECT coalesce(CAST(trunc(max(value) FILTER (WHERE metric = 'MemoryTotal')) AS BIGINT), 0) AS a FROM asynchronous_metrics) "
-        "CROSS JOIN (SELECT coalesce(CASE WHEN regexp_full_match(v, '[0-9]+') THEN TRY_CAST(v AS BIGINT) END, 0) AS b FROM "
-        "(SELECT max(value) FILTER (WHERE name = 'max_memory_usage') AS v FROM settings)))"
-    )
-    steps, top_mb = oversize_threshold_steps()
-    thr = (
-        f"thr AS (SELECT {rnd('total / 1024 / 1024 / 1024', 2)} AS node_ram_gb, "
-        "CASE " + " ".join(f"WHEN total < {b!r} THEN {mb}" for b, mb in steps) + f" ELSE {top_mb} END AS oversized_threshold_mb FROM mem)"
-    )
+    ctes, status, rank = _partition_status_sql(cfg)
     ps = (
         'ps AS (SELECT database, "table", "partition", count(*) AS active_parts, '
         f"{rnd('sum(\"rows\") / 1e6', 2)} AS total_rows_m, "
@@ -512,37 +499,12 @@ def partition_health(cfg: AuditConfig) -> str:
         f"FROM parts WHERE active AND database NOT IN ('system') AND {_not_inner()} "
         'GROUP BY database, "table", "partition" HAVING sum("rows") > 100000 AND sum(bytes_on_disk) > 100000000)'
     )
-    ma = 'ma AS (SELECT database, "table", count(*) AS active_merges FROM merges GROUP BY database, "table")'
-    hist = (
-        f"((length(\"partition\") = 6 AND coalesce(CASE WHEN regexp_full_match(\"partition\", '[0-9]+') THEN TRY_CAST(\"partition\" AS BIGINT) END, 0) < {month_bound}) "
-        f"OR (length(\"partition\") = 4 AND coalesce(CASE WHEN regexp_full_match(\"partition\", '[0-9]+') THEN TRY_CAST(\"partition\" AS BIGINT) END, 0) < {year_bound}))"
-    )
-    am = "coalesce(ma.active_merges, 0)"
-    S = PARTITION_STATUS
-    status = (
-        "CASE "
-        f"WHEN ps.size_gb < 0.1 THEN {q(S['small'])} "
-        f"WHEN {hist} AND ({am} > 0 OR ps.parts_per_gb > 100) THEN {q(S['historical_busy'])} "
-        f"WHEN {hist} AND {am} = 0 AND ps.parts_per_gb <= 100 THEN {q(S['archived'])} "
-        f"WHEN (ps.avg_part_size_mb < 16 OR ps.parts_per_gb > 300) AND {am} = 0 THEN {q(S['backlog'])} "
-        f"WHEN (ps.avg_part_size_mb < 16 OR ps.parts_per_gb > 300) AND {am} > 0 THEN {q(S['catch_up_many'])} "
-        f"WHEN (ps.avg_part_size_mb < 64 OR ps.parts_per_gb > 150) AND {am} > 0 THEN {q(S['catch_up_moderate'])} "
-        f"WHEN ps.avg_part_size_mb BETWEEN 16 AND 32 AND ps.parts_per_gb <= 50 THEN {q(S['healthy_small'])} "
-        f"WHEN ps.avg_part_size_mb BETWEEN 32 AND 128 AND ps.parts_per_gb <= 50 THEN {q(S['healthy_batching'])} "
-        f"WHEN ps.avg_part_size_mb BETWEEN 128 AND t.oversized_threshold_mb * 0.8 THEN {q(S['healthy_batching'])} "
-        f"WHEN ps.avg_part_size_mb BETWEEN t.oversized_threshold_mb * 0.8 AND t.oversized_threshold_mb * 1.5 THEN {q(S['large_ok'])} "
-        f"WHEN ps.avg_part_size_mb BETWEEN t.oversized_threshold_mb * 1.5 AND t.oversized_threshold_mb * 3 THEN {q(S['oversized'])} "
-        f"WHEN ps.avg_part_size_mb > t.oversized_threshold_mb * 3 THEN {q(S['extreme'])} "
-        f"ELSE {q(S['unclassified'])} END"
-    )
-    rank = "CASE " + " ".join(f"WHEN partition_status LIKE {q(p + '%')} THEN {i}" for i, p in enumerate(STATUS_RANK, 1))
-    rank += f" ELSE {len(STATUS_RANK) + 1} END"
-    sql = with_(mem, thr, ps, ma)
+    sql = with_(*ctes, ps)
     sql += (
-        "SELECT * EXCLUDE (rk) FROM ("
+        "SELECT * FROM ("
         f'SELECT ps.database, ps."table", ps."partition", {status} AS partition_status, ps.total_rows_m, ps.size_gb, '
-        f"ps.active_parts, ps.avg_part_size_mb, ps.parts_per_gb, {am} AS active_merges, t.node_ram_gb, "
-        "t.oversized_threshold_mb, 0 AS rk "
+        "ps.active_parts, ps.avg_part_size_mb, ps.parts_per_gb, coalesce(ma.active_merges, 0) AS active_merges, "
+        "t.node_ram_gb, t.oversized_threshold_mb "
         'FROM ps LEFT JOIN ma ON ps.database = ma.database AND ps."table" = ma."table" CROSS JOIN thr t) x '
         f'ORDER BY {rank}, parts_per_gb DESC, size_gb DESC, database, "table", "partition" LIMIT {cfg.top_n}'
     )
