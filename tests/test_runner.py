@@ -34,3 +34,20 @@ def test_failing_check_is_skipped(spark, tables_small, cfg, caplog):
     assert "insert_part_fragmentation" not in names and "merge_pressure" not in names
     assert "partition_health" in names and "insert_duration_by_engine" in names
     assert "missing input table" in caplog.text
+
+
+def test_parallel_and_serial_runs_agree(spark, tables_small, cfg):
+    par = run_checks(tables_small, cfg, parallelism=4)
+    ser = run_checks(tables_small, cfg, parallelism=1)
+    assert [(r.category, r.name) for r in par] == [(r.category, r.name) for r in ser]
+    assert [sorted(map(str, r.rows)) for r in par] == [sorted(map(str, r.rows)) for r in ser]
+
+
+def test_extra_self_patterns_exclude_archive_queries(spark, tables_small, cfg):
+    from workload_audit.operators.top_n import by_read_bytes
+
+    base = {r["query_text"] for r in by_read_bytes(tables_small, cfg.with_(top_n=100)).collect()}
+    star = {t for t in base if t.startswith("SELECT * FROM")}
+    assert star
+    filtered = {r["query_text"] for r in by_read_bytes(tables_small, cfg.with_(top_n=100, extra_self_patterns=("SELECT * FROM%",))).collect()}
+    assert filtered == base - star

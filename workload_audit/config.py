@@ -73,6 +73,9 @@ class AuditConfig:
     # Match inserts to ``tables`` by the database written in the table name
     # instead of the session database.
     use_table_prefix: bool = False
+    # Further LIKE patterns of the audit's own queries, e.g. the archive
+    # table's name when auditing an archive.
+    extra_self_patterns: tuple[str, ...] = ()
 
     @property
     def today(self) -> dt.date:

@@ -50,9 +50,13 @@ def day_range(cfg: AuditConfig, older: int, newer: int) -> Column:
     return (d >= F.lit(days_before(cfg, older))) & (d < F.lit(days_before(cfg, newer)))
 
 
-def not_self_query() -> Column:
-    """Skip the audit's own queries on the log."""
-    return ~_str("query").like(SELF_QUERY_PATTERN)
+def not_self_query(extra_patterns: tuple[str, ...] = ()) -> Column:
+    """Skip the audit's own queries on the log (P6), plus any extra LIKE
+    patterns (e.g. the name of an archive table being audited)."""
+    cond = ~_str("query").like(SELF_QUERY_PATTERN)
+    for pat in extra_patterns:
+        cond = cond & ~_str("query").like(pat)
+    return cond
 
 
 def user_allowed(cfg: AuditConfig) -> Column | None:
@@ -67,7 +71,7 @@ def base_query_filter(cfg: AuditConfig, days: int | None = None) -> Column:
     """Base population B without the type filter: window, initial queries,
     no self queries, allowed users."""
     cond = since_day(cfg, cfg.lookback_days if days is None else days)
-    cond = cond & (F.col("is_initial_query") == 1) & not_self_query()
+    cond = cond & (F.col("is_initial_query") == 1) & not_self_query(cfg.extra_self_patterns)
     allowed = user_allowed(cfg)
     return cond if allowed is None else cond & allowed
 

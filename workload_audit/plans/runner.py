@@ -11,6 +11,7 @@ skipped; the others continue.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -65,28 +66,40 @@ def build_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True
     return out
 
 
-def run_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True) -> list[CheckResult]:
+def run_checks(
+    tables: LogTables, cfg: AuditConfig, *, share_base: bool = True, parallelism: int = 4
+) -> list[CheckResult]:
     """Run every selected check and collect its (bounded, ranked) rows.
 
     Results are top-N lists or per-user / per-engine summaries, so only a
-    handful of rows per check reach the driver. Spark is lazy, so the
-    action runs inside the per-check ``try``.
+    handful of rows per check reach the driver. Spark is lazy, so the action
+    runs inside the per-check ``try``. Up to ``parallelism`` checks run as
+    concurrent Spark jobs (the scheduler shares the executors between them),
+    which overlaps the many small stages of the checks; results keep the
+    (category, name) order.
     """
     specs = select_checks(cfg.only_categories)
     if not specs:
         log.warning("no checks selected (categories: %s)", cfg.only_categories)
         return []
     shared = share_query_base(tables, cfg, specs) if share_base else tables
-    results: list[CheckResult] = []
+
+    def run_one(spec: CheckSpec) -> CheckResult | None:
+        try:
+            df = spec.fn(shared, cfg)
+            rows = [tuple(r) for r in df.collect()]
+            return CheckResult(spec.category, spec.name, tuple(df.columns), rows)
+        except Exception as exc:  # noqa: BLE001 - fault isolation is the point
+            log.warning("check %s failed: %s: %s", spec.key, type(exc).__name__, exc)
+            return None
+
     try:
-        for spec in specs:
-            try:
-                df = spec.fn(shared, cfg)
-                rows = [tuple(r) for r in df.collect()]
-                results.append(CheckResult(spec.category, spec.name, tuple(df.columns), rows))
-            except Exception as exc:  # noqa: BLE001
-                log.warning("check %s failed: %s: %s", spec.key, type(exc).__name__, exc)
+        if parallelism <= 1:
+            outcomes = [run_one(s) for s in specs]
+        else:
+            with ThreadPoolExecutor(max_workers=parallelism, thread_name_prefix="audit-check") as pool:
+                outcomes = list(pool.map(run_one, specs))
     finally:
         if shared.query_base is not None and shared is not tables:
             shared.query_base.unpersist()
-    return results
+    return [r for r in outcomes if r is not None]
