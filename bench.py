@@ -1,13 +1,15 @@
 """Benchmark the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Prints one JSON line:
-  {"metric": "checks_total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
+  {"metric": "full_audit_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
-Each query is timed end to end - building the DataFrame from the Parquet
-tables and collecting its result - after one untimed warm-up pass (JIT and
-code generation); the reported time is the median of BENCH_REPS runs. The
-first (cold) run of every query is reported under "cold". ``full_run`` is all
-17 checks through the runner with one shared, persisted base scan.
+The headline is ``full_run``: all 17 checks through the runner, the way an
+audit is run - one shared, persisted base scan and up to four checks as
+concurrent Spark jobs. ``checks_total_sec`` is the sum of the 17 checks
+timed one by one. Each query is timed end to end - building the DataFrame
+from the Parquet tables and collecting its result - after one untimed
+warm-up pass (JIT and code generation); the reported time is the median of
+BENCH_REPS runs. The first (cold) run of every query is under "cold".
 """
 
 from __future__ import annotations
@@ -65,9 +67,10 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "checks_total_sec",
-                "value": total,
+                "metric": "full_audit_sec",
+                "value": warm["full_run"],
                 "unit": "sec",
+                "checks_total_sec": total,
                 "queries": warm,
                 "cold": cold,
                 "sf": float(m.group(1)) if m else sf_dir,
