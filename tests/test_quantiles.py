@@ -74,3 +74,20 @@ def test_property_matches_sort(spark, vals, p):
     got = run(spark, [("g", v) for v in vals], {"e": ("exact", p), "c": ("cont", p)})
     assert got["g"]["e"] == brute_exact(vals, p)
     assert got["g"]["c"] == brute_cont(vals, p)
+
+
+def test_approx_option_is_close(spark):
+    rnd = random.Random(9)
+    vals = [rnd.randrange(0, 10**6) for _ in range(5000)]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, x long")
+    got = group_quantiles(df, ["g"], "x", {"e": ("exact", 0.9), "c": ("cont", 0.5)}, approx=True, accuracy=10000).collect()[0]
+    assert abs(got["e"] - brute_exact(vals, 0.9)) <= 10**6 * 0.01
+    assert abs(got["c"] - brute_cont(vals, 0.5)) <= 10**6 * 0.01
+
+
+def test_checks_run_with_approx_quantiles(spark, tables_small, cfg):
+    from workload_audit.operators.cluster_health import merge_pressure
+    from workload_audit.operators.top_n import by_duration
+
+    assert by_duration(tables_small, cfg.with_(approx_quantiles=True)).count() == by_duration(tables_small, cfg).count()
+    assert merge_pressure(tables_small, cfg.with_(approx_quantiles=True)).count() == merge_pressure(tables_small, cfg).count()

@@ -19,6 +19,37 @@ AUDIT_CONF = {
 }
 
 
+# Starting points for a large cluster (~1000 executors, ~100 TB of logs).
+# Scans: 512 MB splits keep the task count near 200k for 100 TB. Shuffles:
+# every check aggregates map-side before its first shuffle, so shuffle
+# volume is a small fraction of the scan; a high partition count plus AQE
+# coalescing toward 256 MB tasks keeps partitions spill-free, and AQE splits
+# any skewed join partition. Broadcasts Spark picks on its own stay under
+# 64 MB; the explicit ones in the code have fixed bounds (top_n keys, one
+# threshold row, the recommendation table). Checkpoints written by report
+# queries are removed when no longer referenced.
+CLUSTER_CONF = {
+    **AUDIT_CONF,
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
+    """Set the SQL settings of CLUSTER_CONF that the session does not set
+    already (an explicit job setting always wins)."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        if not k.startswith("spark.sql."):
+            continue  # core settings belong to spark-submit
+        if spark.conf.get(k, None) in (None, "") or (overrides and k in overrides):
+            spark.conf.set(k, v)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "workload-audit") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
