@@ -33,3 +33,26 @@ def test_thresholds_reach_the_plan(spark, tables_small, cfg):
     few = small_insert_batches(tables_small, cfg.with_(min_batch_size=1)).count()
     many = small_insert_batches(tables_small, cfg.with_(min_batch_size=10**9)).count()
     assert few == 0 and many > 0
+
+
+def test_session_time_zone_does_not_change_results(spark, cfg):
+    """Log timestamps are wall-clock (TIMESTAMP_NTZ) and every literal is
+    built from text, so the session time zone must not matter."""
+    from workload_audit.operators.cluster_health import insert_part_fragmentation, merge_pressure
+    from workload_audit.operators.top_n import by_duration
+    from workload_audit.sources.fixtures import _build_fixture_tables
+
+    from .conftest import SF_SMALL
+
+    def run():
+        t = _build_fixture_tables(spark, SF_SMALL)
+        return [_rows(f(t, cfg)) for f in (merge_pressure, insert_part_fragmentation, by_duration)]
+
+    before = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        shifted = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == shifted

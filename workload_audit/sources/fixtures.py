@@ -105,7 +105,9 @@ def part_log_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.lit("202401").alias("partition_id"),
         F.concat(F.lit("p_"), _s(F.col("l_orderkey")), F.lit("_"), _s(F.col("l_linenumber"))).alias("part_name"),
         F.when(new_part, "NewPart").otherwise("MergeParts").alias("event_type"),
-        F.timestamp_add("SECOND", -offset, F.lit(FIXTURE_NOW).cast("timestamp_ntz")).alias("event_time"),
+        F.timestamp_add("SECOND", -offset, F.lit(FIXTURE_NOW.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")).alias(
+            "event_time"
+        ),
         (F.col("l_quantity").cast("bigint") * (1 + (sk % 10) * (sk % 10) * 50)).alias("rows"),
         (F.col("l_quantity").cast("bigint") * 100).alias("bytes_uncompressed"),
         (F.round("l_extendedprice").cast("bigint") * (sk % 3 + 1)).alias("duration_ms"),
