@@ -135,10 +135,16 @@ def op_readable_delta(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
 
 def op_bar(tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    """executions per user as a bar scaled to the busiest user."""
+    """executions per user as a bar scaled to the busiest user. The
+    number of users is not bounded, so the scale comes from a global
+    aggregate (exactly one row, broadcast) rather than an OVER () window
+    that would gather every user into one task."""
     (ql,) = tables.require("query_log")
     per = ql.groupBy("user").agg(F.count(F.lit(1)).alias("executions"))
-    return per.select("user", "executions", bar("executions", "0", "max(executions) OVER ()", 60).alias("bar_chart"))
+    top_count = per.agg(F.max("executions").alias("_mx"))
+    return per.crossJoin(F.broadcast(top_count)).select(
+        "user", "executions", bar("executions", "0", "_mx", 60).alias("bar_chart")
+    )
 
 
 def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
