@@ -271,31 +271,43 @@ def merge_pressure(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return top(out, order, cfg.top_n)
 
 
-def node_thresholds(tables: LogTables) -> DataFrame:
-    """One row: node RAM (GB) and the oversized-part threshold (MB), from
-    the memory metric, else the memory setting, else a default (L8)."""
+def node_memory(tables: LogTables) -> Column:
+    """Node memory in bytes (L8): the memory metric, else the memory
+    setting, else a default. Each source is a global aggregate used as a
+    scalar subquery (one value, evaluated once), so no join is needed."""
     metrics, settings = tables.require("asynchronous_metrics", "settings")
     from_metric = metrics.agg(
-        F.coalesce(F.max(F.when(F.col("metric") == MEMORY_METRIC, F.col("value"))).cast("bigint"), F.lit(0)).alias("a")
-    )
-    from_setting = settings.agg(F.max(F.when(F.col("name") == MEMORY_SETTING, F.col("value"))).alias("_v")).select(
-        to_uint_or_zero("_v").alias("b")
+        F.coalesce(F.max(F.when(F.col("metric") == MEMORY_METRIC, F.col("value"))).cast("bigint"), F.lit(0))
+    ).scalar()
+    from_setting = (
+        settings.agg(F.max(F.when(F.col("name") == MEMORY_SETTING, F.col("value"))).alias("_v"))
+        .select(to_uint_or_zero("_v"))
+        .scalar()
     )
-    total = (
-        F.when(F.col("a") > 0, F.col("a"))
-        .when(F.col("b") > 0, F.col("b"))
+    return (
+        F.when(from_metric > 0, from_metric)
+        .when(from_setting > 0, from_setting)
         .otherwise(F.lit(DEFAULT_NODE_MEMORY).cast("bigint"))
     )
-    mem = from_metric.crossJoin(from_setting).select(total.alias("total"))
-    threshold = None
-    for bound, mb in OVERSIZE_STEPS:
-        threshold = F.when(F.col("total") < bound, mb) if threshold is None else threshold.when(F.col("total") < bound, mb)
-    return mem.select(
-        round_half_up("total / 1024 / 1024 / 1024", 2).alias("node_ram_gb"),
-        threshold.otherwise(OVERSIZE_TOP_MB).cast("bigint").alias("oversized_threshold_mb"),
+
+
+def with_node_thresholds(df: DataFrame, tables: LogTables) -> DataFrame:
+    """Add ``node_ram_gb`` and ``oversized_threshold_mb`` (L8) to every row."""
+    steps = " ".join(f"WHEN _node_mem < {lit(float(b))} THEN {mb}" for b, mb in OVERSIZE_STEPS)
+    return (
+        df.withColumn("_node_mem", node_memory(tables))
+        .withColumn("node_ram_gb", round_half_up("_node_mem / 1024 / 1024 / 1024", 2))
+        .withColumn("oversized_threshold_mb", F.expr(f"CAST(CASE {steps} ELSE {OVERSIZE_TOP_MB} END AS BIGINT)"))
+        .drop("_node_mem")
     )
 
 
+def node_thresholds(tables: LogTables) -> DataFrame:
+    """The node thresholds as one row (for inspection and tests)."""
+    spark = tables.require("settings")[0].sparkSession
+    return with_node_thresholds(spark.range(1), tables).select("node_ram_gb", "oversized_threshold_mb")
+
+
 def partition_status(cfg: AuditConfig) -> Column:
     """The ordered status ladder of a partition (L9); first match wins.
     Reads size_gb, avg_part_size_mb, parts_per_gb, active_merges,
@@ -340,9 +352,8 @@ def partition_health(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Partition fragmentation, merge backlog and oversize per partition.
 
     Active parts are aggregated per (database, table, partition); active
-    merges per table are left-joined (J5); the node thresholds are a single
-    row (a global aggregate, so exactly one) broadcast to every partition
-    group (J6).
+    merges per table are left-joined (J5); the node thresholds come from
+    one-row global aggregates used as scalar subqueries (J6).
     """
     parts, merges = tables.require("parts", "merges")
     live = parts.where(
@@ -369,10 +380,11 @@ def partition_health(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         round_half_up(f"active_parts / nullif({gb}, 0.0D)", 0).alias("parts_per_gb"),
     )
     activity = merges.groupBy(*TABLE_KEY).agg(F.count(F.lit(1)).alias("_merges"))
-    joined = (
-        ps.join(activity, TABLE_KEY, "left")
-        .withColumn("active_merges", F.coalesce(F.col("_merges"), F.lit(0).cast("bigint")))
-        .crossJoin(F.broadcast(node_thresholds(tables)))
+    joined = with_node_thresholds(
+        ps.join(activity, TABLE_KEY, "left").withColumn(
+            "active_merges", F.coalesce(F.col("_merges"), F.lit(0).cast("bigint"))
+        ),
+        tables,
     )
     out = joined.withColumn("partition_status", partition_status(cfg)).select(
         "database",

@@ -18,7 +18,7 @@ from ..functions.columns import bar, readable_delta, readable_size, round_half_u
 from ..functions.predicates import MERGE_PARTS, NEW_PART, day_range, finished, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..sources.logs import LogTables
-from .cluster_health import PART_KEY, TABLE_KEY, node_thresholds, partition_status, status_rank
+from .cluster_health import PART_KEY, TABLE_KEY, partition_status, status_rank, with_node_thresholds
 from .common import HASH, query_rows
 
 SHARE_BAR_WIDTH = 30
@@ -136,13 +136,13 @@ def op_readable_delta(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
 def op_bar(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """executions per user as a bar scaled to the busiest user. The
-    number of users is not bounded, so the scale comes from a global
-    aggregate (exactly one row, broadcast) rather than an OVER () window
-    that would gather every user into one task."""
+    number of users is not bounded, so the scale is a global aggregate used
+    as a scalar subquery rather than an OVER () window that would gather
+    every user into one task."""
     (ql,) = tables.require("query_log")
     per = ql.groupBy("user").agg(F.count(F.lit(1)).alias("executions"))
-    top_count = per.agg(F.max("executions").alias("_mx"))
-    return per.crossJoin(F.broadcast(top_count)).select(
+    top_count = per.agg(F.max("executions")).scalar()
+    return per.withColumn("_mx", top_count).select(
         "user", "executions", bar("executions", "0", "_mx", 60).alias("bar_chart")
     )
 
@@ -163,12 +163,10 @@ def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         round_half_up(f"active_parts / nullif({gb}, 0.0D)", 0).alias("parts_per_gb"),
     )
     activity = merges.groupBy(*TABLE_KEY).agg(F.count(F.lit(1)).alias("_m"))
-    j = (
-        ps.join(activity, TABLE_KEY, "left")
-        .withColumn("active_merges", F.coalesce(F.col("_m"), F.lit(0).cast("bigint")))
-        .crossJoin(F.broadcast(node_thresholds(tables)))
-        .withColumn("partition_status", partition_status(cfg))
-    )
+    j = with_node_thresholds(
+        ps.join(activity, TABLE_KEY, "left").withColumn("active_merges", F.coalesce(F.col("_m"), F.lit(0).cast("bigint"))),
+        tables,
+    ).withColumn("partition_status", partition_status(cfg))
     return j.select(
         "database", "table", "partition", "partition_status", status_rank("partition_status").alias("status_rank")
     )
