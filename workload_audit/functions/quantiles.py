@@ -95,11 +95,13 @@ def group_quantiles(
     *,
     approx: bool = False,
     accuracy: int = 10_000,
+    min_count: int = 1,
 ) -> DataFrame:
     """Quantiles of a non-negative or negative 64-bit ``value`` per group.
 
     Returns ``keys`` + one column per spec name: double for ``cont``,
-    bigint for ``exact``. Groups with no non-NULL value are absent.
+    bigint for ``exact``. Groups with no non-NULL value, or with fewer than
+    ``min_count`` values, are absent (their ranks are never searched).
     """
     keys = list(keys)
     x = F.col(value) if isinstance(value, str) else value
@@ -108,7 +110,8 @@ def group_quantiles(
             F.percentile_approx(x, float(p), accuracy).cast("double" if kind == "cont" else "bigint").alias(name)
             for name, (kind, p) in specs.items()
         ]
-        return df.where(x.isNotNull()).groupBy(*keys).agg(*aggs)
+        out = df.where(x.isNotNull()).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+        return out.where(F.col("_n") >= min_count).drop("_n")
 
     # Group by plain columns (not an expression) so the three levels share
     # one exchange for ``freq`` (exchange reuse needs identical subtrees).
@@ -122,7 +125,7 @@ def group_quantiles(
     )
     h2 = freq.groupBy(*keys, "_b1", "_b2").agg(F.sum("_c").alias("_c"))
     h1 = h2.groupBy(*keys, "_b1").agg(F.sum("_c").alias("_c"))
-    n = h1.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    n = h1.groupBy(*keys).agg(F.sum("_c").alias("_n")).where(F.col("_n") >= min_count)
 
     targets = _targets(n, keys, specs)
     s1 = _locate(targets, h1, keys, "_b1")

@@ -39,7 +39,7 @@ def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
     p95 = group_quantiles(
         rows, keys, "query_duration_ms", {"p95": ("cont", 0.95)},
-        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
+        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy, min_count=cfg.min_executions,
     )
     per = stats.join(p95, keys).select(
         HASH,
