@@ -866,6 +866,16 @@ def report_recommendations(cfg: AuditConfig) -> str:
     )
 
 
+def sink_json(cfg: AuditConfig) -> str:
+    return _per_check(
+        cfg, 'SELECT {cat} AS category, {name} AS name, CAST(count(*) AS BIGINT) AS "rows" FROM ({sql}) x HAVING count(*) > 0'
+    )
+
+
+def sink_csv(cfg: AuditConfig) -> str:
+    return _per_check(cfg, 'SELECT {cat} AS category, {name} AS name, CAST(count(*) AS BIGINT) AS "rows" FROM ({sql}) x')
+
+
 def _archive_summary(where: str) -> str:
     return with_() + (
         "SELECT event_date, count(*) AS \"rows\", CAST(sum(query_id) AS BIGINT) AS sum_query_id, "
@@ -898,6 +908,8 @@ REPORT_SQL = {
     "report_key_findings": report_key_findings,
     "report_query_summary": report_query_summary,
     "report_recommendations": report_recommendations,
+    "sink_json": sink_json,
+    "sink_csv": sink_csv,
     "archive_backfill": archive_backfill,
     "archive_stream": archive_stream,
     "archive_retention": archive_retention,

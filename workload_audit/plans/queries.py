@@ -17,6 +17,7 @@ from ..session import checkpoint_dir
 from ..sources.logs import LogTables
 from ..streaming import archive as A
 from . import report as R
+from . import sinks
 from .runner import base_days, build_checks
 
 
@@ -85,6 +86,33 @@ def report_recommendations(spark: SparkSession, tables: LogTables, cfg: AuditCon
     return R.recommendations(spark, R.result_counts(spark, checks, R.findings(checks)))
 
 
+def sink_json(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """S6 round trip: the findings written as JSON lines by the executors and
+    read back, counted per check (checks without rows write nothing)."""
+    path = os.path.join(checkpoint_dir(spark), f"sink-json-{uuid.uuid4().hex}")
+    sinks.write_json(R.findings(_checks(tables, cfg)), path, cfg)
+    return spark.read.json(path).groupBy("category", "name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def sink_csv(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """S7 round trip: one CSV dataset (with header) per check, read back and
+    counted per check, empty checks included."""
+    checks = _checks(tables, cfg)
+    root = os.path.join(checkpoint_dir(spark), f"sink-csv-{uuid.uuid4().hex}")
+    paths = sinks.write_csv(checks, root)
+    parts = []
+    for (category, name), df in sorted(checks.items()):
+        text_schema = ", ".join(f"`{c}` string" for c in df.columns)
+        back = spark.read.option("header", True).schema(text_schema).csv(paths[f"{category}/{name}"])
+        parts.append(back.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(category).alias("category"), F.lit(name).alias("name"), "rows"
+        ))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 REPORT_QUERIES = {
     "report_findings": report_findings,
     "report_counts": report_counts,
@@ -95,6 +123,8 @@ REPORT_QUERIES = {
     "report_query_summary": report_query_summary,
     "report_metric_lines": report_metric_lines,
     "report_recommendations": report_recommendations,
+    "sink_json": sink_json,
+    "sink_csv": sink_csv,
 }
 
 
