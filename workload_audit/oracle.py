@@ -650,7 +650,8 @@ def _partition_status_sql(cfg: AuditConfig) -> tuple[list[str], str, str]:
     steps, top_mb = oversize_threshold_steps()
     thr = (
         f"thr AS (SELECT {rnd('total / 1024 / 1024 / 1024', 2)} AS node_ram_gb, "
-        "CASE " + " ".join(f"WHEN total < {b!r} THEN {mb}" for b, mb in steps) + f" ELSE {top_mb} END AS oversized_threshold_mb FROM mem)"
+        "CAST(CASE " + " ".join(f"WHEN total < {b!r} THEN {mb}" for b, mb in steps)
+        + f" ELSE {top_mb} END AS BIGINT) AS oversized_threshold_mb FROM mem)"
     )
     ma = 'ma AS (SELECT database, "table", count(*) AS active_merges FROM merges GROUP BY database, "table")'
     num = "coalesce(CASE WHEN regexp_full_match(ps.\"partition\", '[0-9]+') THEN TRY_CAST(ps.\"partition\" AS BIGINT) END, 0)"
@@ -860,7 +861,7 @@ def report_recommendations(cfg: AuditConfig) -> str:
         for (c, n) in sorted(R.RECOMMENDATIONS)
     )
     return (
-        f"SELECT c.category, c.name, c.\"rows\", a.recommendation, a.related FROM ({report_counts(cfg)}) c "
+        f"SELECT c.category, c.name, c.\"rows\", a.recommendation, array_to_string(a.related, ', ') AS related FROM ({report_counts(cfg)}) c "
         f"LEFT JOIN (VALUES {values}) a(category, name, recommendation, related) "
         "ON a.category = c.category AND a.name = c.name WHERE c.\"rows\" > 0"
     )

@@ -82,8 +82,10 @@ def report_metric_lines(spark: SparkSession, tables: LogTables, cfg: AuditConfig
 
 
 def report_recommendations(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """R9, with the related checks as one comma-separated text column."""
     checks = _checks(tables, cfg)
-    return R.recommendations(spark, R.result_counts(spark, checks, R.findings(checks)))
+    rec = R.recommendations(spark, R.result_counts(spark, checks, R.findings(checks)))
+    return rec.withColumn("related", F.array_join("related", ", "))
 
 
 def sink_json(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
