@@ -173,7 +173,11 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> LogTables:
     and directory, the way a job defines its inputs once and runs many
     queries over them; every query still scans the files when it runs.
     """
-    key = (spark.sparkContext.applicationId + "/" + str(id(spark._jsparkSession)), os.path.abspath(sf_dir))
+    try:
+        session_id = spark.sparkContext.applicationId + "/" + str(id(spark._jsparkSession))
+    except Exception:  # noqa: BLE001 - sessions without a local JVM handle
+        session_id = str(id(spark))
+    key = (session_id, os.path.abspath(sf_dir))
     if key not in _TABLES:
         _TABLES[key] = _build_fixture_tables(spark, sf_dir)
     return _TABLES[key]
