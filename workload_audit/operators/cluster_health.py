@@ -39,7 +39,7 @@ from ..functions.predicates import (
 from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
 from ..sources.logs import LogTables
-from .common import top, ts_lit
+from .common import settle, top, ts_lit
 
 TABLE_KEY = ["database", "table"]
 PART_KEY = ["database", "table", "partition_id", "part_name"]
@@ -118,7 +118,7 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         F.max("event_time").alias("_last"),
     )
     order = [F.desc("added_parts"), F.asc("database"), F.asc("table")]
-    leaders = top(per, order, cfg.top_n)
+    leaders = settle(top(per, order, cfg.top_n))  # evaluated once, used twice
     lead_parts = dedup.join(F.broadcast(leaders.select(*TABLE_KEY)), TABLE_KEY, "left_semi")
     p50 = group_quantiles(
         lead_parts, TABLE_KEY, "rows", {"p50_rows_per_part": ("exact", 0.5)},

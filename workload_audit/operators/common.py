@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 from ..functions.predicates import base_query_filter, selected_parts, since_day
+from ..session import checkpoint_dir
 from ..sources.logs import LogTables
 
 HASH = "normalized_query_hash"
@@ -57,3 +58,12 @@ def query_rows(tables: LogTables, cfg: AuditConfig, days: int | None = None) ->
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """``ORDER BY ... LIMIT n`` (planned as TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(n)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Evaluate a small, bounded result (e.g. the top-N leaders) once and cut
+    its lineage with a reliable checkpoint in the shared checkpoint folder,
+    so a plan that uses it twice (a broadcast filter and a final join) does
+    not recompute the aggregation behind it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -12,7 +12,7 @@ from ..functions.predicates import finished, kind_is, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
 from ..sources.logs import LogTables
-from .common import HASH, query_rows, top
+from .common import HASH, query_rows, settle, top
 
 
 def _selects(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -24,9 +24,10 @@ def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns with the highest peak memory."""
     rows = _selects(tables, cfg)
     stats = pattern_stats(rows, [HASH], [("max_mem", "max", F.col("memory_usage"))])
-    leaders = top(stats, [F.desc("max_mem"), F.asc(HASH)], cfg.top_n)
     # The ranking does not depend on p95, so the quantile only runs over the
-    # rows of the top_n leaders (a broadcast of at most top_n keys).
+    # rows of the top_n leaders (a broadcast of at most top_n keys). The
+    # leaders are settled once, so the aggregation is not run twice.
+    leaders = settle(top(stats, [F.desc("max_mem"), F.asc(HASH)], cfg.top_n))
     lead_rows = rows.join(F.broadcast(leaders.select(HASH)), HASH, "left_semi")
     p95 = group_quantiles(
         lead_rows, [HASH], "memory_usage", {"p95": ("cont", 0.95)},
