@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 
+from .fingerprints import op4_fingerprints
 from .mixing import op7_mixing
+from .packing import op6_packing
 from .quality_ranking import op5_quality_classifier
 from .quality_rules import op3_quality_rules
 from .secret_scan import op2_secret_scan
@@ -24,7 +26,10 @@ def _shipped(query):
 
 QUERIES = {
     f.__name__: _shipped(f)
-    for f in (op2_secret_scan, op3_quality_rules, op5_quality_classifier, op7_mixing, op9_sharding)
+    for f in (
+        op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
+        op9_sharding,
+    )
 }
 
 ORACLES: dict[str, str] = {}
