@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 
 from .fingerprints import op4_fingerprints
+from .language_id import op10_language_id
 from .mixing import op7_mixing
+from .ngram_join import op1_ngram_join
 from .packing import op6_packing
 from .quality_ranking import op5_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -27,8 +29,8 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
-        op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
-        op9_sharding,
+        op1_ngram_join, op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
+        op9_sharding, op10_language_id,
     )
 }
 
