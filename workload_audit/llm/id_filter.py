@@ -15,9 +15,12 @@ def place(*ids: Column) -> Column:
     return F.pmod(F.xxhash64(*ids), F.lit(BITS))
 
 
-def build(ids: DataFrame, *columns: str) -> np.ndarray:
-    """The filter as BITS / 64 words: bits of one word are joined by a grouped bit_or, so at most that many numbers reach the driver."""
-    bit = place(*[F.col(c) for c in columns])
+def build(ids: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
+    """The filter as BITS / 64 words: bits of one word are joined by a grouped bit_or, so at most that many numbers reach the driver.
+
+    ``hashed``: the ids are hashes already, and their remainders are their bits.
+    """
+    bit = F.pmod(F.col(column), F.lit(BITS)) if hashed else place(F.col(column))
     words = ids.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("k"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, k)")).alias("bits")).toPandas()
     out = np.zeros(BITS // 64, np.uint64)

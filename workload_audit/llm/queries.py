@@ -6,6 +6,7 @@ import functools
 
 from .fingerprints import op4_fingerprints
 from .language_id import op10_language_id
+from .line_dedup import op8_line_dedup
 from .mixing import op7_mixing
 from .ngram_join import op1_ngram_join
 from .packing import op6_packing
@@ -30,7 +31,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_ngram_join, op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
-        op9_sharding, op10_language_id,
+        op8_line_dedup, op9_sharding, op10_language_id,
     )
 }
 
