@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_FOLDER = "/tmp/checkpoints"
@@ -49,3 +50,36 @@ def ship(spark: SparkSession) -> None:
     known = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
+def wrapped(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def unwrapped(columns: list[str], name: str = "row") -> list[Column]:
+    """The columns of such a struct."""
+    return [F.col(name)[c].alias(c) for c in columns]
+
+
+class Rounds:
+    """Tables that a loop makes from each other: Parquet files in the shared folder, deleted at the end of the ``with`` block.
+
+    A checkpoint keeps what the optimiser knows of its columns, which multiplies from
+    round to round; a table that is written and read again starts afresh.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, run_path(spark, "rounds"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def __enter__(self) -> Rounds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
