@@ -45,11 +45,15 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, most: int, seed: str) -> pd.DataFrame:
-    """Statistics with their label, outside fold 0, of at most ``most`` rows: those with the smallest hashes of their ids.
+    """Statistics with their label, outside fold 0, of at most ``most`` rows: those with the smallest hashes of their ids, or of more rows about that many.
 
     Rows with a null id or label are left out; of labels for one id the largest counts.
     """
     wanted = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("label"))
     rows = stats.join(wanted, F.col("doc_id") == F.col("_id")).filter(fold(F.col("doc_id")) != 0).drop("_id")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return rows.orderBy(order, "doc_id", *STAT_NAMES).limit(most).toPandas()
+    # the smallest hashes of n: about the ones below most / n of their range, so that no task sends many more than are taken
+    rows = rows.withColumn("_order", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)))
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.col("_order") < int((1 << 40) * most / n))
+    return rows.orderBy("_order", "doc_id", *STAT_NAMES).limit(most).drop("_order").toPandas()
