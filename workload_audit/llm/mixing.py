@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running
-from .storage import cut
+from .storage import cut, unwrapped, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The dual of a source from which nothing is taken.
 NEVER = -50.0
 #: Sizes, as multiples of a source's mean, down to which each rounding step goes; the last takes the rest.
 STEPS = (4.0, 1.0, 0.25, 0.0)
+#: Tables of sources are broadcast if they have no more rows than this, and joined by shuffling beyond it.
+MAX_BROADCAST = 20_000
 #: Rates are rounded to this fraction, so that their running sums are exact and reruns agree.
 UNIT = 1 << 30
 
@@ -107,14 +109,15 @@ def mix(
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("largest"))
     targets = cut(source_targets(sources.drop("largest"), weights, share, float(most)).withColumnRenamed("source", "s"))
     on = F.col("source").eqNullSafe(F.col("s"))
+    side = F.broadcast if targets.count() <= MAX_BROADCAST else lambda x: x
     cells = cut(sized.groupBy("source").agg(F.sum("size").cast("double").alias("size"), F.lit(1.0).alias("prior"))
                 .join(targets, on).select("source", "prior", "size", "target"))
     duals = tilt(cells, float(most)).withColumnRenamed("source", "d")
     rates = cut(targets.join(duals, F.col("s").eqNullSafe(F.col("d"))).select(
         "s", "source_size", "target", F.least(F.lit(float(most)), F.exp("dual")).alias("rate")))
-    left = sized.join(rates, on).drop("s")
+    left = sized.join(side(rates), on).drop("s")
     means = sized.filter("size > 0").groupBy("source").agg(F.avg("size").alias("mean")).withColumnRenamed("source", "m")
-    left = cut(left.join(means, F.col("source").eqNullSafe(F.col("m")), "left").drop("m"))
+    left = cut(left.join(side(means), F.col("source").eqNullSafe(F.col("m")), "left").drop("m"))
 
     done = None
     for k, bound in enumerate(STEPS):
@@ -133,7 +136,7 @@ def mix(
             .select(F.col("source").alias("n"), F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("goal") - F.coalesce(F.col("taken"), F.lit(0))) / F.nullif(F.col("words"), F.lit(0)))))
                     .otherwise(F.col("before")).alias("new_rate"))
         )
-        left = cut(rest.join(need, F.col("source").eqNullSafe(F.col("n"))).withColumn("rate", F.col("new_rate")).drop("n", "new_rate"))
+        left = cut(rest.join(side(need), F.col("source").eqNullSafe(F.col("n"))).withColumn("rate", F.col("new_rate")).drop("n", "new_rate"))
     return done.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "key")
 
 
@@ -144,18 +147,16 @@ def _decided(done: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as many times as ``plan`` (from ``mix``) says."""
-    copies = plan.groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies = copies.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_copies", "_rows")
-    on = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_k"))
+    copies = plan.groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    base = docs.select(wrapped(docs), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    joined = base.join(copies, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key"))).filter("copies > 0").select("row", "id", "hash", "copies", "rows")
     # rows alike in id and text share their copies: each has the whole number of its part, the first ones the rest
-    joined = docs.join(copies, on).filter("_copies > 0")
-    single = joined.filter("_rows = 1")
-    place = F.row_number().over(Window.partitionBy("_d", "_k").orderBy(F.lit(0)))
-    several = joined.filter("_rows > 1").withColumn("_copies", F.expr("_copies div _rows") + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(0)))
+    several = joined.filter("rows > 1").withColumn("copies", F.expr("copies div rows") + F.when(place <= F.col("copies") % F.col("rows"), 1).otherwise(0))
     return (
-        single.unionByName(several).filter("_copies > 0")
-        .withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        joined.filter("rows = 1").unionByName(several).filter("copies > 0")
+        .select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+        .select(*unwrapped(docs.columns))
     )
 
 
