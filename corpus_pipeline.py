@@ -13,15 +13,15 @@ from workload_audit.llm.mixing import mix, take
 from workload_audit.llm.ngram_join import near_duplicates
 from workload_audit.llm.packing import pack, token_pieces
 from workload_audit.llm.quality_ranking import rank_quality
-from workload_audit.llm.storage import run_path, ship
+from workload_audit.llm.storage import run_path, ship, unwrapped, wrapped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. A null id keeps its row if its text is accepted."""
     ship(spark)
     verdicts = rank_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = verdicts.filter("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rejected = verdicts.filter("predicted = 0").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of rows that share an id, one. Rows with a null id stay."""
     ship(spark)
-    groups = near_duplicates(docs).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("component_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    marked = docs.join(groups, F.col("doc_id") == F.col("_id"), "left").filter("_id is null or _id = _first")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    several = marked.filter("_rows > 1").withColumn("_place", place).filter("_place = 1").select(docs.columns)
-    return marked.filter("_rows is null or _rows = 1").select(docs.columns).unionByName(several)
+    groups = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    base = docs.select(wrapped(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    marked = base.join(groups, F.col("id") == F.col("doc_id"), "left").filter("doc_id is null or doc_id = first").drop("doc_id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
+    several = marked.filter("rows > 1").withColumn("place", place).filter("place = 1").drop("place")
+    return marked.filter("rows is null or rows = 1").unionByName(several).select(*unwrapped(docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

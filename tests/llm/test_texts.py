@@ -45,13 +45,13 @@ def test_many_near_copies_and_a_shared_passage(spark, small):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [word() for _ in range(120)]
     texts = []
-    for _ in range(700):
+    for _ in range(350):
         copy = list(base)
         for at in rng.sample(range(120), rng.randint(1, 5)):
             copy[at] = word()
         texts.append(copy)
     passage = [word() for _ in range(60)]
-    texts += [[word() for _ in range(rng.randint(5, 60))] + passage + [word() for _ in range(rng.randint(5, 60))] for _ in range(700)]
+    texts += [[word() for _ in range(rng.randint(5, 60))] + passage + [word() for _ in range(rng.randint(5, 60))] for _ in range(350)]
     docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     sets = [brute.shingles(t) for _, t in docs]
@@ -241,26 +241,29 @@ def _kept(rows, edits, least):
 
 
 def test_line_dedup_against_all_pairs(rows, edge_docs, no_docs):
-    got = dedup_lines(edge_docs.drop("_dropped"))
-    assert got.columns[: len(edge_docs.columns) - 1] == edge_docs.drop("_dropped").columns
+    got = dedup_lines(edge_docs)
+    assert got.columns == [*(c for c in edge_docs.columns if c != "_dropped"), "_lines", "_dropped", "_near"]
     out = got.select("doc_id", "text", "_lines", "_dropped").collect()
     assert Counter((r["doc_id"], r["text"]) for r in out) == _kept([(i, t) for i, t, *_ in rows], 2, 20)
     assert Counter((r["doc_id"], r["_lines"]) for r in out) == Counter((i, 0 if t is None else t.count("\n") + 1) for i, t, *_ in rows)
-    assert dedup_lines(no_docs.drop("_dropped")).count() == 0
+    assert dedup_lines(no_docs).count() == 0
 
 
 def test_line_dedup_with_many_variants(spark, small, monkeypatch):
     """Lines with common segments, more than a block of them, some within two edits and most not."""
+    from workload_audit.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 128)
     rng = random.Random(9)
     base = "the quick brown fox jumps over the lazy dog and runs far away from here"
     lines = [base]
-    for _ in range(3000):
+    for _ in range(600):
         line = list(base)
         for _ in range(rng.choice([1, 2, 3, 4])):
             at = rng.randint(30, len(line) - 1)
             line[at : at + rng.randint(0, 1)] = [rng.choice("XYZWQ")]
-        lines.append("".join(line) if rng.random() < 0.5 else base[:24] + "".join(rng.choice("abcdefgh") for _ in range(47)))
-    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(301)]
+        lines.append("".join(line) if rng.random() < 0.3 else base[:24] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(47)))
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(61)]
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
     assert Counter(map(tuple, out)) == _kept(rows, 2, 20)
 

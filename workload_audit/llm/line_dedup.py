@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from . import id_filter
 from .components import components
 from .fingerprints import settle
-from .storage import cut
+from .frequent import most_frequent
+from .storage import cut, unwrapped, wrapped
 
 #: Edits (characters put in, left out or replaced) within which two lines are near copies, and the characters from which lines are compared at all.
 MAX_EDITS, MIN_CHARS = 2, 20
@@ -21,7 +22,7 @@ MAX_EDITS, MIN_CHARS = 2, 20
 BLOCK = 2048
 #: Keys are counted in runs of this many lines; a run tells of those that at least RUN_TIMES of its lines have.
 RUN, RUN_TIMES = 250_000, 8
-#: Hot keys that are dealt into blocks, at most, the hottest first. Any other key is one block, however many lines have it.
+#: Hot keys that are dealt into blocks, at most, the hottest first. Any other key is one block.
 MAX_HOT = 1 << 16
 INDEX, PROBE = 1, 2
 U64 = np.uint64
@@ -287,13 +288,13 @@ def dedup_lines(
     its place, whether it differs from all equal earlier ones, and where the class's first line is; _lines counts all lines, _near those dropped that aren't exact copies of the first.
 
     Null text: stays null, 0 lines. Empty text: one empty line. Rows that share an id are one document to
-    this operator: a line that is kept in one is kept at that place in all. Null ids come first. Columns with
-    names like those added are kept under theirs; the added ones start with an underscore. No rows: no rows.
+    this operator: a line that is kept in one is kept at that place in all. Null ids come first. Columns with the
+    names of the three added ones are replaced; all others are kept. No rows: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = cut(occurrences(texts, edits, least))
-    counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n")).filter(F.col("n") >= BLOCK)
-    hot = {r["h1"] % (1 << 64): -(-r["n"] // BLOCK) for r in counts.orderBy(F.desc("n"), "h1").limit(MAX_HOT).collect()}
+    counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
+    hot = {r["h1"] % (1 << 64): -(-r["n"] // BLOCK) for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
     pairs = pair_rows(key_rows(texts, hot, edits, least), edits)
     links = line_links(texts, pairs, edits, least)
     joined = components(links).select(F.col("node").alias("h1"), "component")
@@ -311,16 +312,21 @@ def dedup_lines(
     by_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(
         F.array_sort(F.collect_set(F.struct("line", near, F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("_dropped")
     )
-    whole = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    base = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("_at"))
     nothing = F.array().cast("array<struct<line:int,near:boolean,kept_doc:long,kept_line:int>>")
-    whole = whole.withColumn("_dropped", F.coalesce("_dropped", nothing))
-    whole = settle(whole, {"_split": F.split(F.col(text_col), "\n", -1)})
+    whole = base.join(by_doc, F.col("_at").eqNullSafe(F.col("_id")), "left").select("row", F.coalesce("_dropped", nothing).alias("_dropped"))
+    text = F.col("row")[text_col]
+    whole = settle(whole, {"_split": F.split(text, "\n", -1)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.transform("_dropped", lambda d: d["line"]))
-    kept = F.when(F.size("_dropped") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_split", i)), "\n"))
-    return whole.withColumns({
-        text_col: kept, "_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split")),
+    kept = F.when(F.size("_dropped") == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_split", i)), "\n"))
+    added = {
+        "_lines": F.when(text.isNull(), 0).otherwise(F.size("_split")), "_dropped": F.col("_dropped"),
         "_near": F.size(F.filter("_dropped", lambda d: d["near"])),
-    }).drop("_split")
+    }
+    columns = [c for c in docs.columns if c not in added]
+    return whole.select(
+        *[kept.alias(c) if c == text_col else col for c, col in zip(columns, unwrapped(columns), strict=True)], *[c.alias(k) for k, c in added.items()]
+    )
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

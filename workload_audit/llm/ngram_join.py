@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import id_filter
 from .components import components
+from .frequent import most_frequent
 from .storage import cut
 from .textops import U64, mix, shingle_sets
 
@@ -311,8 +312,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_co
     table = cut(set_table(texts, k))
     every = table.filter("kind = 0")
     sets = cut(every.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("m1").alias("m1"), F.min("m2").alias("m2")))
-    counts = table.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("times")).filter(F.col("times") >= COMMON)
-    common = np.sort(counts.orderBy(F.desc("times"), "d1").limit(MAX_COMMON).select("d1").toPandas()["d1"].to_numpy(np.int64).view(U64))
+    counts = table.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("times"))
+    common = most_frequent(counts, "times", COMMON, MAX_COMMON).select("d1").toPandas()["d1"]
+    common = np.sort(common.to_numpy(np.int64).view(U64))
 
     near = near_links(texts, sets, k)
     joined = components(near)
