@@ -16,7 +16,9 @@ PLACE = (1 << PLACE_BITS) - 1
 #: Bits above the place that hold a numbered k-mer's hash; the part above them is its bin.
 HASH_BITS = 32
 #: Hex digits of a filled bin in a signature: two for its number, the others for its hash.
-DIGITS = 7
+DIGITS = 8
+#: Stands for a null id in joins, so that they share their partitioning; it sorts before all ids as nulls do.
+NO_ID = -(1 << 63)
 
 
 def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -114,35 +116,37 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     id: of rows that share an id the one with the smallest text hash stands for it. Null text: empty. Null id: first, and
     an id like any other. A single document is its own next.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("hash", F.xxhash64("text"))
-    ids = texts.groupBy("doc_id").agg(F.min(F.struct("hash", F.length("text").alias("n_chars"))).alias("one")).select("doc_id", "one.*")
-    placed = cut(running(ids, [F.col("doc_id")]))
+    own = F.coalesce(F.col(id_col).cast("long"), F.expr(f"{NO_ID + 1}L - 1L"))
+    texts = docs.select(own.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ids = texts.groupBy("id").agg(F.min(F.struct("hash", F.length("text").alias("n_chars"))).alias("one")).select("id", "one.*")
+    placed = cut(running(ids, [F.col("id")]))
     n = max(placed.count(), 1)
-    after = placed.select(F.col("row_index").alias("at"), F.col("doc_id").alias("id"), F.col("hash").alias("h"))
+    after = placed.select(F.col("row_index").alias("at"), F.col("id").alias("k"), F.col("hash").alias("h"))
     pairs = placed.join(after, (F.col("row_index") + 1) % n == F.col("at")).select(
-        "id", "h", F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("need")
+        "k", "h", F.col("id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("need")
     )
-    joined = texts.join(pairs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
-    joined = joined.drop("id", "h", "hash").dropDuplicates(["doc_id"])
-    starts = joined.select(F.col("prev_id").alias("for_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("need")).alias("start"))
-    both = joined.drop("prev_id", "need").join(starts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("for_id")))
+    # all that follows stays partitioned by id; equal hashes are told by xor, which is no join key
+    joined = texts.join(pairs.hint("merge"), F.col("id") == F.col("k")).filter(F.col("hash").bitwiseXOR(F.col("h")) == 0)
+    joined = joined.select("id", "text", "prev_id", "need").dropDuplicates(["id"])
+    starts = joined.select(F.col("prev_id").alias("for_id"), F.col("id").alias("next_id"), F.substring("text", F.lit(1), F.col("need")).alias("start"))
+    both = joined.select("id", "text").join(starts.hint("merge"), F.col("id") == F.col("for_id"))
     size = F.length("text")
+    shown = lambda c: F.when(F.col(c) != F.expr(f"{NO_ID + 1}L - 1L"), F.col(c))
     return both.select(
-        "doc_id", "text", size.cast("long").alias("n_chars"), "next_id",
+        shown("id").alias("doc_id"), "text", size.cast("long").alias("n_chars"), shown("next_id").alias("next_id"),
         F.concat(F.substring("text", F.lit(1), (size - F.floor(size / 2)).cast("int")), F.col("start")).alias("edited"),
     )
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    docs = docs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    docs = docs.withColumn("edited_sha256", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
     prints = fingerprint(docs, ["text", "edited"])
-    rows = cut(prints.select("doc_id", "next_id", "n_chars", "edited_sha256", likeness(F.col("text"), F.col("edited")).alias("near_edited"),
-                             F.array_join("text", "").alias("fingerprint"), F.array_join("edited", "").alias("edited_fingerprint")))
-    following = rows.select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("next_print"))
-    parts = lambda c: F.regexp_extract_all(c, F.lit(f".{{{DIGITS}}}"), F.lit(0))
+    packed = lambda c: F.unhex(F.array_join(c, "")).alias(c)
+    rows = cut(prints.select("doc_id", "next_id", "n_chars", "edited_sha256", likeness(F.col("text"), F.col("edited")).alias("near_edited"), packed("text"), packed("edited")))
+    following = rows.select(F.col("doc_id").alias("id"), F.col("text").alias("next_text"))
+    signature = lambda c: F.regexp_extract_all(F.hex(c), F.lit(f".{{{DIGITS}}}"), F.lit(0))
     return rows.join(following, F.col("next_id").eqNullSafe(F.col("id"))).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        likeness(parts(F.col("fingerprint")), parts(F.col("next_print"))).alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.lower(F.hex("text")).alias("fingerprint"),
+        F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", likeness(signature("text"), signature("next_text")).alias("near_next"),
     )
