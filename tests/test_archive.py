@@ -5,6 +5,7 @@ import datetime as dt
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from workload_audit.session import checkpoint_dir
@@ -78,3 +79,18 @@ def test_retention_boundary(spark):
     assert len(removed) == 1 and removed[0].endswith(f"event_date={old.date().isoformat()}")
     # ... and after deletion the files are gone.
     assert _ids(A.read_archive(spark, archive)) == [2]
+
+
+def test_stream_without_cutoff_is_refused(spark):
+    root = _dir(spark, "nocut")
+    with pytest.raises(ValueError, match="cutoff"):
+        A.start_stream(spark, os.path.join(root, "landing"), os.path.join(root, "data"), os.path.join(root, "ckpt"))
+
+
+def test_rows_without_a_date_stay(spark):
+    archive = _dir(spark, "nodate")
+    day = dt.datetime(2024, 1, 10, 1)
+    rows = _log(spark, [(1, day), (2, day)]).withColumn("event_date", F.when(F.col("query_id") == 1, F.col("event_date")))
+    A.put(rows, 0, archive)
+    assert len(A.apply_retention(spark, archive, dt.date(2025, 1, 1))) == 1
+    assert _ids(A.read_archive(spark, archive)) == [2]

@@ -79,17 +79,30 @@ def test_findings_preview_and_sinks(spark, tables_small, cfg):
     counts = R.result_counts(spark, checks, found)
     assert counts.count() == 5
     lines = R.metric_lines(checks).collect()
-    assert len(lines) == len(rows) and all(" | " in r["line"] or r["line"] for r in lines)
+    assert len(lines) == len(rows) and all("=" in r["line"] for r in lines)
     keys = R.key_findings(checks, counts, found, cfg).collect()
     assert keys[0]["text"].startswith("Largest consumer")
     rec = R.recommendations(spark, counts).collect()
     assert all(r["recommendation"] for r in rec)
 
     out = os.path.join(checkpoint_dir(spark), f"sink-{uuid.uuid4().hex}")
-    sinks.write_json(found, os.path.join(out, "json"), cfg)
-    back = spark.read.json(os.path.join(out, "json"))
-    assert back.count() == len(rows) and {"generated_at", "lookback_days", "row"} <= set(back.columns)
+    sinks.write_json(checks, os.path.join(out, "json"), cfg)
+    listed = spark.read.json(os.path.join(out, "json", "checks"))
+    assert listed.count() == 5 and {"generated_at", "lookback_days", "columns"} <= set(listed.columns)
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = told(R.values(checks))
+    assert told(R.values(sinks.read_json(checks, spark, os.path.join(out, "json")), has_rank=True)) == want
     paths = sinks.write_csv(checks, os.path.join(out, "csv"))
     assert set(paths) == {"top_n/by_memory", "top_n/by_read_bytes", "top_n/by_duration", "top_n/by_weighted_cost", "cost_attribution/by_user"}
     csv = spark.read.option("header", True).csv(paths["cost_attribution/by_user"])
     assert "error_rate_pct" in csv.columns and csv.count() == len(per[("cost_attribution", "by_user")])
+
+
+def test_json_keeps_types_nulls_and_empty_checks(spark, cfg):
+    frame = spark.createDataFrame([("a", None, 3, 0.5)], "x string, y string, z long, w double")
+    checks = {("c", "one"): frame, ("c", "none"): frame.limit(0)}
+    out = os.path.join(checkpoint_dir(spark), f"json-{uuid.uuid4().hex}")
+    sinks.write_json(checks, out, cfg)
+    (line,) = [json.loads(r["value"]) for r in spark.read.text(os.path.join(out, "rows")).collect()]
+    assert line == {"category": "c", "name": "one", "rank": 1, "row": {"x": "a", "y": None, "z": 3, "w": 0.5}}
+    assert {r["name"]: r["columns"] for r in spark.read.json(os.path.join(out, "checks")).collect()} == {"one": list("xyzw"), "none": list("xyzw")}

@@ -3,6 +3,8 @@ bounded intermediate results are checkpointed under spark.checkpoint.dir."""
 
 import os
 
+import pytest
+
 from workload_audit.operators.common import settle
 from workload_audit.session import CLUSTER_CONF, apply_cluster_conf, checkpoint_dir
 
@@ -23,8 +25,20 @@ def test_apply_cluster_conf_keeps_explicit_settings(spark):
 
 def test_settle_uses_the_session_checkpoint_folder(spark):
     folder = checkpoint_dir(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == folder
+    assert spark.conf.get("spark.checkpoint.dir", folder) == folder
     before = set(os.listdir(folder))
     df = settle(spark.range(10).orderBy("id").limit(3))
     assert [r.id for r in df.collect()] == [0, 1, 2]
     assert set(os.listdir(folder)) - before  # the checkpoint was written there
+
+
+def test_no_named_folder_is_an_error():
+    class Nothing:
+        isDefined = staticmethod(lambda: False)  # noqa: N815
+
+    class Context:
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Nothing)}))})
+
+    session = type("Session", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)}), "sparkContext": Context})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)

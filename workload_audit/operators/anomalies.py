@@ -18,7 +18,11 @@ PERIOD = "_period"
 CURRENT, PREVIOUS = "current", "previous"
 
 
-@check("anomalies", "wow_duration_regressions")
+@check(
+    "anomalies", "wow_duration_regressions",
+    headline=("prev_p95_ms", "curr_p95_ms", "duration_change_pct", "bytes_change_pct",),
+    advice="If bytes rose together with p95 the data grew; if only p95 rose, look at load and at what was deployed between the two periods.",
+)
 def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns whose p95 latency grew beyond the threshold since last period.
 
@@ -79,7 +83,11 @@ NEW_PATTERN_MIN_AVG_READ_BYTES = 100_000_000
 NEW_PATTERN_MIN_AVG_DURATION_MS = 10_000
 
 
-@check("anomalies", "new_expensive_patterns")
+@check(
+    "anomalies", "new_expensive_patterns",
+    headline=("executions", "avg_duration_ms", "avg_read",),
+    advice="None of these hashes ran in the three periods before; find the release that brought them while it is recent.",
+)
 def new_expensive_patterns(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Expensive patterns of this period absent from the 3 periods before.
 

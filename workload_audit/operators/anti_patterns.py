@@ -25,7 +25,11 @@ def _avg(total: str) -> str:
     return avg_sql(total, "executions")
 
 
-@check("anti_patterns", "full_scans")
+@check(
+    "anti_patterns", "full_scans",
+    headline=("executions", "avg_read_rows", "avg_result_rows", "scan_ratio",),
+    advice="The ratio says how many rows are read for one returned; the highest ratios gain most from a narrower filter.",
+)
 def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns reading far more rows than they return."""
     rows = query_rows(tables, cfg).where(finished() & kind_is("Select") & (F.col("result_rows") > 0))
@@ -53,7 +57,11 @@ def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("anti_patterns", "select_star_wide_tables")
+@check(
+    "anti_patterns", "select_star_wide_tables",
+    headline=("executions", "avg_read",),
+    advice="Multiply average read by runs to see what an explicit column list could save at most.",
+)
 def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns using ``SELECT *``."""
     rows = query_rows(tables, cfg).where(finished() & kind_is("Select") & select_star())
@@ -63,7 +71,11 @@ def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("anti_patterns", "missing_partition_filter")
+@check(
+    "anti_patterns", "missing_partition_filter",
+    headline=("executions", "avg_selected_parts", "avg_read",),
+    advice="Parts selected per run should follow the time span asked for; these exceed the limit set for the audit.",
+)
 def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns selecting more parts than ``min_parts_threshold``."""
     rows = query_rows(tables, cfg).where(
@@ -89,7 +101,11 @@ def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("anti_patterns", "unbounded_results")
+@check(
+    "anti_patterns", "unbounded_results",
+    headline=("executions", "avg_result_rows",),
+    advice="Ask the reader of these results how many rows are looked at; the rest is transfer and memory for nothing.",
+)
 def unbounded_results(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns returning more than ``max_result_rows`` rows without LIMIT."""
     rows = query_rows(tables, cfg).where(
@@ -114,7 +130,11 @@ def unbounded_results(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("anti_patterns", "repeated_identical")
+@check(
+    "anti_patterns", "repeated_identical",
+    headline=("total_executions", "avg_per_hour", "avg_read",),
+    advice="Runs per hour times bytes per run is what one shared result would save; writes are left out of the count.",
+)
 def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns running more than ``repeat_threshold`` times per hour.
 
@@ -134,7 +154,11 @@ def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("anti_patterns", "small_insert_batches")
+@check(
+    "anti_patterns", "small_insert_batches",
+    headline=("executions", "avg_written_rows",),
+    advice="Collect rows on the client until a statement carries at least the audit's minimum.",
+)
 def small_insert_batches(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """INSERT patterns writing fewer than ``min_batch_size`` rows per run."""
     rows = query_rows(tables, cfg).where(

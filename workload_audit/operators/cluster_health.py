@@ -91,7 +91,12 @@ def history_bounds(cfg: AuditConfig) -> tuple[int, int]:
     return y * 100 + m, cfg.as_of.year
 
 
-@check("cluster_health", "insert_part_fragmentation", needs=("part_log",), uses_query_base=False)
+@check(
+    "cluster_health", "insert_part_fragmentation",
+    needs=("part_log",), uses_query_base=False,
+    headline=("batch_size_class", "insert_frequency_class", "added_parts", "small_parts_pct",),
+    advice="Tables with both a small batch class and a high insert frequency create the most parts; mend those first.",
+)
 def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Tables creating many small parts from direct inserts.
 
@@ -145,7 +150,10 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
 
 @check(
-    "cluster_health", "insert_duration_by_engine", needs=("query_log", "tables"), uses_query_base=False
+    "cluster_health", "insert_duration_by_engine",
+    needs=("query_log", "tables"), uses_query_base=False,
+    headline=("engine", "duration_bucket", "inserts",),
+    advice="Compare the shape of the histogram between engines: a long tail in one engine only is that engine's cost.",
 )
 def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Insert latency histogram per table engine.
@@ -199,7 +207,12 @@ def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return out.orderBy("engine", "_avg_s").drop("_avg_s")
 
 
-@check("cluster_health", "merge_pressure", needs=("part_log",), uses_query_base=False)
+@check(
+    "cluster_health", "merge_pressure",
+    needs=("part_log",), uses_query_base=False,
+    headline=("merge_duration_class", "merge_load_class", "merge_pressure_class", "total_merges",),
+    advice="Read the three classes together: long merges with light load are large parts, short ones with heavy load are many parts.",
+)
 def merge_pressure(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Merge duration, load and pressure per table.
 
@@ -343,10 +356,10 @@ def status_rank(status: str) -> Column:
 
 
 @check(
-    "cluster_health",
-    "partition_health",
-    needs=("parts", "merges", "asynchronous_metrics", "settings"),
-    uses_query_base=False,
+    "cluster_health", "partition_health",
+    needs=("parts", "merges", "asynchronous_metrics", "settings"), uses_query_base=False,
+    headline=("partition_status", "active_parts",),
+    advice="The status names the first limit that a partition breaks; statuses with running merges may mend themselves.",
 )
 def partition_health(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Partition fragmentation, merge backlog and oversize per partition.

@@ -14,7 +14,11 @@ from ..sources.logs import LogTables
 from .common import query_rows
 
 
-@check("cost_attribution", "by_user")
+@check(
+    "cost_attribution", "by_user",
+    headline=("total_queries", "total_read", "total_hours", "error_rate_pct",),
+    advice="Bytes and hours give each account's part of the load; a high error rate is load that returned nothing.",
+)
 def by_user(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Bytes read, hours and error rate per user, INSERTs included.
 

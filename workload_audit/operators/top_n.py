@@ -19,7 +19,11 @@ def _selects(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return query_rows(tables, cfg).where(finished() & kind_is("Select"))
 
 
-@check("top_n", "by_memory")
+@check(
+    "top_n", "by_memory",
+    headline=("executions", "peak_memory", "p95_memory",),
+    advice="Compare the peak with the p95 of the same pattern: far apart means rare outliers, close together means every run needs this much.",
+)
 def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns with the highest peak memory."""
     rows = _selects(tables, cfg)
@@ -42,7 +46,11 @@ def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("top_n", "by_read_bytes")
+@check(
+    "top_n", "by_read_bytes",
+    headline=("executions", "total_read", "avg_read",),
+    advice="Divide the total by the runs: a high average points at the statement, a high count at its schedule.",
+)
 def by_read_bytes(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns reading the most bytes in total."""
     stats = pattern_stats(_selects(tables, cfg), [HASH], [("sum_read", "sum", F.col("read_bytes"))])
@@ -55,7 +63,11 @@ def by_read_bytes(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
-@check("top_n", "by_duration")
+@check(
+    "top_n", "by_duration",
+    headline=("executions", "p50_ms", "p95_ms", "max_ms",),
+    advice="Set p50 beside p95: a wide gap is contention or skewed parameters, a narrow one is the statement itself.",
+)
 def by_duration(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns with the highest p95 latency."""
     rows = _selects(tables, cfg)
@@ -76,7 +88,11 @@ def by_duration(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     return top(out, [F.desc("p95_ms"), F.asc(HASH)], cfg.top_n).drop(HASH)
 
 
-@check("top_n", "by_weighted_cost")
+@check(
+    "top_n", "by_weighted_cost",
+    headline=("executions", "avg_read", "weighted_cost",),
+    advice="Ranked by runs times bytes per run, so either factor can be the one to lower; start with the larger.",
+)
 def by_weighted_cost(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns by executions x average bytes read (INSERTs excluded)."""
     rows = query_rows(tables, cfg).where(finished() & kind_is_not("Insert"))

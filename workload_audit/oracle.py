@@ -60,9 +60,10 @@ parts AS (SELECT concat('db',CAST(o_custkey%3 AS varchar)) AS database, concat('
  CAST(round(o_totalprice) AS bigint)*(CASE o_custkey%6 WHEN 0 THEN 20 WHEN 1 THEN 100 WHEN 2 THEN 300 WHEN 3 THEN 1000 WHEN 4 THEN 6000 ELSE 20000 END) AS bytes_on_disk,
  o_orderstatus<>'P' AS active FROM orders),
 tables_ AS (SELECT concat('db',CAST(n_nationkey%3 AS varchar)) AS database, concat('t',CAST(n_nationkey AS varchar)) AS name,
- CASE WHEN n_nationkey%2=0 THEN 'MergeTree' ELSE 'ReplacingMergeTree' END AS engine FROM nation WHERE n_nationkey<9),
-merges AS (SELECT concat('db',CAST(s_suppkey%3 AS varchar)) AS database, concat('t',CAST(s_suppkey%6 AS varchar)) AS "table"
- FROM supplier WHERE s_suppkey%6 IN (0,2)),
+ CASE WHEN n_nationkey%2=0 THEN 'MergeTree' ELSE 'ReplacingMergeTree' END AS engine FROM nation),
+merges AS (SELECT concat('db',CAST(s_suppkey%3 AS varchar)) AS database,
+ concat(CASE WHEN s_suppkey%6 IN (0,2) THEN 't' ELSE 'm' END,CAST(s_suppkey%6 AS varchar)) AS "table"
+ FROM supplier),
 asynchronous_metrics AS (SELECT 'MemoryTotal' AS metric, CAST(128000000000 AS double) AS value),
 settings AS (SELECT 'max_memory_usage' AS name, '64000000000' AS value)
 """.strip()
@@ -725,12 +726,13 @@ def operator_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
 def _per_check(cfg: AuditConfig, body: str) -> str:
     """UNION ALL over the checks of ``body`` formatted with {cat}, {name},
     {desc} and {sql} (the check's own SQL as a subquery)."""
-    from .config import CHECK_DESCRIPTIONS
+    from .plans.registry import select_checks
 
+    described = {(s.category, s.name): s.description for s in select_checks()}
     parts = []
     for key, fn in CHECK_SQL.items():
         cat, name = key.split("/")
-        parts.append(body.format(cat=q(cat), name=q(name), desc=q(CHECK_DESCRIPTIONS[(cat, name)]), sql=fn(cfg)))
+        parts.append(body.format(cat=q(cat), name=q(name), desc=q(described[(cat, name)]), sql=fn(cfg)))
     return "\nUNION ALL\n".join(f"({p})" for p in parts)
 
 
@@ -759,15 +761,44 @@ def report_severity(cfg: AuditConfig) -> str:
     )
 
 
+# A value as text: doubles with six decimals, all else as cast.
+_TEXT = "CASE WHEN typeof({c}) IN ('DOUBLE', 'FLOAT') THEN CAST(TRY_CAST({c} AS DECIMAL(38,6)) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
+_VALUES = (
+    'SELECT {cat} AS category, {name} AS name, CAST("$rank" AS INTEGER) AS rank, "column", value FROM ('
+    "SELECT \"$rank\", "
+    + _TEXT.replace("{c}", "COLUMNS(* EXCLUDE \"$rank\")")
+    + " FROM (SELECT row_number() OVER () AS \"$rank\", x.* FROM ({sql}) x)) "
+    'UNPIVOT INCLUDE NULLS (value FOR "column" IN (COLUMNS(* EXCLUDE "$rank")))'
+)
+
+
+def report_findings(cfg: AuditConfig) -> str:
+    return _per_check(cfg, _VALUES)
+
+
 def report_preview(cfg: AuditConfig) -> str:
     from .plans.report import PREVIEW_ROWS
 
-    return _per_check(
-        cfg,
-        "SELECT {cat} AS category, {name} AS name, "
-        + f"CAST(unnest(range(1, least(n, {PREVIEW_ROWS}) + 1)) AS INTEGER) AS rank, "
-        + f"CAST(greatest(n - {PREVIEW_ROWS}, 0) AS BIGINT) AS more "
-        + "FROM (SELECT count(*) AS n FROM ({sql}) x)",
+    return (
+        f'SELECT v.category, v.name, v.rank, v."column", v.value, CAST(greatest(c."rows" - {PREVIEW_ROWS}, 0) AS BIGINT) AS more '
+        f"FROM ({report_findings(cfg)}) v JOIN ({report_counts(cfg)}) c ON c.category = v.category AND c.name = v.name WHERE v.rank <= {PREVIEW_ROWS}"
+    )
+
+
+def report_metric_lines(cfg: AuditConfig) -> str:
+    from .plans.registry import select_checks
+    from .plans.report import SUBJECT_COLUMNS
+
+    headlines = {(s.category, s.name): s.headline for s in select_checks()}
+    wanted = ", ".join(f"({q(c)}, {q(n)}, {q(h)}, {k})" for (c, n), hs in headlines.items() for k, h in enumerate(hs))
+    subjects = ", ".join(f"({q(c)}, {k})" for k, c in enumerate(SUBJECT_COLUMNS))
+    return (
+        f"WITH v AS MATERIALIZED ({report_findings(cfg)}), "
+        f's AS (SELECT category, name, rank, string_agg(coalesce(value, \'-\'), \'.\' ORDER BY k) AS subject FROM v JOIN (VALUES {subjects}) t(c, k) ON v."column" = t.c GROUP BY ALL), '
+        f"m AS (SELECT v.category, v.name, rank, string_agg(concat(v.\"column\", '=', coalesce(value, '-')), ', ' ORDER BY k) AS metrics "
+        f'FROM v JOIN (VALUES {wanted}) h(category, name, c, k) ON v.category = h.category AND v.name = h.name AND v."column" = h.c GROUP BY ALL) '
+        "SELECT m.category, m.name, m.rank, concat(coalesce(subject || ': ', ''), metrics) AS line "
+        "FROM m LEFT JOIN s ON s.category = m.category AND s.name = m.name AND s.rank = m.rank"
     )
 
 
@@ -852,13 +883,14 @@ def report_query_summary(cfg: AuditConfig) -> str:
 
 def report_recommendations(cfg: AuditConfig) -> str:
     from .plans import report as R
+    from .plans.registry import select_checks
 
     related = dict(R.RELATED_CHECKS)
     values = ", ".join(
-        f"({q(c)}, {q(n)}, {q(R.RECOMMENDATIONS.get((c, n), ''))}, "
-        + ("[" + ", ".join(q(x) for x in related.get((c, n), ())) + "]::VARCHAR[]")
+        f"({q(s.category)}, {q(s.name)}, {q(s.advice)}, "
+        + ("[" + ", ".join(q(x) for x in related.get((s.category, s.name), ())) + "]::VARCHAR[]")
         + ")"
-        for (c, n) in sorted(R.RECOMMENDATIONS)
+        for s in select_checks()
     )
     return (
         f"SELECT c.category, c.name, c.\"rows\", a.recommendation, array_to_string(a.related, ', ') AS related FROM ({report_counts(cfg)}) c "
@@ -867,16 +899,6 @@ def report_recommendations(cfg: AuditConfig) -> str:
     )
 
 
-def sink_json(cfg: AuditConfig) -> str:
-    return _per_check(
-        cfg, 'SELECT {cat} AS category, {name} AS name, CAST(count(*) AS BIGINT) AS "rows" FROM ({sql}) x HAVING count(*) > 0'
-    )
-
-
-def sink_csv(cfg: AuditConfig) -> str:
-    return _per_check(cfg, 'SELECT {cat} AS category, {name} AS name, CAST(count(*) AS BIGINT) AS "rows" FROM ({sql}) x')
-
-
 def _archive_summary(where: str) -> str:
     return with_() + (
         "SELECT event_date, count(*) AS \"rows\", CAST(sum(query_id) AS BIGINT) AS sum_query_id, "
@@ -905,12 +927,14 @@ REPORT_SQL = {
     "report_counts": report_counts,
     "report_severity": report_severity,
     "report_preview": report_preview,
+    "report_findings": report_findings,
+    "report_metric_lines": report_metric_lines,
     "report_health_score": report_health_score,
     "report_key_findings": report_key_findings,
     "report_query_summary": report_query_summary,
     "report_recommendations": report_recommendations,
-    "sink_json": sink_json,
-    "sink_csv": sink_csv,
+    "sink_json": report_findings,
+    "sink_csv": report_findings,
     "archive_backfill": archive_backfill,
     "archive_stream": archive_stream,
     "archive_retention": archive_retention,

@@ -38,7 +38,8 @@ def _checks(tables: LogTables, cfg: AuditConfig):
 
 
 def report_findings(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    return R.findings(_checks(tables, cfg))
+    """R1, value by value."""
+    return R.values(_checks(tables, cfg))
 
 
 def report_counts(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -55,7 +56,10 @@ def report_severity(spark: SparkSession, tables: LogTables, cfg: AuditConfig) ->
 
 
 def report_preview(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    return R.preview(R.findings(_checks(tables, cfg))).select("category", "name", "rank", "more")
+    """R4, value by value: the first rows of each check and how many more there are."""
+    told = R.values(_checks(tables, cfg))
+    more = told.groupBy("category", "name").agg(F.greatest(F.max("rank") - R.PREVIEW_ROWS, F.lit(0)).cast("bigint").alias("more"))
+    return told.where(F.col("rank") <= R.PREVIEW_ROWS).join(more, ["category", "name"])
 
 
 def report_health_score(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -89,30 +93,26 @@ def report_recommendations(spark: SparkSession, tables: LogTables, cfg: AuditCon
 
 
 def sink_json(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    """S6 round trip: the findings written as JSON lines by the executors and
-    read back, counted per check (checks without rows write nothing)."""
+    """S6 round trip: the findings written as JSON lines by the executors,
+    read back with the checks' types and compared value by value."""
+    checks = _checks(tables, cfg)
     path = os.path.join(checkpoint_dir(spark), f"sink-json-{uuid.uuid4().hex}")
-    sinks.write_json(R.findings(_checks(tables, cfg)), path, cfg)
-    return spark.read.json(path).groupBy("category", "name").agg(F.count(F.lit(1)).alias("rows"))
+    sinks.write_json(checks, path, cfg)
+    return R.values(sinks.read_json(checks, spark, path), has_rank=True)
 
 
 def sink_csv(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    """S7 round trip: one CSV dataset (with header) per check, read back and
-    counted per check, empty checks included."""
+    """S7 round trip: one CSV dataset (with header) per check, read back with
+    its types and compared value by value."""
     checks = _checks(tables, cfg)
-    root = os.path.join(checkpoint_dir(spark), f"sink-csv-{uuid.uuid4().hex}")
-    paths = sinks.write_csv(checks, root)
-    parts = []
-    for (category, name), df in sorted(checks.items()):
-        text_schema = ", ".join(f"`{c}` string" for c in df.columns)
-        back = spark.read.option("header", True).schema(text_schema).csv(paths[f"{category}/{name}"])
-        parts.append(back.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(category).alias("category"), F.lit(name).alias("name"), "rows"
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    paths = sinks.write_csv(checks, os.path.join(checkpoint_dir(spark), f"sink-csv-{uuid.uuid4().hex}"))
+    back = {}
+    for (category, name), df in checks.items():
+        kinds = ", ".join(["rank int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)])
+        back[(category, name)] = (
+            spark.read.option("header", True).option("nullValue", sinks.CSV_NULL).option("emptyValue", "").schema(kinds).csv(paths[f"{category}/{name}"])
+        )
+    return R.values(back, has_rank=True)
 
 
 REPORT_QUERIES = {
@@ -137,7 +137,6 @@ REPORT_QUERIES = {
 # to remove some of its 30 days.
 ARCHIVE_CUTOFF = dt.datetime(2024, 1, 20, 0, 0, 0)
 ARCHIVE_RETENTION_DAYS = 14
-LANDING_FILES = 4
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -163,10 +162,9 @@ def build_archive(spark: SparkSession, query_log: DataFrame, *, stream: bool = T
     landing, archive, ckpt = (os.path.join(root, p) for p in ("landing", "data", "checkpoint"))
     A.backfill(spark, query_log, archive, ARCHIVE_CUTOFF)
     if stream:
-        # The landing folder receives the log as several files, as an
-        # exporter would deliver it; the stream takes one file per batch.
-        query_log.repartition(LANDING_FILES, "event_date").write.parquet(landing)
-        q = A.start_stream(spark, landing, archive, ckpt, max_files_per_trigger=1)
+        # The landing folder receives the log as its own tasks write it.
+        query_log.write.parquet(landing)
+        q = A.start_stream(spark, landing, archive, ckpt)
         q.awaitTermination()
     return archive
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..config import CHECK_DESCRIPTIONS, AuditConfig
+from ..config import AuditConfig
 from ..sources.logs import LogTables
 
 CheckFn = Callable[[LogTables, AuditConfig], DataFrame]
@@ -23,6 +23,10 @@ class CheckSpec:
     needs: tuple[str, ...]
     # True when the check reads the shared, pre-filtered query-log base.
     uses_query_base: bool
+    # Result columns that stand for the check in a one-line report.
+    headline: tuple[str, ...] = ()
+    # What a reader can do with the check's figures.
+    advice: str = ""
 
     @property
     def key(self) -> str:
@@ -32,17 +36,28 @@ class CheckSpec:
 REGISTRY: dict[tuple[str, str], CheckSpec] = {}
 
 
-def check(category: str, name: str, *, needs: tuple[str, ...] = ("query_log",), uses_query_base: bool = True):
-    """Register ``fn(tables, cfg) -> DataFrame`` as check ``category/name``."""
+def check(
+    category: str,
+    name: str,
+    *,
+    needs: tuple[str, ...] = ("query_log",),
+    uses_query_base: bool = True,
+    headline: tuple[str, ...] = (),
+    advice: str = "",
+):
+    """Register ``fn(tables, cfg) -> DataFrame`` as check ``category/name``;
+    its description is the first line of its docstring."""
 
     def deco(fn: CheckFn) -> CheckFn:
         REGISTRY[(category, name)] = CheckSpec(
             category=category,
             name=name,
             fn=fn,
-            description=CHECK_DESCRIPTIONS.get((category, name), fn.__doc__ or ""),
+            description=(fn.__doc__ or "").strip().split("\n")[0].rstrip("."),
             needs=needs,
             uses_query_base=uses_query_base,
+            headline=headline,
+            advice=advice,
         )
         return fn
 
@@ -66,6 +81,11 @@ def select_checks(only_categories: tuple[str, ...] | None = None) -> list[CheckS
     return specs
 
 
+def spec_of(category: str, name: str) -> CheckSpec | None:
+    load_checks()
+    return REGISTRY.get((category, name))
+
+
 def catalogue() -> list[tuple[str, str, str]]:
     """(category, name, description) for every check, sorted."""
     return [(s.category, s.name, s.description) for s in select_checks()]

@@ -6,38 +6,53 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import AuditConfig
-from .report import CheckFrames
+from .report import CheckFrames, findings, ranked
 
+#: How a NULL is written to CSV, apart from an empty text.
+CSV_NULL = "\\N"
 
-def write_json(found: DataFrame, path: str, cfg: AuditConfig, generated_at: dt.datetime | None = None) -> None:
-    """One JSON object per finding, with the report envelope
-    (``generated_at``, ``lookback_days``) as columns."""
+
+def write_json(checks: CheckFrames, path: str, cfg: AuditConfig, generated_at: dt.datetime | None = None) -> None:
+    """Two JSON-lines datasets below ``path``. ``checks`` has the report's
+    envelope (``generated_at``, ``lookback_days``) and every check with its
+    ``columns``, checks without rows included; ``rows`` has one line per
+    finding, its values with their types and NULLs."""
     stamp = (generated_at or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    (
-        found.select(
-            F.lit(stamp).alias("generated_at"),
-            F.lit(cfg.lookback_days).alias("lookback_days"),
-            "category",
-            "name",
-            "rank",
-            F.from_json("row_json", "map<string,string>").alias("row"),
-        )
-        .write.mode("overwrite")
-        .json(path)
-    )
+    found = findings(checks)
+    spark = found.sparkSession
+    listed = [(stamp, cfg.lookback_days, c, n, list(df.columns)) for (c, n), df in sorted(checks.items())]
+    schema = "generated_at string, lookback_days int, category string, name string, columns array<string>"
+    spark.createDataFrame(listed, schema).write.mode("overwrite").json(os.path.join(path, "checks"))
+    head = F.to_json(F.struct("category", "name", "rank"))
+    line = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"row":'), F.col("row_json"), F.lit("}"))
+    found.select(line.alias("value")).write.mode("overwrite").text(os.path.join(path, "rows"))
+
+
+def read_json(checks: CheckFrames, spark: SparkSession, path: str) -> dict[tuple[str, str], DataFrame]:
+    """The rows of ``write_json`` by check, with the columns and types of ``checks`` and their ``rank``."""
+    lines = spark.read.text(os.path.join(path, "rows"))
+    out = {}
+    for (category, name), df in checks.items():
+        schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("name", T.StringType()),
+                               T.StructField("rank", T.IntegerType()), T.StructField("row", df.schema)])
+        parsed = lines.select(F.from_json("value", schema).alias("x"))
+        out[(category, name)] = parsed.where((F.col("x.category") == category) & (F.col("x.name") == name)).select("x.rank", "x.row.*")
+    return out
 
 
 def write_csv(checks: CheckFrames, root: str) -> dict[str, str]:
-    """Each check's rows with a header line to ``root/category/name``.
-    Returns the written paths."""
+    """Each check's rows, their rank first, with a header line to
+    ``root/category/name``. Returns the written paths."""
     out = {}
     for (category, name), df in sorted(checks.items()):
         path = os.path.join(root, category, name)
-        flat = df.select(
+        flat = ranked(df).select(
+            "rank",
             *[
                 F.to_json(F.col(f"`{f.name}`")).alias(f.name)
                 if f.dataType.typeName() in ("array", "map", "struct")
@@ -45,6 +60,6 @@ def write_csv(checks: CheckFrames, root: str) -> dict[str, str]:
                 for f in df.schema.fields
             ]
         )
-        flat.write.mode("overwrite").option("header", True).csv(path)
+        flat.write.mode("overwrite").option("header", True).option("nullValue", CSV_NULL).csv(path)
         out[f"{category}/{name}"] = path
     return out

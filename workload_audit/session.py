@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+# Where a local session (tests, bench) that names no folder keeps checkpoints.
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
 # Settings every audit plan relies on. On a cluster these belong in the
 # job's spark-defaults; ``local_session`` applies them for tests and bench.
 AUDIT_CONF = {
@@ -64,18 +66,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only when the session names none (local tests) is a private temporary
-    folder set; on a cluster the setting must point at shared storage.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="audit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The shared folder named by ``spark.checkpoint.dir``, or else the one
+    the session's context was given. Without either this is an error: a folder
+    of the driver's own would not be seen by the executors."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named:
+        if not current.isDefined():
+            spark.sparkContext.setCheckpointDir(named)
+        return named
+    if current.isDefined():
+        return current.get()
+    raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")

@@ -137,7 +137,7 @@ def parts_from_orders(orders: DataFrame) -> DataFrame:
 
 def tables_from_nation(nation: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
-    out = nation.where(n < 9).select(
+    out = nation.select(
         F.concat(F.lit("db"), _s(n % 3)).alias("database"),
         F.concat(F.lit("t"), _s(n)).alias("name"),
         F.when(n % 2 == 0, "MergeTree").otherwise("ReplacingMergeTree").alias("engine"),
@@ -147,8 +147,10 @@ def tables_from_nation(nation: DataFrame) -> DataFrame:
 
 def merges_from_supplier(supplier: DataFrame) -> DataFrame:
     s = F.col("s_suppkey")
-    out = supplier.where((s % 6).isin(0, 2)).select(
-        F.concat(F.lit("db"), _s(s % 3)).alias("database"), F.concat(F.lit("t"), _s(s % 6)).alias("table")
+    # two classes of six merge tables that ``parts`` has, the others tables that it has not
+    out = supplier.select(
+        F.concat(F.lit("db"), _s(s % 3)).alias("database"),
+        F.concat(F.when((s % 6).isin(0, 2), "t").otherwise("m"), _s(s % 6)).alias("table"),
     )
     return conform(out, "merges")
 

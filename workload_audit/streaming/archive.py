@@ -75,12 +75,17 @@ def _read_text(spark: SparkSession, path: str) -> str:
         reader.close()
 
 
+#: The partition of rows without a date.
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def put(df: DataFrame, batch_id: int, archive: str) -> None:
     """Write one batch of log rows into its own archive partitions."""
     (
         conform(df, "query_log")
         .withColumn("event_month", F.date_format("event_date", "yyyyMM"))
         .withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+        .hint("rebalance", F.col("event_date"))  # few files a day, and a large day still in several
         .sortWithinPartitions("event_date", "normalized_query_hash")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -118,14 +123,16 @@ def start_stream(
     processing_time: str | None = None,
 ) -> StreamingQuery:
     """Stream new log files from ``landing`` into the archive (rows at or
-    after the recorded cutoff)."""
+    after the recorded cutoff). An archive without a cutoff is refused: its
+    backfill would add the rows before it a second time."""
     cutoff = archive_cutoff(spark, archive)
+    if cutoff is None:
+        raise ValueError(f"{archive} has no recorded cutoff; run backfill first")
     reader = spark.readStream.schema(QUERY_LOG)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(landing)
-    if cutoff is not None:
-        rows = rows.where(F.col("event_time") >= F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"))
+    rows = rows.where(F.col("event_time") >= F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"))
     writer = rows.writeStream.foreachBatch(lambda df, bid: put(df, bid, archive)).option(
         "checkpointLocation", checkpoint
     )
@@ -142,7 +149,7 @@ def read_archive(
     """Archive rows as a query log, without rows past the retention."""
     df = spark.read.parquet(archive)
     if as_of is not None:
-        df = df.where(F.col("event_date") > F.lit(as_of - dt.timedelta(days=retention_days)))
+        df = df.where(F.col("event_date").isNull() | (F.col("event_date") > F.lit(as_of - dt.timedelta(days=retention_days))))
     return df
 
 
@@ -164,8 +171,9 @@ def apply_retention(
             dname = day.getPath().getName()
             if not (day.isDirectory() and dname.startswith("event_date=")):
                 continue
-            d = dt.date.fromisoformat(dname.split("=", 1)[1])
-            if d <= limit:
+            day_of = dname.split("=", 1)[1]
+            # rows without a date have no age and stay
+            if day_of != NO_DATE and dt.date.fromisoformat(day_of) <= limit:
                 fs.delete(day.getPath(), True)
                 removed.append(f"{mname}/{dname}")
         if len(fs.listStatus(month.getPath())) == 0:
