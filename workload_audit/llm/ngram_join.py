@@ -22,6 +22,8 @@ LINK = (3, 4)
 BITMAP = 2048
 #: Documents that are compared with each other at once in the first step; larger groups are dealt into several.
 GROUP = 256
+#: Groups that are dealt, at most, the largest first; a group beyond these is compared as one.
+MAX_DEALT = 1 << 16
 #: Shingles are counted in runs of about this many; a run tells of those in at least RUN_TIMES of its sets.
 RUN, RUN_TIMES = 4_000_000, 3
 #: A shingle in at least this many sets, by those counts, is common; so many common ones are held at most, the most frequent first (2 MB).
@@ -122,7 +124,7 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
                 if not len(own):
                     continue
                 d1, d2 = _digest(own)
-                rows[i] = len(own), d1, d2, _signed(own[:1])[0], _signed(mix(own ^ U64(0x5851F42D4C957F2D)).min(keepdims=True))[0]
+                rows[i] = len(own), d1, d2, *minimal_hashes(own)
                 if d1 not in seen:  # copies count once in a run
                     seen.add(d1)
                     run.append(own)
@@ -163,43 +165,76 @@ def _set_batch(ids, sizes, bits, sets):
 
 
 def _group_links(rows: DataFrame) -> DataFrame:
-    """Links inside the groups (key, deal) of rows (key, deal, doc_id, own)."""
+    """Links (as digests) inside the groups (key, deal) of rows (key, deal, d1, own)."""
 
     def compare(batches):
-        at, ids, sets, out = None, [], [], []
+        at, sets, out = None, {}, []
         for batch in batches:
-            for key, deal, doc, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, deal, d1, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (key, deal) != at:
-                    if len(ids) > 1:
-                        out += links_within(ids, sets)
-                    at, ids, sets = (key, deal), [], []
-                ids.append(doc)
-                sets.append(np.frombuffer(own, U64))
+                    if len(sets) > 1:
+                        out += links_within(list(sets), list(sets.values()))
+                    at, sets = (key, deal), {}
+                sets[d1] = np.frombuffer(own, U64)
             yield _link_batch(out)
             out = []
-        if len(ids) > 1:
-            out += links_within(ids, sets)
+        if len(sets) > 1:
+            out += links_within(list(sets), list(sets.values()))
         yield _link_batch(out)
 
-    dealt = rows.select("key", "deal", "doc_id", "own").repartition("key", "deal").sortWithinPartitions("key", "deal")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return rows.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(compare, "a long, b long")
 
 
 def _link_batch(links):
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
+def minimal_hashes(own: np.ndarray) -> tuple[int, int]:
+    return int(_signed(own[:1])[0]), int(_signed(mix(own ^ U64(0x5851F42D4C957F2D)).min(keepdims=True))[0])
+
+
 def near_links(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """Links between documents that share a minimal hash, enough of them to join most groups of near copies.
 
-    A group that shares one is dealt at random into groups of about GROUP; as documents have two minimal hashes, dealt
-    apart, what one deal separates the other joins.
+    A scan sends the sets of such documents to their groups, through a filter of the hashes that several sets have. A large group
+    is dealt at random into groups of about GROUP; as documents have two minimal hashes, dealt apart, what
+    one deal separates the other joins.
     """
-    keys = sets.select("doc_id", F.explode(F.array("m1", F.expr("~m2"))).alias("key"))
-    often = keys.groupBy("key").count().filter("count > 1")
-    members = cut(keys.join(often, "key").withColumn("deal", F.pmod(F.xxhash64("key", "doc_id"), F.ceil(F.col("count") / GROUP)).cast("int")).select("key", "deal", "doc_id"))
-    found = _wanted_sets(texts, members.select("doc_id").distinct(), k).select("doc_id", "own")
-    return cut(_group_links(members.join(found, "doc_id")))
+    keys = sets.select(F.explode(F.array("m1", F.expr("~m2"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(keys.filter("n > 1"))
+    words = id_filter.build(often, "key", hashed=True)
+    parts = {r["key"]: -(-r["n"] // GROUP) for r in most_frequent(often, "n", GROUP + 1, MAX_DEALT).collect()}
+
+    def read(batches):
+        seen: set[int] = set()
+        names, kinds = ["key", "deal", "d1", "own"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+        for batch in batches:
+            rows, size = [], 0
+            for _, own in shingle_sets(batch.column(0), k):
+                if not len(own):
+                    continue
+                m1, m2 = minimal_hashes(own)
+                wanted = [key for key in (m1, ~m2) if int(words[(key % id_filter.BITS) >> 6]) >> (key % 64) & 1]
+                if not wanted:
+                    continue
+                d1, _ = _digest(own)
+                if d1 in seen:
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen = set()
+                seen.add(d1)
+                data = own.tobytes()
+                rows += [(key, (d1 ^ key) % parts.get(key, 1), d1, data) for key in wanted]
+                size += len(data)
+                if size >= 4 << 20:
+                    yield told(rows)
+                    rows, size = [], 0
+            yield told(rows)
+
+    links = _group_links(texts.select("text").mapInArrow(read, "key long, deal int, d1 long, own binary")).distinct()
+    one, other = (sets.select(F.col("d1").alias(x), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
+    return cut(links.join(one, "a").join(other, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
@@ -254,6 +289,7 @@ def candidate_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     A tile is a shingle and a size band; bands are so wide that linked sets are in one band or in neighbouring ones, and a set is also a
     guest in the tile of the next larger band. Tiles of one set, or of one component, drop out before anything is paired.
+    Each pair must share enough of its first elements for the rest to make up an intersection that links.
     """
     by_shingle = Window.partitionBy("shingle")
     shared = rows.withColumns({"least": F.min("d1").over(by_shingle), "most": F.max("d1").over(by_shingle)}).filter("least <> most")
@@ -266,8 +302,14 @@ def candidate_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     guests = shared.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "index", "component", "band")])
     p, q = LINK
     paired = home.join(guests, ["shingle", "tile"]).filter("a_component <> b_component and (b_band < a_band or a_doc_id < b_doc_id)")
-    paired = paired.filter(f"{q} * least(a_n, b_n) >= {p} * greatest(a_n, b_n) and ((a_n <= b_n and a_index) or (b_n <= a_n and b_index))")
-    return paired.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+    paired = paired.filter(f"{q} * least(a_n, b_n) >= {p} * greatest(a_n, b_n)")
+    # in one of the two sets, what lies beyond its first elements comes after all that the other shares with them
+    paired = paired.groupBy(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min("a_n").alias("n1"), F.min("b_n").alias("n2"),
+        F.bool_or(F.expr("(a_n <= b_n and a_index) or (b_n <= a_n and b_index)")).alias("met"),
+    )
+    rest = F.greatest(F.ceil(F.col("n1") * p / q), F.ceil(F.col("n2") * p / q)) - 1
+    return paired.filter(F.col("met") & (F.col("shared") + rest >= F.ceil((F.col("n1") + F.col("n2")) * p / (p + q) - 1e-6))).select("a", "b")
 
 
 def verified_links(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
