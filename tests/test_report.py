@@ -13,41 +13,41 @@ from workload_audit.session import checkpoint_dir
 
 
 def _found(spark, rows):
-    return spark.createDataFrame(rows, "category string, name string, rank int, row_json string")
+    return spark.createDataFrame(rows, "category string, name string, rank int, `column` string, value string")
 
 
-def test_severity_first_listed_label_wins(spark):
-    found = _found(
+def test_severity_of_each_class_value(spark):
+    told = _found(
         spark,
         [
-            ("cluster_health", "merge_pressure", 1, json.dumps({"a": "🟠 SLOW", "b": "⚪ LIGHT LOAD"}, ensure_ascii=False)),
-            ("cluster_health", "insert_part_fragmentation", 1, json.dumps({"a": "🟥 VERY SMALL"}, ensure_ascii=False)),
-            ("top_n", "by_memory", 1, json.dumps({"a": "x"})),
+            ("cluster_health", "merge_pressure", 1, "merge_duration_class", "🟠 SLOW"),
+            ("cluster_health", "merge_pressure", 1, "merge_load_class", "⚪ LIGHT LOAD"),
+            ("cluster_health", "insert_part_fragmentation", 1, "batch_size_class", "🟥 VERY SMALL"),
+            ("top_n", "by_memory", 1, "query_text", "SELECT '🟥 VERY SMALL'"),
+            ("cluster_health", "partition_health", 1, "partition_status", None),
         ],
     )
-    got = {r["name"]: r for r in R.severity(found).collect()}
-    assert (got["merge_pressure"]["severity"], got["merge_pressure"]["severity_label"]) == ("warning", "Slow")
-    assert got["insert_part_fragmentation"]["is_critical"] is True
-    assert got["by_memory"]["severity"] is None and got["by_memory"]["is_critical"] is False
+    got = {(r["name"], r["column"]): (r["severity"], r["severity_label"], r["is_critical"]) for r in R.severity(told).collect()}
+    assert got == {
+        ("merge_pressure", "merge_duration_class"): ("warning", "Slow", False),
+        ("merge_pressure", "merge_load_class"): ("ok", "Light Load", False),
+        ("insert_part_fragmentation", "batch_size_class"): ("critical", "Very Small", True),
+        ("partition_health", "partition_status"): (None, None, False),
+    }
 
 
-def _score(spark, counts, found):
-    c = spark.createDataFrame(counts, "category string, name string, description string, rows long")
-    return R.health_score(c, R.severity(_found(spark, found))).collect()[0]
+def _score(spark, stats):
+    return R.health_score(spark.createDataFrame(stats, "category string, name string, rows long, critical int")).collect()[0]
 
 
 def test_health_score_cases(spark):
-    empty = [("top_n", "a", "", 0), ("anomalies", "b", "", 0)]
-    s = _score(spark, empty, [])
+    s = _score(spark, [("top_n", "a", 0, 0), ("anomalies", "b", 0, 0)])
     assert (s["score"], s["label"], s["level"]) == (100, "Healthy", "ok")
-    none = spark.createDataFrame([], "category string, name string, description string, rows long")
-    s = R.health_score(none, R.severity(_found(spark, []))).collect()[0]
+    s = _score(spark, [])
     assert (s["score"], s["label"]) == (50, "Unknown")
-    crit = [("cluster_health", "insert_part_fragmentation", "", 1)]
-    s = _score(spark, crit, [("cluster_health", "insert_part_fragmentation", 1, '{"a":"🟥 VERY SMALL"}')])
+    s = _score(spark, [("cluster_health", "insert_part_fragmentation", 1, 1)])
     assert (s["score"], s["label"]) == (20, "Critical")
-    mixed = [("anomalies", "x", "", 2), ("top_n", "y", "", 3), ("top_n", "z", "", 0)]
-    s = _score(spark, mixed, [])
+    s = _score(spark, [("anomalies", "x", 2, 0), ("top_n", "y", 3, 0), ("top_n", "z", 0, 0)])
     # issue = 3*0.6 + 1*0.3 = 2.1 of weight 5 -> 100 - 33.6 -> 66
     assert (s["score"], s["label"]) == (66, "Needs Attention")
 

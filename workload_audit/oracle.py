@@ -751,16 +751,6 @@ def report_counts(cfg: AuditConfig) -> str:
     )
 
 
-def report_severity(cfg: AuditConfig) -> str:
-    sev, lab, crit = _severity_case("j")
-    return _per_check(
-        cfg,
-        "SELECT {cat} AS category, {name} AS name, "
-        + f"{sev} AS severity, {lab} AS severity_label, {crit} AS is_critical, "
-        + 'CAST(count(*) AS BIGINT) AS "rows" FROM (SELECT CAST(to_json(x) AS VARCHAR) AS j FROM ({sql}) x) GROUP BY ALL',
-    )
-
-
 # A value as text: doubles with six decimals, all else as cast.
 _TEXT = "CASE WHEN typeof({c}) IN ('DOUBLE', 'FLOAT') THEN CAST(TRY_CAST({c} AS DECIMAL(38,6)) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
 _VALUES = (
@@ -776,6 +766,14 @@ def report_findings(cfg: AuditConfig) -> str:
     return _per_check(cfg, _VALUES)
 
 
+def report_severity(cfg: AuditConfig) -> str:
+    sev, lab, _ = _severity_case("value")
+    return (
+        f"SELECT *, {sev} AS severity, {lab} AS severity_label, coalesce({sev} = 'critical', false) AS is_critical "
+        f"FROM ({report_findings(cfg)}) v WHERE regexp_matches(\"column\", '_class$|^partition_status$')"
+    )
+
+
 def report_preview(cfg: AuditConfig) -> str:
     from .plans.report import PREVIEW_ROWS
 
@@ -803,12 +801,9 @@ def report_metric_lines(cfg: AuditConfig) -> str:
 
 
 def _check_stats(cfg: AuditConfig) -> str:
-    _, _, crit = _severity_case("j")
-    return _per_check(
-        cfg,
-        "SELECT {cat} AS category, {name} AS name, count(*) AS n, "
-        + f"coalesce(max(CAST({crit} AS INTEGER)), 0) AS c "
-        + "FROM (SELECT CAST(to_json(x) AS VARCHAR) AS j FROM ({sql}) x)",
+    return (
+        f'SELECT c.category, c.name, c."rows" AS n, coalesce(max(CAST(v.is_critical AS INTEGER)), 0) AS c FROM ({report_counts(cfg)}) c '
+        f"LEFT JOIN ({report_severity(cfg)}) v ON v.category = c.category AND v.name = c.name GROUP BY ALL"
     )
 
 

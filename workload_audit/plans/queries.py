@@ -48,11 +48,8 @@ def report_counts(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> D
 
 
 def report_severity(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    """Finding rows per (check, severity)."""
-    sev = R.severity(R.findings(_checks(tables, cfg)))
-    return sev.groupBy("category", "name", "severity", "severity_label", "is_critical").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+    """The severity of every class value."""
+    return R.severity(R.values(_checks(tables, cfg)))
 
 
 def report_preview(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -64,8 +61,7 @@ def report_preview(spark: SparkSession, tables: LogTables, cfg: AuditConfig) ->
 
 def report_health_score(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
     checks = _checks(tables, cfg)
-    found = R.findings(checks)
-    return R.health_score(R.result_counts(spark, checks, found), R.severity(found))
+    return R.health_score(R.check_stats(spark, checks, R.values(checks)))
 
 
 def report_key_findings(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
