@@ -14,7 +14,7 @@ from . import id_filter
 from .components import components
 from .fingerprints import settle
 from .frequent import most_frequent
-from .storage import cut, unwrapped, wrapped
+from .storage import Rounds, cut, unwrapped, wrapped
 
 #: Edits (characters put in, left out or replaced) within which two lines are near copies, and the characters from which lines are compared at all.
 MAX_EDITS, MIN_CHARS = 2, 20
@@ -25,6 +25,7 @@ RUN, RUN_TIMES = 250_000, 8
 #: Hot keys that are dealt into blocks, at most, the hottest first. Any other key is one block.
 MAX_HOT = 1 << 16
 INDEX, PROBE = 1, 2
+KEY_MASK = (1 << 40) - 1
 U64 = np.uint64
 
 
@@ -39,6 +40,11 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
+def segment_key(part: str, seed: int) -> int:
+    """The key of a segment. Its 40 bits keep rows small; keys that meet by chance only make lines meet that then fail to match."""
+    return xxhash.xxh3_64_intdigest(part, seed) & KEY_MASK
+
+
 def signatures(line: str, edits: int) -> Iterator[tuple[int, int]]:
     """(key, roles) of a line: its own segments, and its substrings that can equal a segment of a line as long or up to ``edits`` shorter.
 
@@ -53,8 +59,7 @@ def signatures(line: str, edits: int) -> Iterator[tuple[int, int]]:
             high = min(start + i, start + shorter + (edits - i), n - size)
             seed = (n - shorter) * 16 + i
             for at in range(low, high + 1):
-                key = xxhash.xxh3_64_intdigest(line[at : at + size], seed)
-                yield key, INDEX | PROBE if not shorter and at == start else PROBE
+                yield segment_key(line[at : at + size], seed), INDEX | PROBE if not shorter and at == start else PROBE
 
 
 def parity(line: str) -> int:
@@ -136,7 +141,7 @@ def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
                         if h1 not in seen:
                             seen.add(h1)
                             for i, (start, size) in enumerate(segments(len(line), edits)):
-                                keys.append(xxhash.xxh3_64_intdigest(line[start : start + size], len(line) * 16 + i))
+                                keys.append(segment_key(line[start : start + size], len(line) * 16 + i))
                 if len(rows) >= 50_000:
                     yield _batch(names, kinds, rows)
                     rows = []
@@ -154,12 +159,20 @@ def key_rows(texts: DataFrame, hot: dict[int, int], edits: int, least: int) -> D
 
     The lines of a hot key are dealt into as many parts as it has blocks; each pair of an index part and a probe part is a block of its own.
     """
-    names, kinds = ["key", "block", "line", "mark"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def told(keys, roles, lines, lows, counts, dealt):
+        line, mark = np.repeat(np.array(lines, np.int64), counts), np.repeat(np.array(lows, np.int64), counts) | np.array(roles, np.int64)
+        key, block = np.array(keys, np.int64), np.zeros(len(keys), np.int32)
+        if dealt:
+            own = np.array(dealt, np.int64)
+            stay = ~np.isin(key, list(hot)) if hot else np.ones(len(key), bool)
+            key, block, line, mark = (np.concatenate([x[stay], own[:, i].astype(x.dtype)]) for i, x in enumerate((key, block, line, mark)))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(line), pa.array(mark)], names=["key", "block", "line", "mark"])
 
     def read(batches):
         seen: set[int] = set()
         for batch in batches:
-            rows = []
+            keys, roles, lines, lows, counts, dealt = [], [], [], [], [], []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) < least:
@@ -170,20 +183,23 @@ def key_rows(texts: DataFrame, hot: dict[int, int], edits: int, least: int) -> D
                     if len(seen) >= 2 * RUN:
                         seen = set()
                     seen.add(h1)
-                    low = parity(line) << 2
-                    for key, roles in signatures(line, edits):
-                        parts = hot.get(key, 1)
-                        if parts == 1:
-                            rows.append((_signed(key), 0, h1, low | roles))
-                            continue
-                        own = h1 % parts
-                        if roles & INDEX:
-                            rows += [(_signed(key), own * parts + p, h1, low | INDEX) for p in range(parts)]
-                        rows += [(_signed(key), p * parts + own, h1, low | PROBE) for p in range(parts)]
-                if len(rows) >= 50_000:
-                    yield _batch(names, kinds, rows)
-                    rows = []
-            yield _batch(names, kinds, rows)
+                    own = list(signatures(line, edits))
+                    lines.append(h1)
+                    lows.append(parity(line) << 2)
+                    counts.append(len(own))
+                    for key, role in own:
+                        keys.append(key)
+                        roles.append(role)
+                        parts = hot.get(key)
+                        if parts:
+                            part = h1 % parts
+                            if role & INDEX:
+                                dealt += [(key, part * parts + p, h1, lows[-1] | INDEX) for p in range(parts)]
+                            dealt += [(key, p * parts + part, h1, lows[-1] | PROBE) for p in range(parts)]
+                if len(keys) >= 100_000:
+                    yield told(keys, roles, lines, lows, counts, dealt)
+                    keys, roles, lines, lows, counts, dealt = [], [], [], [], [], []
+            yield told(keys, roles, lines, lows, counts, dealt)
 
     return texts.select("text").mapInArrow(read, "key long, block int, line long, mark long")
 
@@ -292,26 +308,27 @@ def dedup_lines(
     names of the three added ones are replaced; all others are kept. No rows: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = cut(occurrences(texts, edits, least))
-    counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
-    hot = {r["h1"] % (1 << 64): -(-r["n"] // BLOCK) for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
-    pairs = pair_rows(key_rows(texts, hot, edits, least), edits)
-    links = line_links(texts, pairs, edits, least)
-    joined = components(links).select(F.col("node").alias("h1"), "component")
-
-    places = table.filter("kind = 0").drop("kind")
-    lines = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    lines = lines.join(joined, "h1", "left")
-    alone = lines.filter("component is null and n > 1").select("h1", "h2", F.col("first").alias("kept"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    classed = lines.filter("component is not null")
-    firsts = classed.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("f"))
-    classed = classed.join(firsts, "component").select("h1", "h2", F.col("f.first").alias("kept"), F.col("f.h1").alias("k1"), F.col("f.h2").alias("k2"))
-    repeated = cut(alone.unionByName(classed))
-    gone = places.join(repeated, ["h1", "h2"]).filter("not (doc_id <=> kept.doc_id and line = kept.line)")
-    near = ((F.col("h1") != F.col("k1")) | (F.col("h2") != F.col("k2"))).alias("near")
-    by_doc = gone.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.array_sort(F.collect_set(F.struct("line", near, F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("_dropped")
-    )
+    with Rounds(docs.sparkSession) as rounds:
+        table = rounds.keep(occurrences(texts, edits, least))
+        counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
+        hot = {r["h1"]: -(-r["n"] // BLOCK) for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
+        pairs = pair_rows(key_rows(texts, hot, edits, least), edits)
+        links = line_links(texts, pairs, edits, least)
+        joined = components(links).select(F.col("node").alias("h1"), "component")
+
+        places = table.filter("kind = 0").drop("kind")
+        lines = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+        lines = lines.join(joined, "h1", "left")
+        alone = lines.filter("component is null and n > 1").select("h1", "h2", F.col("first").alias("kept"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+        classed = lines.filter("component is not null")
+        firsts = classed.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("f"))
+        classed = classed.join(firsts, "component").select("h1", "h2", F.col("f.first").alias("kept"), F.col("f.h1").alias("k1"), F.col("f.h2").alias("k2"))
+        repeated = cut(alone.unionByName(classed))
+        gone = places.join(repeated, ["h1", "h2"]).filter("not (doc_id <=> kept.doc_id and line = kept.line)")
+        near = ((F.col("h1") != F.col("k1")) | (F.col("h2") != F.col("k2"))).alias("near")
+        by_doc = cut(gone.groupBy(F.col("doc_id").alias("_id")).agg(
+            F.array_sort(F.collect_set(F.struct("line", near, F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("_dropped")
+        ))
     base = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("_at"))
     nothing = F.array().cast("array<struct<line:int,near:boolean,kept_doc:long,kept_line:int>>")
     whole = base.join(by_doc, F.col("_at").eqNullSafe(F.col("_id")), "left").select("row", F.coalesce("_dropped", nothing).alias("_dropped"))
