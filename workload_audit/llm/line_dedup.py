@@ -275,6 +275,7 @@ def wanted_lines(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
     words = id_filter.build(ends, "h1", hashed=True)
 
     def read(batches):
+        seen: set[int] = set()
         for batch in batches:
             rows = []
             for text in batch.column(0):
@@ -282,7 +283,9 @@ def wanted_lines(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
                     if len(line) >= least:
                         h1 = line_hash(line)[0]
                         at = h1 % id_filter.BITS
-                        if int(words[at >> 6]) >> (at & 63) & 1:
+                        if int(words[at >> 6]) >> (at & 63) & 1 and h1 not in seen:  # a frequent line once from each task
+                            seen = seen if len(seen) < RUN else set()
+                            seen.add(h1)
                             rows.append((h1, line))
                 if len(rows) >= 5_000:
                     yield _batch(["h1", "content"], [pa.int64(), pa.string()], rows)
