@@ -25,9 +25,9 @@ GROUP = 256
 #: Groups that are dealt, at most, the largest first; a group beyond these is compared as one.
 MAX_DEALT = 1 << 16
 #: Shingles are counted in runs of about this many; a run tells of those in at least RUN_TIMES of its sets.
-RUN, RUN_TIMES = 4_000_000, 3
+RUN, RUN_TIMES = 4_000_000, 2
 #: A shingle in at least this many sets, by those counts, is common; so many common ones are held at most, the most frequent first (2 MB).
-COMMON, MAX_COMMON = 24, 1 << 18
+COMMON, MAX_COMMON = 4, 1 << 18
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
