@@ -37,6 +37,18 @@ def test_secrets_against_regexes_and_ledger_growth(spark, rows, edge_docs, no_do
     assert scan_versions(no_docs.select(no_docs.doc_id.alias("path"), "text"), run_path(spark, "ledger"), first=True).count() == 0
 
 
+def test_secrets_of_equal_rows_are_found_once(spark, small):
+    """A row that stands twice, two rows without an id and one text, and a file that went back to an earlier content."""
+    two = lambda k: f"token = abcdefgh{k} then password: 0123456789{k} and AKIAABCDEFGHIJKLMNO{k} AKIAABCDEFGHIJKLMNX{k} {'deadbeef' * 4} {'0badcafe' * 4}"
+    versions = [(1, two(1)), (1, two(1)), (None, two(2)), (None, two(2)), (2, two(3)), (2, "other"), (2, two(3)), (3, two(3)), (None, None), (None, None)]
+    frame = spark.createDataFrame(versions, "doc_id long, text string").repartition(3)
+    ledger = scan_versions(frame.select(frame.doc_id.alias("path"), "text"), run_path(spark, "ledger"), first=True)
+    got = Counter(map(tuple, find_secrets(frame, ledger).select("doc_id", "n_assign", "n_access", "n_hex", "spans").collect()))
+    assert got == Counter((i, *brute.secrets(t)) for i, t in versions)
+    assert all(r[1:4] == (2, 2, 2) for r in got if r[4])
+    assert ledger.count() == 3 * len({brute.sha256(t or "") for _, t in versions})
+
+
 def test_rules_statistics_and_verdicts(rows, edge_docs, no_docs, labels):
     got = quality_rules(edge_docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     want = Counter()

@@ -65,10 +65,12 @@ def _needed(rule: Rule) -> int:
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Ledger rows (blob, kind, version, spans) of the texts in ``blobs`` (blob, text, todo), for the kinds in ``todo``."""
+    """Ledger rows (blob, kind, version, spans) of the texts in ``blobs`` (blob, text, todo), for the kinds in ``todo``. Rows of one blob count once."""
     parts = None
     for rule in rules:
-        hits = blobs.filter(F.array_contains("todo", f"{rule.kind}:{rule.version}") & _quick(rule)).select("blob", F.posexplode(_spans(rule)).alias("k", "m"))
+        # rows equal in path and text come as often as they stand; the running sum below is right for one row of a blob only
+        once = blobs.filter(F.array_contains("todo", f"{rule.kind}:{rule.version}") & _quick(rule)).dropDuplicates(["blob"])
+        hits = once.select("blob", F.posexplode(_spans(rule)).alias("k", "m"))
         before = Window.partitionBy("blob").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         placed = hits.withColumn("end", F.sum(F.col("m.gap") + F.col("m.size")).over(before)).filter(F.col("m.value") >= rule.least)
         rows = placed.groupBy("blob").agg(
@@ -94,7 +96,7 @@ def scan_versions(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES,
     spark = versions.sparkSession
     wanted = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     texts = versions.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # one path stands for each blob, so that only its text goes on; ties of equal rows are left to the distinct rows below
+    # one path stands for each blob, so that only its text goes on; rows equal in path and text go on together, and scan_blobs takes one of them
     blobs = texts.groupBy(blob_id(F.col("text")).alias("blob")).agg(F.min("path").alias("at"))
     if first:
         new = blobs.withColumn("todo", wanted)
@@ -106,7 +108,6 @@ def scan_versions(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES,
     sources = new.withColumnRenamed("blob", "b").hint("shuffle_hash")
     unseen = old.join(sources, F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("b"))).select("blob", "text", "todo")
     found = scan_blobs(unseen, rules)
-    found = found.groupBy("blob", "kind", "version").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     listed = new.select("blob", F.explode("todo").alias("rule")).select(
         "blob", F.split_part("rule", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("rule", F.lit(":"), F.lit(2)).cast("int").alias("version")
     )
