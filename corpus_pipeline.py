@@ -5,23 +5,25 @@ Quality classifier, line dedup, n-gram Jaccard join, mixing sources to target we
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workload_audit.llm.features import text_key
 from workload_audit.llm.line_dedup import dedup_lines
 from workload_audit.llm.mixing import mix, take
 from workload_audit.llm.ngram_join import near_duplicates
 from workload_audit.llm.packing import pack, token_pieces
 from workload_audit.llm.quality_ranking import rank_quality
-from workload_audit.llm.storage import run_path, ship, unwrapped, wrapped
+from workload_audit.llm.storage import cut, run_path, ship, unwrapped, wrapped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. A null id keeps its row if its text is accepted."""
+    """Documents that the classifier accepts. The verdict goes by id and text, so rows that share an id, null included, are judged each by its own text."""
     ship(spark)
-    verdicts = rank_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = verdicts.filter("predicted = 0").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]), "left_anti")
+    verdicts = rank_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True)
+    rejected = verdicts.filter("predicted = 0").select(F.col("doc_id").alias("_id"), "text_key").distinct()
+    same = docs["doc_id"].eqNullSafe(rejected["_id"]) & (text_key(docs["text"]) == rejected["text_key"])
+    return docs.join(rejected, same, "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; of rows that share an id, one. Rows with a null id stay."""
+    """One document of each group of near copies, the one with the smallest id (null last), then text hash; of rows equal in id and text, one.
+
+    Texts are linked whatever their ids: unlike texts of one id stay, near copies without an id go. Texts without words link with nothing and stay.
+    """
     ship(spark)
-    groups = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    base = docs.select(wrapped(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    marked = base.join(groups, F.col("id") == F.col("doc_id"), "left").filter("doc_id is null or doc_id = first").drop("doc_id")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
-    several = marked.filter("rows > 1").withColumn("place", place).filter("place = 1").drop("place")
-    return marked.filter("rows is null or rows = 1").unionByName(several).select(*unwrapped(docs.columns))
+    key = text_key(F.col("text"))
+    groups = cut(near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("key")).agg(
+        F.max("n_shingles").alias("n"), F.min("component_id").alias("component")))
+    ids = docs.select(F.col("doc_id").alias("id"), key.alias("hash")).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    by_text = ids.groupBy("hash").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", "rows")).alias("own"))
+    linked = by_text.join(groups.filter("n > 0"), F.col("hash") == F.col("key")).groupBy("component").agg(F.min("own").alias("f"))
+    wordless = ids.join(groups.filter("n = 0"), F.col("hash") == F.col("key"), "left_semi").select("id", "hash", F.lit(1).cast("long").alias("rows"))
+    stays = cut(linked.select("f.id", "f.hash", "f.rows").unionByName(wordless)).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "rows")
+    base = docs.select(wrapped(docs), F.col("doc_id").alias("id"), key.alias("hash"))
+    marked = base.join(stays, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("row", "id", "hash", "rows")
+    several = marked.filter("rows > 1").dropDuplicates(["id", "hash"])
+    return marked.filter("rows = 1").unionByName(several).select(*unwrapped(docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,3 +322,37 @@ def test_pipeline(spark, small):
     copies = Counter(r["doc_id"] for r in mixed)
     assert set(copies.values()) <= {1, 2} and set(copies) <= {r["doc_id"] for r in joined}
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == copies
+
+
+def test_pipeline_decides_by_row(spark, small, rows, edge_docs):
+    """Rows without an id or with a shared one are judged, and joined, each by its own text."""
+    import corpus_pipeline as P
+
+    from pyspark.sql import functions as F
+    from workload_audit.llm.quality_ranking import rank_quality
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    good, bad = ([r[1] for r in rows if quality.get(r[0]) == q] for q in (1, 0))
+    near = good[3] + " and a word more"
+    extra = [(None, good[0]), (None, bad[0]), (None, good[1]), (2000, good[2]), (2000, bad[1]), (2000, good[4]), (None, near), (None, good[3]), (2001, good[5]), (2001, good[5])]
+    more = spark.createDataFrame(extra, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = edge_docs.unionByName(more, allowMissingColumns=True)
+    every = [(i, t) for i, t, *_ in rows] + extra
+    # the same rows under ids of their own, the labelled ones kept
+    own = [(i if i in quality else 5000 + k, t) for k, (i, t) in enumerate(every)]
+    verdict = {r["doc_id"]: r["predicted"] for r in rank_quality(spark.createDataFrame(own, "doc_id long, text string"), labels).collect()}
+    want = Counter(every[k] for k, (i, _) in enumerate(own) if verdict[i])
+    accepted = P.quality_classifier(spark, docs, small)
+    assert accepted.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in accepted.collect()) == want
+    assert want[(None, good[0])] and not want[(None, bad[0])] and want[(2000, good[2])] and not want[(2000, bad[1])]
+
+    joined = P.ngram_join(spark, docs, small)
+    assert joined.columns == docs.columns
+    order = sorted(every, key=lambda r: (r[0] is None, r[0] or 0))
+    root = brute.components(len(order), _linked([brute.shingles(t) for _, t in order]))
+    left = Counter((r["doc_id"], r["text"]) for r in joined.collect())
+    assert Counter(i for i, _ in left.elements()) == Counter(order[k][0] for k, r in enumerate(root) if r == k)
+    kept = [brute.shingles(t) for _, t in left.elements()]
+    assert not _linked(kept)

@@ -16,16 +16,23 @@ FEATURES = (
 )
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, STAT_NAMES...) of every row, in one pass over the texts without a shuffle."""
-    schema = "doc_id long, " + ", ".join(f"{x} long" for x in STAT_NAMES)
+def with_statistics(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """(doc_id, STAT_NAMES...) of every row, in one pass over the texts without a shuffle; ``keyed`` adds text_key, the text's hash."""
+    names = ["doc_id", *STAT_NAMES, *["text_key"] * keyed]
+    schema = ", ".join(f"{x} long" for x in names)
 
     def count(batches):
         for batch in batches:
             stats = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[:, i]) for i in range(stats.shape[1]))], ["doc_id", *STAT_NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(stats[:, i]) for i in range(stats.shape[1])), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(count, schema)
+    key = [text_key(F.col(text_col)).alias("text_key")] * keyed
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key).mapInArrow(count, schema)
+
+
+def text_key(text: Column) -> Column:
+    """The hash that tells rows of one id apart. Null text: that of the empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def matrix(stats: pd.DataFrame) -> np.ndarray:
