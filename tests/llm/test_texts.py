@@ -249,6 +249,21 @@ def test_line_dedup_against_all_pairs(rows, edge_docs, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark, small):
+    """A repeat in one row takes nothing from others of its id, and goes also where it stands at the kept line's place."""
+    line = lambda k: f"line {k} " + "".join(random.Random(k).choices("abcdefgh", k=30))
+    texts = [(None, [1, 2, 3]), (None, [1, 4, 5]), (None, [6, 7, 2]), (7, [8, 9, 3]), (7, [8, 10, 11]), (7, [12, 9, 13]), (8, [14, 15]), (9, []), (None, [])]
+    docs = [(i, "\n".join(map(line, own))) for i, own in texts] + [(None, None)]
+    out = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    left = Counter(x for r in out for x in (r["text"] or "").split("\n") if x)
+    assert left == Counter(line(k) for k in {k for _, own in texts for k in own})
+    assert Counter((r["doc_id"], r["_lines"]) for r in out) == Counter((i, 0 if t is None else t.count("\n") + 1) for i, t in docs)
+    twice = [*docs, docs[0], docs[3], docs[3], docs[6]]
+    out = dedup_lines(spark.createDataFrame(twice, "doc_id long, text string").repartition(3), apart=True).collect()
+    assert Counter(x for r in out for x in (r["text"] or "").split("\n") if x) == left
+    assert len(out) == len(twice) and all(len(r["_dropped"]) + len((r["text"] or "").split("\n")) == r["_lines"] for r in out if r["text"])
+
+
 def test_line_dedup_with_many_variants(spark, small, monkeypatch):
     """Lines with common segments, more than a block of them, some within two edits and most not."""
     from workload_audit.llm import line_dedup

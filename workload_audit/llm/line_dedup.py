@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import id_filter
 from .components import components
+from .features import text_key
 from .fingerprints import settle
 from .frequent import most_frequent
 from .storage import Rounds, cut, unwrapped, wrapped
@@ -119,8 +120,8 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
 
 
 def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
-    """Where each line stands (kind 0: h1, h2, doc_id, line), and the counts of frequent segment keys (kind 1: h1 is the key, h2 its lines)."""
-    names, kinds = ["kind", "h1", "h2", "doc_id", "line"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    """Where each line stands (kind 0: h1, h2, doc_id, key, line), and the counts of frequent segment keys (kind 1: h1 is the key, h2 its lines)."""
+    names, kinds = ["kind", "h1", "h2", "doc_id", "key", "line"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def read(batches):
         keys: list[int] = []
@@ -129,15 +130,15 @@ def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
         def told():
             values, times = np.unique(np.array(keys, U64), return_counts=True)
             often = times >= RUN_TIMES
-            return _batch(names, kinds, [(1, k, n, None, None) for k, n in zip(values[often].view(np.int64).tolist(), times[often].tolist(), strict=True)])
+            return _batch(names, kinds, [(1, k, n, None, None, None) for k, n in zip(values[often].view(np.int64).tolist(), times[often].tolist(), strict=True)])
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for at, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= least:
                         h1, h2 = line_hash(line)
-                        rows.append((0, h1, h2, doc, at))
+                        rows.append((0, h1, h2, doc, own, at))
                         if h1 not in seen:
                             seen.add(h1)
                             for i, (start, size) in enumerate(segments(len(line), edits)):
@@ -151,7 +152,19 @@ def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
             yield _batch(names, kinds, rows)
         yield told()
 
-    return texts.mapInArrow(read, "kind int, h1 long, h2 long, doc_id long, line int")
+    return texts.mapInArrow(read, "kind int, h1 long, h2 long, doc_id long, key long, line int")
+
+
+def row_keys(df: DataFrame, doc_id: Column, text: Column, twins: DataFrame | None) -> DataFrame:
+    """``df`` with ``_key``, which with the id tells a row: the text's hash, and from the second of the rows in ``twins`` on, which are equal in both, a hash of its number too."""
+    keyed = df.withColumns({"_key": text_key(text), "_of": doc_id})
+    if twins is None:
+        return keyed.drop("_of")
+    same = F.col("_of").eqNullSafe(F.col("twin_id")) & (F.col("_key") == F.col("twin_key"))
+    place = F.row_number().over(Window.partitionBy("_of", "_key").orderBy(F.lit(0)))
+    several = keyed.join(twins, same, "left_semi").withColumn("_place", place)
+    several = several.withColumn("_key", F.when(F.col("_place") > 1, F.xxhash64("_key", "_place")).otherwise(F.col("_key"))).drop("_place")
+    return keyed.join(twins, same, "left_anti").unionByName(several).drop("_of")
 
 
 def key_rows(texts: DataFrame, hot: dict[int, int], edits: int, least: int) -> DataFrame:
@@ -297,20 +310,27 @@ def wanted_lines(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
 ) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line: all columns, the text shortened, and _lines, _dropped and _near.
 
     Lines (between newlines) of at least ``least`` characters that are equal or at most ``edits``
-    edits apart are linked, and linked lines are one class. The first line of a class, by document id and place, stays; all
+    edits apart are linked, and linked lines are one class. The first line of a class, by document id, text hash and place, stays; all
     others go, with their newline. Shorter lines always stay. _dropped lists what goes as (line, near, kept_doc, kept_line):
     its place, whether it differs from all equal earlier ones, and where the class's first line is; _lines counts all lines, _near those dropped that aren't exact copies of the first.
 
-    Null text: stays null, 0 lines. Empty text: one empty line. Rows that share an id are one document to
-    this operator: a line that is kept in one is kept at that place in all. Null ids come first. Columns with the
+    Null text: stays null, 0 lines. Empty text: one empty line. Rows that share an id, null
+    included, are told apart by their texts. Rows equal in id and text are one document, whose kept lines stay in each of them; with
+    ``apart`` they are documents too, and the first one keeps its lines. Null ids come first. Columns with the
     names of the three added ones are replaced; all others are kept. No rows: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    twins = None
+    if apart:
+        equal = texts.groupBy(F.col("doc_id").alias("twin_id"), text_key(F.col("text")).alias("twin_key")).count().filter("count > 1")
+        twins = cut(equal.drop("count"))
+        twins = None if twins.isEmpty() else twins
+    texts = row_keys(texts, F.col("doc_id"), F.col("text"), twins)
     with Rounds(docs.sparkSession) as rounds:
         table = rounds.keep(occurrences(texts, edits, least))
         counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
@@ -320,21 +340,22 @@ def dedup_lines(
         joined = components(links).select(F.col("node").alias("h1"), "component")
 
         places = table.filter("kind = 0").drop("kind")
-        lines = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
+        lines = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "line")).alias("first"))
         lines = lines.join(joined, "h1", "left")
         alone = lines.filter("component is null and n > 1").select("h1", "h2", F.col("first").alias("kept"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
         classed = lines.filter("component is not null")
         firsts = classed.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("f"))
         classed = classed.join(firsts, "component").select("h1", "h2", F.col("f.first").alias("kept"), F.col("f.h1").alias("k1"), F.col("f.h2").alias("k2"))
         repeated = cut(alone.unionByName(classed))
-        gone = places.join(repeated, ["h1", "h2"]).filter("not (doc_id <=> kept.doc_id and line = kept.line)")
+        gone = places.join(repeated, ["h1", "h2"]).filter("not (doc_id <=> kept.doc_id and key = kept.key and line = kept.line)")
         near = ((F.col("h1") != F.col("k1")) | (F.col("h2") != F.col("k2"))).alias("near")
-        by_doc = cut(gone.groupBy(F.col("doc_id").alias("_id")).agg(
+        by_doc = cut(gone.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_row")).agg(
             F.array_sort(F.collect_set(F.struct("line", near, F.col("kept.doc_id").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("_dropped")
         ))
     base = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("_at"))
+    base = row_keys(base, F.col("_at"), F.col("row")[text_col], twins)
     nothing = F.array().cast("array<struct<line:int,near:boolean,kept_doc:long,kept_line:int>>")
-    whole = base.join(by_doc, F.col("_at").eqNullSafe(F.col("_id")), "left").select("row", F.coalesce("_dropped", nothing).alias("_dropped"))
+    whole = base.join(by_doc, F.col("_at").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left").select("row", F.coalesce("_dropped", nothing).alias("_dropped"))
     text = F.col("row")[text_col]
     whole = settle(whole, {"_split": F.split(text, "\n", -1)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.transform("_dropped", lambda d: d["line"]))
@@ -351,7 +372,7 @@ def dedup_lines(
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, apart=True).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").alias("n_dropped"), F.col("_near").alias("n_near"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.col("_dropped").alias("dropped"), "text",
     )
