@@ -264,6 +264,15 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark, small):
     assert len(out) == len(twice) and all(len(r["_dropped"]) + len((r["text"] or "").split("\n")) == r["_lines"] for r in out if r["text"])
 
 
+def test_short_lines_go_where_they_are_equal(spark, small):
+    """Short lines have no near copies, but exact ones; empty lines stay."""
+    docs = [(1, "short\n\nshorts\n}"), (2, "short\n\nown\nshort"), (None, "}\na line of more than twenty characters"), (3, "shorts\na line of more than twenty characterz\n")]
+    out = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), exact=1).collect()
+    want = {1: "short\n\nshorts", 2: "\nown", None: "}\na line of more than twenty characters", 3: ""}
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    assert {r["doc_id"]: (len(r["_dropped"]), r["_near"]) for r in out} == {1: (1, 0), 2: (2, 0), None: (0, 0), 3: (2, 1)}
+
+
 def test_line_dedup_with_many_variants(spark, small, monkeypatch):
     """Lines with common segments, more than a block of them, some within two edits and most not."""
     from workload_audit.llm import line_dedup

@@ -119,7 +119,7 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
+def occurrences(texts: DataFrame, edits: int, least: int, exact: int) -> DataFrame:
     """Where each line stands (kind 0: h1, h2, doc_id, key, line), and the counts of frequent segment keys (kind 1: h1 is the key, h2 its lines)."""
     names, kinds = ["kind", "h1", "h2", "doc_id", "key", "line"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
@@ -136,10 +136,10 @@ def occurrences(texts: DataFrame, edits: int, least: int) -> DataFrame:
             rows = []
             for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for at, line in enumerate((text.as_py() or "").split("\n")):
-                    if len(line) >= least:
+                    if len(line) >= exact:
                         h1, h2 = line_hash(line)
                         rows.append((0, h1, h2, doc, own, at))
-                        if h1 not in seen:
+                        if len(line) >= least and h1 not in seen:
                             seen.add(h1)
                             for i, (start, size) in enumerate(segments(len(line), edits)):
                                 keys.append(segment_key(line[start : start + size], len(line) * 16 + i))
@@ -310,13 +310,14 @@ def wanted_lines(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", apart: bool = False
+    docs: DataFrame, edits: int = MAX_EDITS, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", apart: bool = False,
+    exact: int | None = None,
 ) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line: all columns, the text shortened, and _lines, _dropped and _near.
 
     Lines (between newlines) of at least ``least`` characters that are equal or at most ``edits``
     edits apart are linked, and linked lines are one class. The first line of a class, by document id, text hash and place, stays; all
-    others go, with their newline. Shorter lines always stay. _dropped lists what goes as (line, near, kept_doc, kept_line):
+    others go, with their newline. Of shorter lines those of at least ``exact`` characters (``least`` without it) go where they are equal to an earlier one; others always stay. _dropped lists what goes as (line, near, kept_doc, kept_line):
     its place, whether it differs from all equal earlier ones, and where the class's first line is; _lines counts all lines, _near those dropped that aren't exact copies of the first.
 
     Null text: stays null, 0 lines. Empty text: one empty line. Rows that share an id, null
@@ -332,7 +333,7 @@ def dedup_lines(
         twins = None if twins.isEmpty() else twins
     texts = row_keys(texts, F.col("doc_id"), F.col("text"), twins)
     with Rounds(docs.sparkSession) as rounds:
-        table = rounds.keep(occurrences(texts, edits, least))
+        table = rounds.keep(occurrences(texts, edits, least, least if exact is None else min(exact, least)))
         counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
         hot = {r["h1"]: -(-r["n"] // BLOCK) for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
         pairs = pair_rows(key_rows(texts, hot, edits, least), edits)
@@ -372,7 +373,7 @@ def dedup_lines(
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, apart=True).select(
+    return dedup_lines(docs, apart=True, exact=1).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.size("_dropped").alias("n_dropped"), F.col("_near").alias("n_near"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.col("_dropped").alias("dropped"), "text",
     )
