@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tests.llm import brute
 from workload_audit.llm.components import components
@@ -122,6 +123,24 @@ def test_order_minhash(spark, rows, edge_docs, no_docs):
     assert with_next(no_docs).count() == 0
 
 
+def test_every_row_has_its_fingerprint(spark, small, tmp_path):
+    """Rows that share an id, or have none, are documents of their own; equal rows too."""
+    from workload_audit.llm.fingerprints import op4_fingerprints
+
+    texts = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (None, "no id here at all"), (None, "no id here either, but more"),
+             (None, None), (None, ""), (3, "twice the same as it stands"), (3, "twice the same as it stands"), (3, "twice the same as it stands"), (2, "alone")]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op4_fingerprints(spark, str(tmp_path)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64)
+    order = sorted(texts, key=key)
+    want = Counter()
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        text, half = text or "", len(text or "") // 2
+        want[(i, len(text), brute.sha256(text[: len(text) - half] + (following or "")[:half]))] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
+    assert Counter(r["near_next"] for r in out if r["doc_id"] == 3)[1.0] == 2
+
+
 def test_order_minhash_is_brute_force_and_sees_order(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(40)}" for _ in range(200)]

@@ -108,45 +108,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(equal / F.greatest(filled, F.lit(1)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_chars, next_id, edited): each text, and the text whose last half is replaced by the start of the next document's.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """(doc_id, text, n_chars, next_id, edited, hash, next_hash, nth): each text, and the text whose last half is replaced by the start of the next document's.
 
     The next document is found by global index from per-partition counts, and only the start
-    that is needed of its text moves to the document before it. One row per
+    that is needed of its text moves to the document before it. Documents follow each other by id, then text hash. With
+    ``every``, each row is a document; rows equal in id and text follow each other, ``nth`` from 1. Else there is one row per
     id: of rows that share an id the one with the smallest text hash stands for it. Null text: empty. Null id: first, and
-    an id like any other. A single document is its own next.
+    an id like any other. A single document is its own next. (id, hash) and (next_id, next_hash) tell texts of one id apart.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.expr(f"{NO_ID + 1}L - 1L"))
     texts = docs.select(own.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    ids = texts.groupBy("id").agg(F.min(F.struct("hash", F.length("text").alias("n_chars"))).alias("one")).select("id", "one.*")
-    placed = cut(running(ids, [F.col("id")]))
+    if every:
+        ids = texts.groupBy("id", "hash").agg(F.min(F.length("text")).alias("n_chars"), F.count(F.lit(1)).cast("int").alias("m"))
+    else:
+        ids = texts.groupBy("id").agg(F.min(F.struct("hash", F.length("text").alias("n_chars"))).alias("one")).select("id", "one.*", F.lit(1).alias("m"))
+    placed = cut(running(ids, [F.col("id"), F.col("hash")]))
     n = max(placed.count(), 1)
-    after = placed.select(F.col("row_index").alias("at"), F.col("id").alias("k"), F.col("hash").alias("h"))
+    after = placed.select(F.col("row_index").alias("at"), F.col("id").alias("k"), F.col("hash").alias("h"), F.col("m").alias("own_m"))
     pairs = placed.join(after, (F.col("row_index") + 1) % n == F.col("at")).select(
-        "k", "h", F.col("id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("need")
+        "k", "h", "own_m", F.col("id").alias("prev_id"), F.col("hash").alias("prev_hash"), F.floor(F.col("n_chars") / 2).cast("int").alias("need")
     )
-    # all that follows stays partitioned by id; equal hashes are told by xor, which is no join key
-    joined = texts.join(pairs.hint("merge"), F.col("id") == F.col("k")).filter(F.col("hash").bitwiseXOR(F.col("h")) == 0)
-    joined = joined.select("id", "text", "prev_id", "need").dropDuplicates(["id"])
-    starts = joined.select(F.col("prev_id").alias("for_id"), F.col("id").alias("next_id"), F.substring("text", F.lit(1), F.col("need")).alias("start"))
-    both = joined.select("id", "text").join(starts.hint("merge"), F.col("id") == F.col("for_id"))
-    size = F.length("text")
-    shown = lambda c: F.when(F.col(c) != F.expr(f"{NO_ID + 1}L - 1L"), F.col(c))
+    # all that follows stays partitioned by id and hash
+    joined = texts.join(pairs.hint("merge"), (F.col("id") == F.col("k")) & (F.col("hash") == F.col("h")))
+    joined = joined.select("id", "hash", "text", "own_m", "prev_id", "prev_hash", "need").dropDuplicates(["id", "hash"])
+    starts = joined.select(
+        F.col("prev_id").alias("for_id"), F.col("prev_hash").alias("for_hash"), F.col("id").alias("next_id"), F.col("hash").alias("next_hash"),
+        F.substring("text", F.lit(1), F.col("need")).alias("start"),
+    )
+    both = joined.select("id", "hash", "text", "own_m").join(starts.hint("merge"), (F.col("id") == F.col("for_id")) & (F.col("hash") == F.col("for_hash")))
+    if every:  # the last of equal rows has the next text after it, the others have their own
+        both = both.withColumn("nth", F.explode(F.sequence(F.lit(1), "own_m")))
+    else:
+        both = both.withColumn("nth", F.lit(1))
+    size, last = F.length("text"), F.col("nth") == F.col("own_m")
+    half = F.floor(size / 2).cast("int")
+    shown = lambda c: F.when(c != F.expr(f"{NO_ID + 1}L - 1L"), c)
     return both.select(
-        shown("id").alias("doc_id"), "text", size.cast("long").alias("n_chars"), shown("next_id").alias("next_id"),
-        F.concat(F.substring("text", F.lit(1), (size - F.floor(size / 2)).cast("int")), F.col("start")).alias("edited"),
+        shown(F.col("id")).alias("doc_id"), "text", size.cast("long").alias("n_chars"), shown(F.when(last, F.col("next_id")).otherwise(F.col("id"))).alias("next_id"),
+        F.concat(F.substring("text", F.lit(1), size - half), F.when(last, F.col("start")).otherwise(F.substring("text", F.lit(1), half))).alias("edited"),
+        "hash", F.when(last, F.col("next_hash")).otherwise(F.col("hash")).alias("next_hash"), "nth",
     )
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
-    docs = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=True)
     docs = docs.withColumn("edited_sha256", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)))
     prints = fingerprint(docs, ["text", "edited"])
     packed = lambda c: F.unhex(F.array_join(c, "")).alias(c)
-    rows = cut(prints.select("doc_id", "next_id", "n_chars", "edited_sha256", likeness(F.col("text"), F.col("edited")).alias("near_edited"), packed("text"), packed("edited")))
-    following = rows.select(F.col("doc_id").alias("id"), F.col("text").alias("next_text"))
+    rows = cut(prints.select("doc_id", "hash", "next_id", "next_hash", "nth", "n_chars", "edited_sha256", likeness(F.col("text"), F.col("edited")).alias("near_edited"), packed("text"), packed("edited")))
+    following = rows.filter("nth = 1").select(F.col("doc_id").alias("id"), F.col("hash").alias("h"), F.col("text").alias("next_text"))
     signature = lambda c: F.regexp_extract_all(F.hex(c), F.lit(f".{{{DIGITS}}}"), F.lit(0))
-    return rows.join(following, F.col("next_id").eqNullSafe(F.col("id"))).select(
+    return rows.join(following, F.col("next_id").eqNullSafe(F.col("id")) & (F.col("next_hash") == F.col("h"))).select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.lower(F.hex("text")).alias("fingerprint"),
         F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", likeness(signature("text"), signature("next_text")).alias("near_next"),
     )
