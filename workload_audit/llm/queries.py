@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from .divergence import op13_divergence
 from .fingerprints import op4_fingerprints
 from .language_id import op10_language_id
 from .line_dedup import op8_line_dedup
@@ -31,7 +32,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_ngram_join, op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
-        op8_line_dedup, op9_sharding, op10_language_id,
+        op8_line_dedup, op9_sharding, op10_language_id, op13_divergence,
     )
 }
 
@@ -55,5 +56,35 @@ reach AS (
     SELECT doc_id, doc_id AS node FROM documents UNION SELECT reach.doc_id, steps.b FROM reach JOIN steps ON steps.a = reach.node)
 SELECT reach.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(node) AS component_id
 FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
+""",
+    "op13_divergence": r"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+words AS (SELECT lang, source, row_id, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS own FROM counted GROUP BY ALL),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.own, 0)::HUGEINT + 2 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.total + 2)) // (l.n::HUGEINT + 2 * l.v) AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+    LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+far AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
 """,
 }
