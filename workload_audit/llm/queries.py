@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from .conversations import op12_conversation_repair
 from .divergence import op13_divergence
 from .fingerprints import op4_fingerprints
 from .language_id import op10_language_id
@@ -15,6 +16,7 @@ from .quality_ranking import op5_quality_classifier
 from .quality_rules import op3_quality_rules
 from .secret_scan import op2_secret_scan
 from .sharding import op9_sharding
+from .simhash import op11_simhash
 from .storage import ship
 
 
@@ -32,7 +34,8 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op1_ngram_join, op2_secret_scan, op3_quality_rules, op4_fingerprints, op5_quality_classifier, op6_packing, op7_mixing,
-        op8_line_dedup, op9_sharding, op10_language_id, op13_divergence,
+        op8_line_dedup, op9_sharding, op10_language_id, op11_simhash,
+        op12_conversation_repair, op13_divergence,
     )
 }
 
