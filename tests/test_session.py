@@ -5,7 +5,6 @@ import os
 
 import pytest
 
-from workload_audit.operators.common import settle
 from workload_audit.session import CLUSTER_CONF, apply_cluster_conf, checkpoint_dir
 
 
@@ -23,13 +22,15 @@ def test_apply_cluster_conf_keeps_explicit_settings(spark):
     assert all(k.startswith("spark.") for k in CLUSTER_CONF)
 
 
-def test_settle_uses_the_session_checkpoint_folder(spark):
-    folder = checkpoint_dir(spark)
-    assert spark.conf.get("spark.checkpoint.dir", folder) == folder
-    before = set(os.listdir(folder))
-    df = settle(spark.range(10).orderBy("id").limit(3))
+def test_checkpoints_go_to_the_named_folder(spark):
+    named = checkpoint_dir(spark)
+    assert spark.conf.get("spark.checkpoint.dir", named) == named
+    own = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")  # Spark's own folder below the named one
+    listed = lambda: set(os.listdir(own)) if os.path.isdir(own) else set()
+    before = listed()
+    df = spark.range(10).orderBy("id").limit(3).checkpoint()
     assert [r.id for r in df.collect()] == [0, 1, 2]
-    assert set(os.listdir(folder)) - before  # the checkpoint was written there
+    assert listed() - before  # the checkpoint was written there
 
 
 def test_no_named_folder_is_an_error():

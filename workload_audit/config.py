@@ -46,9 +46,10 @@ class AuditConfig:
     include_internal: bool = False
     exclude_users: tuple[str, ...] = ()
     only_categories: tuple[str, ...] | None = None
-    # Exact quantiles by default; True switches to percentile_approx.
+    # Exact quantiles by default; True switches to mergeable sketches of this
+    # size (functions.sketches.rank_error tells what it means).
     approx_quantiles: bool = False
-    approx_accuracy: int = 10_000
+    approx_accuracy: int = 200
     # Match inserts to ``tables`` by the database written in the table name
     # instead of the session database.
     use_table_prefix: bool = False

@@ -256,3 +256,13 @@ def merge_pressure_class(p90_s: str, merges: str) -> Column:
     whens += [f"WHEN ({p90_s}) < {lit(float(b))} AND {busy} THEN {lit(l)}" for b, l in PRESSURE_CLASSES]
     whens.append(f"WHEN {busy} THEN {lit(PRESSURE_CRITICAL)}")
     return F.expr("CASE " + " ".join(whens) + f" ELSE {lit(PRESSURE_NONE)} END")
+
+
+def micros(ts: str) -> Column:
+    """A wall-clock timestamp as microseconds since 1970, in no time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+
+
+def from_micros(n: str) -> Column:
+    """The wall-clock timestamp of ``micros``."""
+    return F.expr(f"timestampadd(MICROSECOND, {n}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")

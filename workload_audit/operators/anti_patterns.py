@@ -1,5 +1,5 @@
-"""Query anti-patterns (C8-C13). All are one two-phase pattern aggregate,
-an optional post-aggregate filter and a top-N."""
+"""Query anti-patterns (C8-C13). All rank patterns on sums and counts, with an
+optional filter on those, and look up users and texts of the leaders only."""
 
 from __future__ import annotations
 
@@ -7,18 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import pattern_stats
 from ..functions.columns import avg_sql, readable_size, round_half_up, trunc_long
-from ..functions.predicates import (
-    finished,
-    has_limit,
-    kind_is,
-    not_insert_text,
-    select_star,
-)
 from ..plans.registry import check
 from ..sources.logs import LogTables
-from .common import HASH, query_rows, top
+from .common import pattern_leaders
 
 
 def _avg(total: str) -> str:
@@ -32,21 +24,20 @@ def _avg(total: str) -> str:
 )
 def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns reading far more rows than they return."""
-    rows = query_rows(tables, cfg).where(finished() & kind_is("Select") & (F.col("result_rows") > 0))
-    stats = pattern_stats(
-        rows,
-        [HASH],
+    found = pattern_leaders(
+        tables,
+        cfg,
+        "returning",
         [
-            ("s_rr", "sum", F.col("read_rows")),
-            ("s_res", "sum", F.col("result_rows")),
-            ("s_rb", "sum", F.col("read_bytes")),
+            ("s_rr", "sum", "read_rows"),
+            ("s_res", "sum", "result_rows"),
+            ("s_rb", "sum", "read_bytes"),
         ],
+        [F.expr(f"CAST(executions AS DOUBLE) * {_avg('s_rr')}").desc()],
+        lambda stats: stats.withColumn("scan_ratio", round_half_up(f"{_avg('s_rr')} / {_avg('s_res')}", 2)).where(
+            F.col("scan_ratio") > float(cfg.scan_ratio_threshold)),
     )
-    stats = stats.withColumn("scan_ratio", round_half_up(f"{_avg('s_rr')} / {_avg('s_res')}", 2)).where(
-        F.col("scan_ratio") > float(cfg.scan_ratio_threshold)
-    )
-    order = F.expr(f"CAST(executions AS DOUBLE) * {_avg('s_rr')}")
-    return top(stats, [order.desc(), F.asc(HASH)], cfg.top_n).select(
+    return found.select(
         "primary_user",
         "executions",
         trunc_long(_avg("s_rr")).alias("avg_read_rows"),
@@ -64,9 +55,8 @@ def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns using ``SELECT *``."""
-    rows = query_rows(tables, cfg).where(finished() & kind_is("Select") & select_star())
-    stats = pattern_stats(rows, [HASH], [("s_rb", "sum", F.col("read_bytes"))])
-    return top(stats, [F.desc("executions"), F.asc(HASH)], cfg.top_n).select(
+    found = pattern_leaders(tables, cfg, "select_star", [("s_rb", "sum", "read_bytes")], [F.desc("executions")])
+    return found.select(
         "primary_user", "executions", readable_size(_avg("s_rb")).alias("avg_read"), "query_text"
     )
 
@@ -78,20 +68,19 @@ def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns selecting more parts than ``min_parts_threshold``."""
-    rows = query_rows(tables, cfg).where(
-        finished() & kind_is("Select") & (F.col("selected_parts") > cfg.min_parts_threshold)
-    )
-    stats = pattern_stats(
-        rows,
-        [HASH],
+    found = pattern_leaders(
+        tables,
+        cfg,
+        "many_parts",
         [
-            ("s_sp", "sum", F.col("selected_parts")),
-            ("s_rr", "sum", F.col("read_rows")),
-            ("s_rb", "sum", F.col("read_bytes")),
+            ("s_sp", "sum", "selected_parts"),
+            ("s_rr", "sum", "read_rows"),
+            ("s_rb", "sum", "read_bytes"),
         ],
-    ).withColumn("avg_selected_parts", trunc_long(_avg("s_sp")))
-    order = F.col("avg_selected_parts") * F.col("executions")
-    return top(stats, [order.desc(), F.asc(HASH)], cfg.top_n).select(
+        [(F.col("avg_selected_parts") * F.col("executions")).desc()],
+        lambda stats: stats.withColumn("avg_selected_parts", trunc_long(_avg("s_sp"))),
+    )
+    return found.select(
         "primary_user",
         "executions",
         "avg_selected_parts",
@@ -108,19 +97,19 @@ def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def unbounded_results(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns returning more than ``max_result_rows`` rows without LIMIT."""
-    rows = query_rows(tables, cfg).where(
-        finished() & kind_is("Select") & (F.col("result_rows") > cfg.max_result_rows) & ~has_limit()
-    )
-    stats = pattern_stats(
-        rows,
-        [HASH],
+    found = pattern_leaders(
+        tables,
+        cfg,
+        "unbounded",
         [
-            ("s_res", "sum", F.col("result_rows")),
-            ("max_result_rows", "max", F.col("result_rows")),
-            ("s_rb", "sum", F.col("read_bytes")),
+            ("s_res", "sum", "result_rows"),
+            ("max_result_rows", "max", "result_rows"),
+            ("s_rb", "sum", "read_bytes"),
         ],
-    ).withColumn("avg_result_rows", trunc_long(_avg("s_res")))
-    return top(stats, [F.desc("avg_result_rows"), F.asc(HASH)], cfg.top_n).select(
+        [F.desc("avg_result_rows")],
+        lambda stats: stats.withColumn("avg_result_rows", trunc_long(_avg("s_res"))),
+    )
+    return found.select(
         "primary_user",
         "executions",
         "avg_result_rows",
@@ -140,12 +129,12 @@ def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
     The rate divides by ``lookback_days * 24`` hours although the window
     also holds today's partial day, as the source check does."""
-    rows = query_rows(tables, cfg).where(finished() & not_insert_text())
-    stats = pattern_stats(rows, [HASH], [("s_rb", "sum", F.col("read_bytes"))])
-    stats = stats.withColumn(
-        "avg_per_hour", round_half_up(f"executions / {cfg.lookback_days} / 24", 2)
-    ).where(F.col("avg_per_hour") > float(cfg.repeat_threshold))
-    return top(stats, [F.desc("executions"), F.asc(HASH)], cfg.top_n).select(
+    found = pattern_leaders(
+        tables, cfg, "not_insert_text", [("s_rb", "sum", "read_bytes")], [F.desc("executions")],
+        lambda stats: stats.withColumn("avg_per_hour", round_half_up(f"executions / {cfg.lookback_days} / 24", 2)).where(
+            F.col("avg_per_hour") > float(cfg.repeat_threshold)),
+    )
+    return found.select(
         "primary_user",
         F.col("executions").alias("total_executions"),
         "avg_per_hour",
@@ -161,11 +150,8 @@ def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def small_insert_batches(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """INSERT patterns writing fewer than ``min_batch_size`` rows per run."""
-    rows = query_rows(tables, cfg).where(
-        finished() & kind_is("Insert") & (F.col("written_rows") < cfg.min_batch_size)
-    )
-    stats = pattern_stats(rows, [HASH], [("total_written_rows", "sum", F.col("written_rows"))])
-    return top(stats, [F.desc("executions"), F.asc(HASH)], cfg.top_n).select(
+    found = pattern_leaders(tables, cfg, "small_inserts", [("total_written_rows", "sum", "written_rows")], [F.desc("executions")])
+    return found.select(
         "primary_user",
         "executions",
         trunc_long(_avg("total_written_rows")).alias("avg_written_rows"),

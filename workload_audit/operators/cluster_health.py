@@ -15,12 +15,14 @@ from ..functions.columns import (
     batch_size_class,
     database_of,
     first_element,
+    from_micros,
     insert_duration_bucket,
     insert_frequency_class,
     merge_duration_class,
     merge_frequency_class,
     merge_load_class,
     merge_pressure_class,
+    micros,
     readable_delta,
     round_half_up,
     strip_database,
@@ -39,7 +41,7 @@ from ..functions.predicates import (
 from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
 from ..sources.logs import LogTables
-from .common import settle, top, ts_lit
+from .common import top, ts_lit
 
 TABLE_KEY = ["database", "table"]
 PART_KEY = ["database", "table", "partition_id", "part_name"]
@@ -93,7 +95,7 @@ def history_bounds(cfg: AuditConfig) -> tuple[int, int]:
 
 @check(
     "cluster_health", "insert_part_fragmentation",
-    needs=("part_log",), uses_query_base=False,
+    needs=("part_log",), uses_patterns=False,
     headline=("batch_size_class", "insert_frequency_class", "added_parts", "small_parts_pct",),
     advice="Tables with both a small batch class and a high insert frequency create the most parts; mend those first.",
 )
@@ -102,8 +104,7 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
     Replicas log the same part more than once, so parts are deduplicated by
     their key first (a shuffle on the near-unique part key, which spreads
-    evenly), then aggregated per table with partial aggregation. The exact
-    median is only computed for the top_n tables.
+    evenly); sums, span and exact median per table come from one table of row counts.
     """
     (part_log,) = tables.require("part_log")
     since = cfg.now - dt.timedelta(days=cfg.lookback_days)
@@ -114,24 +115,20 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         & not_inner_table()
     )
     dedup = parts.groupBy(*PART_KEY).agg(F.min("event_time").alias("event_time"), F.max("rows").alias("rows"))
-    per = dedup.groupBy(*TABLE_KEY).agg(
-        F.count(F.lit(1)).alias("added_parts"),
-        F.sum("rows").alias("total_rows"),
-        F.count_if(F.col("rows") < TINY_PART_ROWS).alias("tiny_parts"),
-        F.count_if(F.col("rows") < SMALL_PART_ROWS).alias("small_parts"),
-        F.min("event_time").alias("_first"),
-        F.max("event_time").alias("_last"),
+    per = group_quantiles(
+        dedup.withColumn("_at", micros("event_time")), TABLE_KEY, "rows", {"p50_rows_per_part": ("exact", 0.5)},
+        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy, rows="added_parts",
+        measures=[
+            ("total_rows", "sum", F.col("rows")),
+            ("small_parts", "count_if", F.col("rows") < SMALL_PART_ROWS),
+            ("_first", "min", F.col("_at")),
+            ("_last", "max", F.col("_at")),
+        ],
     )
     order = [F.desc("added_parts"), F.asc("database"), F.asc("table")]
-    leaders = settle(top(per, order, cfg.top_n))  # evaluated once, used twice
-    lead_parts = dedup.join(F.broadcast(leaders.select(*TABLE_KEY)), TABLE_KEY, "left_semi")
-    p50 = group_quantiles(
-        lead_parts, TABLE_KEY, "rows", {"p50_rows_per_part": ("exact", 0.5)},
-        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
-    )
     out = (
-        leaders.join(p50, TABLE_KEY)
-        .withColumn("_ivl", mean_interval_seconds(F.col("added_parts"), F.col("_first"), F.col("_last")))
+        top(per, order, cfg.top_n)
+        .withColumn("_ivl", mean_interval_seconds(F.col("added_parts"), from_micros("_first"), from_micros("_last")))
         .withColumn("avg_rows_per_part", round_half_up(avg_sql("total_rows", "added_parts"), 0))
         .select(
             "database",
@@ -151,7 +148,7 @@ def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
 @check(
     "cluster_health", "insert_duration_by_engine",
-    needs=("query_log", "tables"), uses_query_base=False,
+    needs=("query_log", "tables"), uses_patterns=False,
     headline=("engine", "duration_bucket", "inserts",),
     advice="Compare the shape of the histogram between engines: a long tail in one engine only is that engine's cost.",
 )
@@ -209,17 +206,17 @@ def insert_duration_by_engine(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 
 @check(
     "cluster_health", "merge_pressure",
-    needs=("part_log",), uses_query_base=False,
+    needs=("part_log",), uses_patterns=False,
     headline=("merge_duration_class", "merge_load_class", "merge_pressure_class", "total_merges",),
     advice="Read the three classes together: long merges with light load are large parts, short ones with heavy load are many parts.",
 )
 def merge_pressure(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Merge duration, load and pressure per table.
 
-    One aggregation per table gives counts, sums and the span, so the
-    self-join of the merges with their own per-table span is not needed;
-    the exact p90 comes from the rank-select operator. Durations are kept
-    in integer milliseconds until the end so the sums are exact.
+    Counts, sums, span and the exact p90 come from one table of duration
+    counts, so the log is read once and the self-join of the merges with their
+    own per-table span is not needed. Durations are kept in integer
+    milliseconds until the end so the sums are exact.
     """
     (part_log,) = tables.require("part_log")
     since = cfg.now - dt.timedelta(days=cfg.lookback_days)
@@ -230,22 +227,21 @@ def merge_pressure(tables: LogTables, cfg: AuditConfig) -> DataFrame:
         & not_inner_table()
     )
     positive = F.col("duration_ms") > 0
-    per = merges.groupBy(*TABLE_KEY).agg(
-        F.count(F.lit(1)).alias("total_merges"),
-        F.sum("duration_ms").alias("_ms"),
-        F.count_if(positive).alias("_n_pos"),
-        F.sum(F.when(positive, F.col("duration_ms"))).alias("_ms_pos"),
-        F.sum(F.size("merged_from")).alias("total_parts_merged"),
-        F.sum("rows").alias("total_rows_merged"),
-        F.min("event_time").alias("first_merge_time"),
-        F.max("event_time").alias("last_merge_time"),
-    )
-    p90 = group_quantiles(
-        merges, TABLE_KEY, "duration_ms", {"_p90_ms": ("exact", 0.9)},
-        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
+    per = group_quantiles(
+        merges.withColumn("_at", micros("event_time")), TABLE_KEY, "duration_ms", {"_p90_ms": ("exact", 0.9)},
+        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy, rows="total_merges",
+        measures=[
+            ("_ms", "sum", F.col("duration_ms")),
+            ("_n_pos", "count_if", positive),
+            ("_ms_pos", "sum", F.when(positive, F.col("duration_ms"))),
+            ("total_parts_merged", "sum", F.size("merged_from")),
+            ("total_rows_merged", "sum", F.col("rows")),
+            ("_first", "min", F.col("_at")),
+            ("_last", "max", F.col("_at")),
+        ],
     )
     j = (
-        per.join(p90, TABLE_KEY)
+        per.withColumns({"first_merge_time": from_micros("_first"), "last_merge_time": from_micros("_last")})
         .withColumn("_p90_s", F.col("_p90_ms").cast("double") / 1000.0)
         .withColumn("_avg_s", F.try_divide(F.col("_ms_pos").cast("double"), F.col("_n_pos").cast("double")) / 1000.0)
         .withColumn(
@@ -357,7 +353,7 @@ def status_rank(status: str) -> Column:
 
 @check(
     "cluster_health", "partition_health",
-    needs=("parts", "merges", "asynchronous_metrics", "settings"), uses_query_base=False,
+    needs=("parts", "merges", "asynchronous_metrics", "settings"), uses_patterns=False,
     headline=("partition_status", "active_parts",),
     advice="The status names the first limit that a partition breaks; statuses with running merges may mend themselves.",
 )

@@ -6,17 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import pattern_stats
 from ..functions.columns import avg_sql, readable_size, trunc_long
-from ..functions.predicates import finished, kind_is, kind_is_not
-from ..functions.quantiles import group_quantiles
 from ..plans.registry import check
 from ..sources.logs import LogTables
-from .common import HASH, query_rows, settle, top
-
-
-def _selects(tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    return query_rows(tables, cfg).where(finished() & kind_is("Select"))
+from .common import HASH, described, pattern_leaders, pattern_quantiles, pattern_texts, top
 
 
 @check(
@@ -26,18 +19,10 @@ def _selects(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns with the highest peak memory."""
-    rows = _selects(tables, cfg)
-    stats = pattern_stats(rows, [HASH], [("max_mem", "max", F.col("memory_usage"))])
-    # The ranking does not depend on p95, so the quantile only runs over the
-    # rows of the top_n leaders (a broadcast of at most top_n keys). The
-    # leaders are settled once, so the aggregation is not run twice.
-    leaders = settle(top(stats, [F.desc("max_mem"), F.asc(HASH)], cfg.top_n))
-    lead_rows = rows.join(F.broadcast(leaders.select(HASH)), HASH, "left_semi")
-    p95 = group_quantiles(
-        lead_rows, [HASH], "memory_usage", {"p95": ("cont", 0.95)},
-        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
-    )
-    return top(leaders.join(p95, HASH), [F.desc("max_mem"), F.asc(HASH)], cfg.top_n).select(
+    stats, counts = pattern_quantiles(tables, cfg, "selects", "memory_usage", {"p95": ("cont", 0.95)}, [("max_mem", "max", "memory_usage")])
+    order = [F.desc("max_mem"), F.asc(HASH)]
+    leaders = top(stats, order, cfg.top_n)
+    return top(described(leaders, counts, pattern_texts(tables, cfg, "selects")), order, cfg.top_n).select(
         "primary_user",
         "executions",
         readable_size("max_mem").alias("peak_memory"),
@@ -53,8 +38,8 @@ def by_memory(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def by_read_bytes(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns reading the most bytes in total."""
-    stats = pattern_stats(_selects(tables, cfg), [HASH], [("sum_read", "sum", F.col("read_bytes"))])
-    return top(stats, [F.desc("sum_read"), F.asc(HASH)], cfg.top_n).select(
+    found = pattern_leaders(tables, cfg, "selects", [("sum_read", "sum", "read_bytes")], [F.desc("sum_read")])
+    return found.select(
         "primary_user",
         "executions",
         readable_size("sum_read").alias("total_read"),
@@ -70,22 +55,14 @@ def by_read_bytes(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def by_duration(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns with the highest p95 latency."""
-    rows = _selects(tables, cfg)
-    stats = pattern_stats(rows, [HASH], [("max_ms", "max", F.col("query_duration_ms"))])
-    q = group_quantiles(
-        rows, [HASH], "query_duration_ms", {"p50": ("cont", 0.5), "p95": ("cont", 0.95)},
-        approx=cfg.approx_quantiles, accuracy=cfg.approx_accuracy,
-    )
-    out = stats.join(q, HASH).select(
-        HASH,
-        "primary_user",
-        "executions",
-        trunc_long("p50").alias("p50_ms"),
-        trunc_long("p95").alias("p95_ms"),
-        "max_ms",
-        "query_text",
+    stats, counts = pattern_quantiles(
+        tables, cfg, "selects", "query_duration_ms", {"p50": ("cont", 0.5), "p95": ("cont", 0.95)}, [("max_ms", "max", "query_duration_ms")])
+    stats = stats.select(HASH, "executions", trunc_long("p50").alias("p50_ms"), trunc_long("p95").alias("p95_ms"), "max_ms")
+    order = [F.desc("p95_ms"), F.asc(HASH)]
+    leaders = top(stats, order, cfg.top_n)
+    return top(described(leaders, counts, pattern_texts(tables, cfg, "selects")), order, cfg.top_n).select(
+        "primary_user", "executions", "p50_ms", "p95_ms", "max_ms", "query_text"
     )
-    return top(out, [F.desc("p95_ms"), F.asc(HASH)], cfg.top_n).drop(HASH)
 
 
 @check(
@@ -95,12 +72,12 @@ def by_duration(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 )
 def by_weighted_cost(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     """Patterns by executions x average bytes read (INSERTs excluded)."""
-    rows = query_rows(tables, cfg).where(finished() & kind_is_not("Insert"))
-    stats = pattern_stats(rows, [HASH], [("sum_read", "sum", F.col("read_bytes"))])
-    stats = stats.withColumn("_avg", F.expr(avg_sql("sum_read", "executions"))).withColumn(
-        "_cost", F.col("executions").cast("double") * F.col("_avg")
+    found = pattern_leaders(
+        tables, cfg, "not_inserts", [("sum_read", "sum", "read_bytes")], [F.desc("_cost")],
+        lambda stats: stats.withColumn("_avg", F.expr(avg_sql("sum_read", "executions"))).withColumn(
+            "_cost", F.col("executions").cast("double") * F.col("_avg")),
     )
-    return top(stats, [F.desc("_cost"), F.asc(HASH)], cfg.top_n).select(
+    return found.select(
         "primary_user",
         "executions",
         readable_size("_avg").alias("avg_read"),

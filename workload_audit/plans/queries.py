@@ -12,29 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..operators.common import prepare_query_base
 from ..session import checkpoint_dir
 from ..sources.logs import LogTables
 from ..streaming import archive as A
 from . import report as R
 from . import sinks
-from .runner import base_days, build_checks
+from .runner import build_checks
 
 
 def _checks(tables: LogTables, cfg: AuditConfig):
-    """All checks over one shared base population for a report query.
-
-    A report query is a single plan over all 17 checks that the caller
-    collects later, so the base cannot be a cache released after use.
-    Instead it is checkpointed once into the shared ``spark.checkpoint.dir``
-    (a reliable write that also cuts the lineage), and the query-log checks
-    read it from there."""
-    if tables.query_log is not None and tables.query_base is None:
-        checkpoint_dir(tables.query_log.sparkSession)
-        days = base_days(cfg)
-        base = prepare_query_base(tables.query_log, cfg, days).checkpoint(eager=True)
-        tables = tables.with_(query_base=base, query_base_days=days)
-    return build_checks(tables, cfg, share_base=False)
+    """All checks over one rollup of the log, for a report query: a single plan over all 17 that the caller collects later. What
+    is kept in the shared folder are the rolled-up counts and texts, no rows of the log."""
+    return build_checks(tables, cfg)
 
 
 def report_findings(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:

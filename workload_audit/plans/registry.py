@@ -21,8 +21,8 @@ class CheckSpec:
     description: str
     # Input tables the check reads.
     needs: tuple[str, ...]
-    # True when the check reads the shared, pre-filtered query-log base.
-    uses_query_base: bool
+    # True when the check ranks or sums query patterns, which a rollup holds.
+    uses_patterns: bool
     # Result columns that stand for the check in a one-line report.
     headline: tuple[str, ...] = ()
     # What a reader can do with the check's figures.
@@ -41,7 +41,7 @@ def check(
     name: str,
     *,
     needs: tuple[str, ...] = ("query_log",),
-    uses_query_base: bool = True,
+    uses_patterns: bool = True,
     headline: tuple[str, ...] = (),
     advice: str = "",
 ):
@@ -55,7 +55,7 @@ def check(
             fn=fn,
             description=(fn.__doc__ or "").strip().split("\n")[0].rstrip("."),
             needs=needs,
-            uses_query_base=uses_query_base,
+            uses_patterns=uses_patterns,
             headline=headline,
             advice=advice,
         )

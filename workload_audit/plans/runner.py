@@ -1,29 +1,41 @@
 """Run a selection of checks over one set of inputs.
 
-When two or more selected checks read the query log, the base population
-(the last two periods, initial queries, no self queries, allowed users,
-only the needed columns) is built once and persisted for the run, so the log
-is scanned once instead of once per check. If an executor is lost its cached
-blocks are simply recomputed from the scan. A failing check is logged and
-skipped; the others continue.
+When two or more selected checks rank query patterns, the days of the run are
+rolled up once (:mod:`workload_audit.streaming.rollup`): the counts, sums and
+texts that the checks ask for, per day, pattern and user, written to the shared
+folder and deleted at the end. A report over one log then reads it once
+for these, instead of once per check; exact quantiles still read its values.
+
+Every check runs under its own tag and, if asked, within a time budget: the
+jobs of one that overruns are interrupted. What became of each - done, failed or
+timed out - is a row of the outcome table; the others are not touched.
 """
 
 from __future__ import annotations
 
 import logging
+import threading
+import time
+import uuid
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import AuditConfig
-from ..operators.common import prepare_query_base
+from ..session import checkpoint_dir
 from ..sources.logs import LogTables
+from ..streaming import files
+from ..streaming.rollup import rollup_of
 from .registry import CheckSpec, select_checks
 
 log = logging.getLogger(__name__)
 
+DONE, FAILED, TIMED_OUT = "done", "failed", "timed out"
+#: Seconds between two interruptions of a check that has overrun (it may start further jobs).
+INTERRUPT_EVERY = 0.5
+
 
 @dataclass(frozen=True)
 class CheckResult:
@@ -33,30 +45,34 @@ class CheckResult:
     rows: list[tuple]
 
 
+@dataclass(frozen=True)
+class Outcome:
+    category: str
+    name: str
+    state: str
+    rows: int
+    seconds: float
+    error: str | None = None
+    result: CheckResult | None = None
+
+
 def base_days(cfg: AuditConfig) -> int:
-    """Days kept in the shared base: two periods, the window of the
-    week-over-week check and (with the current period) of every other
-    query-log check. The new-pattern baseline reaches four periods back but
-    only needs pattern hashes, so it reads the log directly with a narrow,
-    partition-pruned projection instead of widening what is persisted."""
+    """Days of a run's rollup: two periods, the window of the week-over-week check and (with the current period) of every other
+    query-log check. The new-pattern baseline reaches four periods back but only needs pattern hashes."""
     return 2 * cfg.lookback_days
 
 
-def share_query_base(tables: LogTables, cfg: AuditConfig, specs: list[CheckSpec]) -> LogTables:
-    users = [s for s in specs if s.uses_query_base]
-    if len(users) < 2 or tables.query_log is None or tables.query_base is not None:
-        return tables
-    days = base_days(cfg)
-    base = prepare_query_base(tables.query_log, cfg, days).persist(StorageLevel.MEMORY_AND_DISK)
-    return tables.with_(query_base=base, query_base_days=days)
+def _shares(tables: LogTables, specs: list[CheckSpec]) -> bool:
+    return tables.query_log is not None and tables.rollup is None and sum(s.uses_patterns for s in specs) > 1
 
 
 def build_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True) -> dict[tuple[str, str], DataFrame]:
-    """The selected checks as lazy DataFrames keyed by (category, name).
-    A check whose plan cannot be built (e.g. a missing input) is skipped."""
+    """The selected checks as DataFrames keyed by (category, name). A check whose plan cannot be built (e.g. a missing input) is
+    skipped. With ``share_base`` the days are rolled up first, by a job, into checkpoints; the checks themselves start none."""
     specs = select_checks(cfg.only_categories)
-    if share_base:
-        tables = share_query_base(tables, cfg, specs)
+    if share_base and _shares(tables, specs):
+        checkpoint_dir(tables.query_log.sparkSession)
+        tables = tables.with_(rollup=rollup_of(tables.query_log, cfg, base_days(cfg), lambda df: df.checkpoint()))
     out: dict[tuple[str, str], DataFrame] = {}
     for spec in specs:
         try:
@@ -66,40 +82,108 @@ def build_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True
     return out
 
 
-def run_checks(
-    tables: LogTables, cfg: AuditConfig, *, share_base: bool = True, parallelism: int = 4
-) -> list[CheckResult]:
-    """Run every selected check and collect its (bounded, ranked) rows.
+class _Deadline:
+    """Interrupts the jobs of a tag from a moment on, again and again until it is stopped."""
+
+    def __init__(self, spark: SparkSession, tag: str, seconds: float | None):
+        self.spark, self.tag, self.seconds, self.stopped = spark, tag, seconds, threading.Event()
+
+    def _watch(self) -> None:
+        wait = self.seconds
+        while not self.stopped.wait(wait):
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            wait = INTERRUPT_EVERY
+
+    def __enter__(self) -> _Deadline:
+        self.spark.sparkContext.addJobTag(self.tag)
+        if self.seconds is not None:
+            threading.Thread(target=self._watch, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stopped.set()
+        self.spark.sparkContext.removeJobTag(self.tag)
+
+
+def collected(spec: CheckSpec, df: DataFrame) -> tuple[int, CheckResult]:
+    """A check's rows on the driver: top-N lists and summaries per engine or user."""
+    rows = [tuple(r) for r in df.collect()]
+    return len(rows), CheckResult(spec.category, spec.name, tuple(df.columns), rows)
+
 
-    Results are top-N lists or per-user / per-engine summaries, so only a
-    handful of rows per check reach the driver. Spark is lazy, so the action
-    runs inside the per-check ``try``. Up to ``parallelism`` checks run as
-    concurrent Spark jobs (the scheduler shares the executors between them),
-    which overlaps the many small stages of the checks; results keep the
-    (category, name) order.
+def written_to(path: str) -> Callable[[CheckSpec, DataFrame], tuple[int, None]]:
+    """Each check's rows as Parquet below ``path``, written by the executors; nothing but their number reaches the driver."""
+
+    def write(spec: CheckSpec, df: DataFrame) -> tuple[int, None]:
+        at = f"{path.rstrip('/')}/{spec.key}"
+        df.write.mode("overwrite").parquet(at)
+        return df.sparkSession.read.parquet(at).count(), None
+
+    return write
+
+
+def run_outcomes(
+    tables: LogTables,
+    cfg: AuditConfig,
+    *,
+    share_base: bool = True,
+    parallelism: int = 4,
+    seconds: float | None = None,
+    budgets: Mapping[str, float] | None = None,
+    take: Callable[[CheckSpec, DataFrame], tuple[int, CheckResult | None]] = collected,
+) -> list[Outcome]:
+    """Run every selected check and tell what became of it, in (category, name) order.
+
+    ``seconds`` is each check's time budget, ``budgets`` has others by key (``category/name``). A check that ends
+    after its budget counts as timed out, whatever it found. Spark is lazy, so the action is part of what is watched. Up to ``parallelism``
+    checks run as concurrent Spark jobs.
     """
     specs = select_checks(cfg.only_categories)
     if not specs:
         log.warning("no checks selected (categories: %s)", cfg.only_categories)
         return []
-    shared = share_query_base(tables, cfg, specs) if share_base else tables
-
-    def run_one(spec: CheckSpec) -> CheckResult | None:
-        try:
-            df = spec.fn(shared, cfg)
-            rows = [tuple(r) for r in df.collect()]
-            return CheckResult(spec.category, spec.name, tuple(df.columns), rows)
-        except Exception as exc:  # noqa: BLE001 - fault isolation is the point
-            log.warning("check %s failed: %s: %s", spec.key, type(exc).__name__, exc)
-            return None
+    folder = None
+    if share_base and _shares(tables, specs):
+        spark = tables.query_log.sparkSession
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            at = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(at)
+            return spark.read.parquet(at)
+
+        tables = tables.with_(rollup=rollup_of(tables.query_log, cfg, base_days(cfg), keep))
+
+    def run_one(spec: CheckSpec) -> Outcome:
+        budget = (budgets or {}).get(spec.key, seconds)
+        session = next(x for x in vars(tables).values() if isinstance(x, DataFrame)).sparkSession
+        start, rows, result, error = time.monotonic(), 0, None, None
+        with _Deadline(session, f"audit-{uuid.uuid4().hex}", budget):
+            try:
+                rows, result = take(spec, spec.fn(tables, cfg))
+            except Exception as exc:  # noqa: BLE001 - fault isolation is the point
+                error = f"{type(exc).__name__}: {exc}"
+        took = time.monotonic() - start
+        late = budget is not None and took > budget
+        state = TIMED_OUT if late else FAILED if error else DONE
+        if state != DONE:
+            log.warning("check %s %s: %s", spec.key, state, error or f"{took:.1f} s")
+        return Outcome(spec.category, spec.name, state, rows if state == DONE else 0, took, error, result if state == DONE else None)
 
     try:
-        if parallelism <= 1:
-            outcomes = [run_one(s) for s in specs]
-        else:
-            with ThreadPoolExecutor(max_workers=parallelism, thread_name_prefix="audit-check") as pool:
-                outcomes = list(pool.map(run_one, specs))
+        with ThreadPoolExecutor(max_workers=max(parallelism, 1), thread_name_prefix="audit-check") as pool:
+            return list(pool.map(run_one, specs))
     finally:
-        if shared.query_base is not None and shared is not tables:
-            shared.query_base.unpersist()
-    return [r for r in outcomes if r is not None]
+        if folder:
+            files.delete(spark, folder)
+
+
+def outcome_table(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
+    """(category, name, state, rows, seconds, error) of a run, one row per check."""
+    rows = [(o.category, o.name, o.state, o.rows, o.seconds, o.error) for o in outcomes]
+    return spark.createDataFrame(rows, "category string, name string, state string, rows long, seconds double, error string")
+
+
+def run_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True, parallelism: int = 4) -> list[CheckResult]:
+    """The rows of every selected check that could be done; the others are logged and left out."""
+    return [o.result for o in run_outcomes(tables, cfg, share_base=share_base, parallelism=parallelism) if o.result is not None]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, fields, replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,10 @@ class LogTables:
     tables: DataFrame | None = None
     asynchronous_metrics: DataFrame | None = None
     settings: DataFrame | None = None
-    # Optional pre-filtered query-log rows shared by all query-log checks of
-    # one run (see plans.runner); covers ``query_base_days`` days.
-    query_base: DataFrame | None = None
-    query_base_days: int = 0
+    # Optional: rolled-up days of the query log (streaming.rollup) and the
+    # days on which each pattern ran (streaming.presence).
+    rollup: Any = None
+    presence: DataFrame | None = None
 
     def require(self, *names: str) -> tuple[DataFrame, ...]:
         missing = [n for n in names if getattr(self, n) is None]
@@ -75,7 +76,7 @@ def read_table(spark: SparkSession, source: str, name: str) -> DataFrame:
 
 def read_log_tables(spark: SparkSession, sources: dict[str, str]) -> LogTables:
     """Build :class:`LogTables` from ``{table name: path or catalog name}``."""
-    known = {f.name for f in fields(LogTables)}
+    known = {f.name for f in fields(LogTables)} - {"rollup", "presence"}
     unknown = set(sources) - known
     if unknown:
         raise ValueError(f"unknown table(s): {', '.join(sorted(unknown))}")

@@ -33,6 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.logs import conform
 from ..sources.schemas import QUERY_LOG
+from . import files
 
 BACKFILL_BATCH = -1
 CUTOFF_MARKER = "_archive_cutoff.json"
@@ -40,41 +41,6 @@ DEFAULT_RETENTION_DAYS = 90
 PARTITION_COLUMNS = ("event_month", "event_date", "batch_id")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    reader = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(stream))
-    try:
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
-    finally:
-        reader.close()
-
-
 #: The partition of rows without a date.
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 
@@ -96,9 +62,9 @@ def put(df: DataFrame, batch_id: int, archive: str) -> None:
 
 def archive_cutoff(spark: SparkSession, archive: str) -> dt.datetime | None:
     marker = f"{archive.rstrip('/')}/{CUTOFF_MARKER}"
-    if not _exists(spark, marker):
+    if not files.exists(spark, marker):
         return None
-    return dt.datetime.fromisoformat(json.loads(_read_text(spark, marker))["cutoff"])
+    return dt.datetime.fromisoformat(json.loads(files.read_text(spark, marker))["cutoff"])
 
 
 def backfill(spark: SparkSession, source: DataFrame, archive: str, cutoff: dt.datetime) -> bool:
@@ -108,7 +74,7 @@ def backfill(spark: SparkSession, source: DataFrame, archive: str, cutoff: dt.da
         return False
     lit_cutoff = F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
     put(source.where(F.col("event_time") < lit_cutoff), BACKFILL_BATCH, archive)
-    _write_text(spark, f"{archive.rstrip('/')}/{CUTOFF_MARKER}", json.dumps({"cutoff": cutoff.isoformat()}))
+    files.write_text(spark, f"{archive.rstrip('/')}/{CUTOFF_MARKER}", json.dumps({"cutoff": cutoff.isoformat()}))
     return True
 
 
@@ -158,7 +124,7 @@ def apply_retention(
 ) -> list[str]:
     """Delete ``event_date`` partitions with ``event_date + retention <= as_of``.
     Lists only partition directories (one per day), never data."""
-    fs, root = _fs(spark, archive)
+    fs, root = files.at(spark, archive)
     removed = []
     if not fs.exists(root):
         return removed
