@@ -9,7 +9,7 @@ from ..config import AuditConfig
 from ..functions.aggregates import same_keys, totals
 from ..functions.columns import avg_sql, readable_size, round_half_up, trunc_long
 from ..functions.predicates import day_range, days_before, finished, kind_is_not
-from ..plans.registry import check
+from ..plans.registry import Bullet, check
 from ..sources.logs import LogTables
 from ..streaming.presence import ran_between
 from .common import HASH, PERIOD, described, pattern_counts, pattern_quantiles, pattern_texts, query_rows, top
@@ -20,6 +20,7 @@ CURRENT, PREVIOUS = "current", "previous"
 @check(
     "anomalies", "wow_duration_regressions",
     headline=("prev_p95_ms", "curr_p95_ms", "duration_change_pct", "bytes_change_pct",),
+    bullet=Bullet("p95 up by over {cfg.regression_threshold_pct} % on the period before: {rows} patterns", quiet="p95 steady against the period before"),
     advice="If bytes rose together with p95 the data grew; if only p95 rose, look at load and at what was deployed between the two periods.",
 )
 def wow_duration_regressions(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -69,6 +70,7 @@ NEW_PATTERN_MIN_AVG_DURATION_MS = 10_000
 @check(
     "anomalies", "new_expensive_patterns",
     headline=("executions", "avg_duration_ms", "avg_read",),
+    bullet=Bullet("expensive and not seen in the three periods before: {rows} patterns"),
     advice="None of these hashes ran in the three periods before; find the release that brought them while it is recent.",
 )
 def new_expensive_patterns(tables: LogTables, cfg: AuditConfig) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 from ..functions.columns import avg_sql, readable_size, round_half_up, trunc_long
-from ..plans.registry import check
+from ..plans.registry import Bullet, check
 from ..sources.logs import LogTables
 from .common import pattern_leaders
 
@@ -20,6 +20,7 @@ def _avg(total: str) -> str:
 @check(
     "anti_patterns", "full_scans",
     headline=("executions", "avg_read_rows", "avg_result_rows", "scan_ratio",),
+    bullet=Bullet("over {cfg.scan_ratio_threshold} rows read for each one returned: {rows} patterns"),
     advice="The ratio says how many rows are read for one returned; the highest ratios gain most from a narrower filter.",
 )
 def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -51,6 +52,7 @@ def full_scans(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 @check(
     "anti_patterns", "select_star_wide_tables",
     headline=("executions", "avg_read",),
+    bullet=Bullet("SELECT * without a column list: {rows} patterns"),
     advice="Multiply average read by runs to see what an explicit column list could save at most.",
 )
 def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -64,6 +66,7 @@ def select_star_wide_tables(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 @check(
     "anti_patterns", "missing_partition_filter",
     headline=("executions", "avg_selected_parts", "avg_read",),
+    bullet=Bullet("over {cfg.min_parts_threshold} parts read by a run: {rows} patterns"),
     advice="Parts selected per run should follow the time span asked for; these exceed the limit set for the audit.",
 )
 def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -93,6 +96,7 @@ def missing_partition_filter(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 @check(
     "anti_patterns", "unbounded_results",
     headline=("executions", "avg_result_rows",),
+    bullet=Bullet("over {cfg.max_result_rows} rows returned without a limit: {rows} patterns"),
     advice="Ask the reader of these results how many rows are looked at; the rest is transfer and memory for nothing.",
 )
 def unbounded_results(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -122,6 +126,7 @@ def unbounded_results(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 @check(
     "anti_patterns", "repeated_identical",
     headline=("total_executions", "avg_per_hour", "avg_read",),
+    bullet=Bullet("over {cfg.repeat_threshold} runs an hour: {rows} patterns"),
     advice="Runs per hour times bytes per run is what one shared result would save; writes are left out of the count.",
 )
 def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -146,6 +151,7 @@ def repeated_identical(tables: LogTables, cfg: AuditConfig) -> DataFrame:
 @check(
     "anti_patterns", "small_insert_batches",
     headline=("executions", "avg_written_rows",),
+    bullet=Bullet("under {cfg.min_batch_size} rows written by an insert: {rows} patterns"),
     advice="Collect rows on the client until a statement carries at least the audit's minimum.",
 )
 def small_insert_batches(tables: LogTables, cfg: AuditConfig) -> DataFrame:

@@ -39,7 +39,7 @@ from ..functions.predicates import (
     not_inner_table,
 )
 from ..functions.quantiles import group_quantiles
-from ..plans.registry import check
+from ..plans.registry import Bullet, check
 from ..sources.logs import LogTables
 from .common import top, ts_lit
 
@@ -97,6 +97,7 @@ def history_bounds(cfg: AuditConfig) -> tuple[int, int]:
     "cluster_health", "insert_part_fragmentation",
     needs=("part_log",), uses_patterns=False,
     headline=("batch_size_class", "insert_frequency_class", "added_parts", "small_parts_pct",),
+    bullet=Bullet("{rows} of the listed tables get batches of the smallest class", column="batch_size_class", label="VERY SMALL"),
     advice="Tables with both a small batch class and a high insert frequency create the most parts; mend those first.",
 )
 def insert_part_fragmentation(tables: LogTables, cfg: AuditConfig) -> DataFrame:

@@ -9,7 +9,7 @@ from ..config import AuditConfig
 from ..functions.aggregates import system_user
 from ..functions.columns import readable_size, round_half_up
 from ..functions.predicates import FAILED
-from ..plans.registry import check
+from ..plans.registry import Bullet, check
 from ..sources.logs import LogTables
 from .common import subset_rows, with_closed_days
 
@@ -17,6 +17,7 @@ from .common import subset_rows, with_closed_days
 @check(
     "cost_attribution", "by_user",
     headline=("total_queries", "total_read", "total_hours", "error_rate_pct",),
+    bullet=Bullet("{first.user} read the most in {cfg.lookback_days} days: {first.total_read}"),
     advice="Bytes and hours give each account's part of the load; a high error rate is load that returned nothing.",
 )
 def by_user(tables: LogTables, cfg: AuditConfig) -> DataFrame:

@@ -830,35 +830,26 @@ def report_health_score(cfg: AuditConfig) -> str:
 
 
 def report_key_findings(cfg: AuditConfig) -> str:
-    pop = f"pop AS (SELECT * FROM query_log WHERE {base_where(cfg, cfg.lookback_days, types=(P.FINISHED, P.FAILED))})"
-    top_user = (
-        f'tu AS (SELECT {system_user(chr(34) + "user" + chr(34))} AS u, {readable_size("sum(read_bytes)")} AS total_read '
-        'FROM pop GROUP BY 1 ORDER BY sum(read_bytes) DESC, u LIMIT 1)'
-    )
-    frag = f"(SELECT count(*) FROM ({insert_part_fragmentation(cfg)}) x WHERE batch_size_class LIKE '%VERY SMALL%')"
-    small = f"(SELECT count(*) FROM ({small_insert_batches(cfg)}) x)"
-    wow = f"(SELECT count(*) FROM ({wow_duration_regressions(cfg)}) x)"
-    new = f"(SELECT count(*) FROM ({new_expensive_patterns(cfg)}) x)"
-    anti = "(" + " + ".join(
-        f"(SELECT count(*) FROM ({fn(cfg)}) x)" for k, fn in CHECK_SQL.items() if k.startswith("anti_patterns/")
-    ) + ")"
-    pct = f"{cfg.regression_threshold_pct:g}"
-    bullets = [
-        f"SELECT 1 AS ord, printf('Largest consumer: %s read %s over the last %d days.', u, total_read, {cfg.lookback_days}) AS text FROM tu",
-        f"SELECT 2, printf('%d table(s) insert in very small batches, fragmenting into many parts.', n) FROM (SELECT {frag} AS n) WHERE n > 0",
-        f"SELECT 3, printf('%d insert pattern(s) write fewer than %d rows per statement.', n, {cfg.min_batch_size}) FROM (SELECT {small} AS n) WHERE n > 0",
-        f"SELECT 4, CASE WHEN n > 0 THEN printf('%d pattern(s) got slower by more than {pct}%% at p95 since the previous period.', n) "
-        "ELSE 'No p95 latency regressions against the previous period.' END FROM (SELECT " + wow + " AS n)",
-        f"SELECT 5, printf('%d new expensive pattern(s) appeared in this period.', n) FROM (SELECT {new} AS n) WHERE n > 0",
-        f"SELECT 6, printf('%d anti-pattern finding(s) across all anti-pattern checks.', n) FROM (SELECT {anti} AS n) WHERE n > 0",
-    ]
-    union = " UNION ALL ".join(f"({b})" for b in bullets)
-    return (
-        with_(pop, top_user)
-        + f"SELECT CAST(ord AS INTEGER) AS ord, text FROM ({union}) b "
-        + "UNION ALL SELECT 99, 'Nothing significant found; the cluster looks healthy.' "
-        + f"WHERE NOT EXISTS (SELECT 1 FROM ({union}) b2)"
-    )
+    def patterns(name: str, text: str) -> str:
+        return f"SELECT concat({text}, ': ', n, ' patterns') FROM (SELECT count(*) AS n FROM ({CHECK_SQL[name](cfg)}) x) WHERE n > 0"
+
+    wow = f"(SELECT count(*) AS n FROM ({wow_duration_regressions(cfg)}) x)"
+    frag = f"(SELECT count(*) AS n FROM ({insert_part_fragmentation(cfg)}) x WHERE batch_size_class LIKE '%VERY SMALL%')"
+    lines = {
+        "anomalies/new_expensive_patterns": patterns("anomalies/new_expensive_patterns", "'expensive and not seen in the three periods before'"),
+        "anomalies/wow_duration_regressions": f"SELECT CASE WHEN n > 0 THEN concat('p95 up by over {cfg.regression_threshold_pct:g} % on the period before: ', n, ' patterns') "
+        f"ELSE 'p95 steady against the period before' END FROM {wow}",
+        "anti_patterns/full_scans": patterns("anti_patterns/full_scans", f"'over {cfg.scan_ratio_threshold:g} rows read for each one returned'"),
+        "anti_patterns/missing_partition_filter": patterns("anti_patterns/missing_partition_filter", f"'over {cfg.min_parts_threshold:g} parts read by a run'"),
+        "anti_patterns/repeated_identical": patterns("anti_patterns/repeated_identical", f"'over {cfg.repeat_threshold:g} runs an hour'"),
+        "anti_patterns/select_star_wide_tables": patterns("anti_patterns/select_star_wide_tables", "'SELECT * without a column list'"),
+        "anti_patterns/small_insert_batches": patterns("anti_patterns/small_insert_batches", f"'under {cfg.min_batch_size:g} rows written by an insert'"),
+        "anti_patterns/unbounded_results": patterns("anti_patterns/unbounded_results", f"'over {cfg.max_result_rows:g} rows returned without a limit'"),
+        "cluster_health/insert_part_fragmentation": f"SELECT concat(n, ' of the listed tables get batches of the smallest class') FROM {frag} WHERE n > 0",
+        "cost_attribution/by_user": f'SELECT concat("user", \' read the most in {cfg.lookback_days:g} days: \', total_read) FROM (SELECT row_number() OVER () AS k, x.* FROM ({by_user(cfg)}) x) WHERE k = 1',
+    }
+    order = sorted(CHECK_SQL)
+    return " UNION ALL ".join(f"(SELECT {order.index(key) + 1} AS ord, text FROM ({sql}) t(text))" for key, sql in lines.items())
 
 
 def report_query_summary(cfg: AuditConfig) -> str:

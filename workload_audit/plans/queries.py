@@ -21,9 +21,9 @@ from .runner import build_checks
 
 
 def _checks(tables: LogTables, cfg: AuditConfig):
-    """All checks over one rollup of the log, for a report query: a single plan over all 17 that the caller collects later. What
-    is kept in the shared folder are the rolled-up counts and texts, no rows of the log."""
-    return build_checks(tables, cfg)
+    """All checks, run once over one rollup of the log; the report tables are made from their rows. What is kept in
+    the shared folder are rolled-up counts and texts and the checks' results, no rows of the log."""
+    return R.settled(build_checks(tables, cfg))
 
 
 def report_findings(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -54,9 +54,7 @@ def report_health_score(spark: SparkSession, tables: LogTables, cfg: AuditConfig
 
 
 def report_key_findings(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
-    checks = _checks(tables, cfg)
-    found = R.findings(checks)
-    return R.key_findings(checks, R.result_counts(spark, checks, found), found, cfg)
+    return R.key_findings(_checks(tables, cfg), cfg)
 
 
 def report_query_summary(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -83,7 +81,7 @@ def sink_json(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataF
     checks = _checks(tables, cfg)
     path = os.path.join(checkpoint_dir(spark), f"sink-json-{uuid.uuid4().hex}")
     sinks.write_json(checks, path, cfg)
-    return R.values(sinks.read_json(checks, spark, path), has_rank=True)
+    return R.values(sinks.read_json(checks, spark, path))
 
 
 def sink_csv(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
@@ -93,11 +91,11 @@ def sink_csv(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFr
     paths = sinks.write_csv(checks, os.path.join(checkpoint_dir(spark), f"sink-csv-{uuid.uuid4().hex}"))
     back = {}
     for (category, name), df in checks.items():
-        kinds = ", ".join(["rank int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)])
+        kinds = ", ".join(["rank int", *(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(R.own_columns(df)).schema.fields)])
         back[(category, name)] = (
             spark.read.option("header", True).option("nullValue", sinks.CSV_NULL).option("emptyValue", "").schema(kinds).csv(paths[f"{category}/{name}"])
         )
-    return R.values(back, has_rank=True)
+    return R.values(back)
 
 
 REPORT_QUERIES = {

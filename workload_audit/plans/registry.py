@@ -13,6 +13,20 @@ from ..sources.logs import LogTables
 CheckFn = Callable[[LogTables, AuditConfig], DataFrame]
 
 
+@dataclass(frozen=True)
+class Bullet:
+    """A check's line in the key findings.
+
+    ``text`` is shown when rows were found, ``quiet`` (if any) when none were. ``{rows}`` stands for their number - of those with
+    ``label`` in ``column``, where these are given -, ``{first.c}`` for column ``c`` of the first one, ``{cfg.p}`` for a parameter.
+    """
+
+    text: str
+    quiet: str | None = None
+    column: str | None = None
+    label: str | None = None
+
+
 @dataclass(frozen=True)
 class CheckSpec:
     category: str
@@ -27,6 +41,8 @@ class CheckSpec:
     headline: tuple[str, ...] = ()
     # What a reader can do with the check's figures.
     advice: str = ""
+    # The check's line in the key findings, if it has one.
+    bullet: Bullet | None = None
 
     @property
     def key(self) -> str:
@@ -44,6 +60,7 @@ def check(
     uses_patterns: bool = True,
     headline: tuple[str, ...] = (),
     advice: str = "",
+    bullet: Bullet | None = None,
 ):
     """Register ``fn(tables, cfg) -> DataFrame`` as check ``category/name``;
     its description is the first line of its docstring."""
@@ -58,6 +75,7 @@ def check(
             uses_patterns=uses_patterns,
             headline=headline,
             advice=advice,
+            bullet=bullet,
         )
         return fn
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import AuditConfig
-from .report import CheckFrames, findings, ranked
+from .report import CheckFrames, findings, own_columns, ranked
 
 #: How a NULL is written to CSV, apart from an empty text.
 CSV_NULL = "\\N"
@@ -25,7 +25,7 @@ def write_json(checks: CheckFrames, path: str, cfg: AuditConfig, generated_at: d
     stamp = (generated_at or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
     found = findings(checks)
     spark = found.sparkSession
-    listed = [(stamp, cfg.lookback_days, c, n, list(df.columns)) for (c, n), df in sorted(checks.items())]
+    listed = [(stamp, cfg.lookback_days, c, n, own_columns(df)) for (c, n), df in sorted(checks.items())]
     schema = "generated_at string, lookback_days int, category string, name string, columns array<string>"
     spark.createDataFrame(listed, schema).write.mode("overwrite").json(os.path.join(path, "checks"))
     head = F.to_json(F.struct("category", "name", "rank"))
@@ -39,7 +39,7 @@ def read_json(checks: CheckFrames, spark: SparkSession, path: str) -> dict[tuple
     out = {}
     for (category, name), df in checks.items():
         schema = T.StructType([T.StructField("category", T.StringType()), T.StructField("name", T.StringType()),
-                               T.StructField("rank", T.IntegerType()), T.StructField("row", df.schema)])
+                               T.StructField("rank", T.IntegerType()), T.StructField("row", df.select(own_columns(df)).schema)])
         parsed = lines.select(F.from_json("value", schema).alias("x"))
         out[(category, name)] = parsed.where((F.col("x.category") == category) & (F.col("x.name") == name)).select("x.rank", "x.row.*")
     return out
@@ -51,15 +51,10 @@ def write_csv(checks: CheckFrames, root: str) -> dict[str, str]:
     out = {}
     for (category, name), df in sorted(checks.items()):
         path = os.path.join(root, category, name)
-        flat = ranked(df).select(
-            "rank",
-            *[
-                F.to_json(F.col(f"`{f.name}`")).alias(f.name)
-                if f.dataType.typeName() in ("array", "map", "struct")
-                else F.col(f"`{f.name}`")
-                for f in df.schema.fields
-            ]
-        )
+        schema = {f.name: f.dataType.typeName() for f in df.schema.fields}
+        nested = lambda c: schema[c] in ("array", "map", "struct")
+        own = [F.to_json(F.col(f"`{c}`")).alias(c) if nested(c) else F.col(f"`{c}`") for c in own_columns(df)]
+        flat = ranked(df).select("rank", *own)
         flat.write.mode("overwrite").option("header", True).option("nullValue", CSV_NULL).csv(path)
         out[f"{category}/{name}"] = path
     return out

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ from ..sources.logs import conform
 from ..sources.schemas import QUERY_LOG
 from . import files
 
+#: What is done with a batch of log rows and its number.
+Batch = Callable[[DataFrame, int], None]
+
 BACKFILL_BATCH = -1
 CUTOFF_MARKER = "_archive_cutoff.json"
 DEFAULT_RETENTION_DAYS = 90
@@ -67,13 +71,17 @@ def archive_cutoff(spark: SparkSession, archive: str) -> dt.datetime | None:
     return dt.datetime.fromisoformat(json.loads(files.read_text(spark, marker))["cutoff"])
 
 
-def backfill(spark: SparkSession, source: DataFrame, archive: str, cutoff: dt.datetime) -> bool:
+def backfill(spark: SparkSession, source: DataFrame, archive: str, cutoff: dt.datetime, also: Batch | None = None) -> bool:
     """Copy rows with ``event_time < cutoff`` once. Returns False (and writes
-    nothing) when the archive was already initialised."""
+    nothing) when the archive was already initialised. ``also`` gets the same
+    rows, as batch ``BACKFILL_BATCH``."""
     if archive_cutoff(spark, archive) is not None:
         return False
     lit_cutoff = F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-    put(source.where(F.col("event_time") < lit_cutoff), BACKFILL_BATCH, archive)
+    rows = source.where(F.col("event_time") < lit_cutoff)
+    put(rows, BACKFILL_BATCH, archive)
+    if also:
+        also(rows, BACKFILL_BATCH)
     files.write_text(spark, f"{archive.rstrip('/')}/{CUTOFF_MARKER}", json.dumps({"cutoff": cutoff.isoformat()}))
     return True
 
@@ -87,10 +95,13 @@ def start_stream(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
     processing_time: str | None = None,
+    also: Batch | None = None,
 ) -> StreamingQuery:
     """Stream new log files from ``landing`` into the archive (rows at or
     after the recorded cutoff). An archive without a cutoff is refused: its
-    backfill would add the rows before it a second time."""
+    backfill would add the rows before it a second time. ``also`` gets each
+    batch too (``rollup.put``, say) and must replace what it did for a batch
+    of that number before."""
     cutoff = archive_cutoff(spark, archive)
     if cutoff is None:
         raise ValueError(f"{archive} has no recorded cutoff; run backfill first")
@@ -99,9 +110,13 @@ def start_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(landing)
     rows = rows.where(F.col("event_time") >= F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"))
-    writer = rows.writeStream.foreachBatch(lambda df, bid: put(df, bid, archive)).option(
-        "checkpointLocation", checkpoint
-    )
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        put(df, batch_id, archive)
+        if also:
+            also(df, batch_id)
+
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
