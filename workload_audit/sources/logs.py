@@ -10,13 +10,16 @@ directories before any file is opened.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schemas import SCHEMAS
+from ..streaming import files
+from .schemas import DEFAULTS, REQUIRED, SCHEMAS
 
 
 @dataclass(frozen=True)
@@ -46,32 +49,58 @@ class LogTables:
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Check ``df`` has the columns of table ``name`` and cast them to the
-    declared types. Extra columns are dropped here so every later plan
-    reads only declared columns; Catalyst prunes further per check."""
-    schema = SCHEMAS[name]
+    """``df`` with the declared columns of table ``name``, in their types. A column that it lacks is NULL, unless the table is nothing
+    without it; NULLs become the source's defaults (``DEFAULTS``), so that every check counts such a row alike. Extra columns are
+    dropped here; Catalyst prunes further per check."""
+    schema, defaults = SCHEMAS[name], DEFAULTS.get(name, {})
     have = {f.name: f.dataType for f in df.schema.fields}
-    missing = [f.name for f in schema.fields if f.name not in have and f.name != "query_id"]
+    missing = [c for c in REQUIRED[name] if c not in have]
     if missing:
         raise ValueError(f"table {name!r} lacks column(s): {', '.join(missing)}")
     cols = []
     for f in schema.fields:
-        if f.name not in have:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif have[f.name] == f.dataType:
-            cols.append(F.col(f"`{f.name}`"))
-        else:
-            cols.append(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name))
+        value = F.col(f"`{f.name}`") if f.name in have else F.lit(None)
+        if have.get(f.name) != f.dataType:
+            value = value.cast(f.dataType)
+        if f.name in defaults:
+            value = F.coalesce(value, F.lit(defaults[f.name]).cast(f.dataType))
+        cols.append(value.alias(f.name))
     return df.select(*cols)
 
 
+def _same_files(spark: SparkSession, source: str) -> list[tuple[T.StructType, list[str]]]:
+    """The partition folders of ``source`` by what their files have: (schema, folders). One footer per folder is read, some at a time."""
+    folders = [name for name, is_folder in files.children(spark, source) if is_folder and "=" in name and not name.startswith(("_", "."))]
+    if not folders:
+        return []
+    path = lambda name: f"{source.rstrip('/')}/{name}"
+    with ThreadPoolExecutor(max_workers=8, thread_name_prefix="audit-schemas") as pool:
+        schemas = list(pool.map(lambda name: spark.read.option("basePath", source).parquet(path(name)).schema, folders))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for name, schema in zip(folders, schemas, strict=True):
+        groups.setdefault(schema.json(), (schema, []))[1].append(path(name))
+    return list(groups.values())
+
+
+def read_parquet(spark: SparkSession, source: str, name: str) -> DataFrame:
+    """One table from a Parquet path whose partitions may differ: an old one may lack a column that later ones have, or have it in a
+    narrower type. Partitions with the same files are read together, each kind is made to conform, and their
+    union is the table; filters on partition columns still open only the folders that they name."""
+    groups = _same_files(spark, source)
+    if len(groups) < 2:
+        return conform(spark.read.parquet(source), name)
+    out = None
+    for schema, folders in groups:
+        part = conform(spark.read.option("basePath", source).schema(schema).parquet(*folders), name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_table(spark: SparkSession, source: str, name: str) -> DataFrame:
     """Read one table from a Parquet path or a catalog table name."""
     if os.sep in source or source.startswith(("file:", "s3", "gs:", "hdfs:", "abfs")):
-        df = spark.read.option("mergeSchema", "false").parquet(source)
-    else:
-        df = spark.table(source)
-    return conform(df, name)
+        return read_parquet(spark, source, name)
+    return conform(spark.table(source), name)
 
 
 def read_log_tables(spark: SparkSession, sources: dict[str, str]) -> LogTables:

@@ -76,3 +76,34 @@ SCHEMAS: dict[str, T.StructType] = {
     "asynchronous_metrics": ASYNC_METRICS,
     "settings": SETTINGS,
 }
+
+# What a NULL (or a column that a file does not have) stands for: the source's
+# own default. Columns that the checks only compare for equality, or as more
+# than some positive number, keep their NULLs, which fail those tests as the
+# default would; so their predicates reach the files.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "query_log": {
+        "normalized_query_hash": 0,
+        "query": "",
+        "user": "",
+        "query_duration_ms": 0,
+        "read_rows": 0,
+        "read_bytes": 0,
+        "written_rows": 0,
+        "memory_usage": 0,
+    },
+    "part_log": {"database": "", "table": "", "partition_id": "", "part_name": "", "rows": 0, "bytes_uncompressed": 0, "duration_ms": 0},
+    "parts": {"database": "", "table": "", "partition": "", "rows": 0, "bytes_on_disk": 0},
+    "merges": {"database": "", "table": ""},
+    "tables": {"database": "", "name": ""},
+}
+# Columns without which a table is not what it is said to be.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "query_log": ("event_time", "event_date", "type", "query_kind", "user", "normalized_query_hash", "query"),
+    "part_log": ("database", "table", "part_name", "event_type", "event_time"),
+    "parts": ("database", "table", "partition", "active"),
+    "merges": ("database", "table"),
+    "tables": ("database", "name", "engine"),
+    "asynchronous_metrics": ("metric", "value"),
+    "settings": ("name", "value"),
+}

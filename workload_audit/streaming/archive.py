@@ -35,6 +35,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.logs import conform
 from ..sources.schemas import QUERY_LOG
 from . import files
+from .compaction import FOLDED, read_folded
 
 #: What is done with a batch of log rows and its number.
 Batch = Callable[[DataFrame, int], None]
@@ -127,8 +128,10 @@ def start_stream(
 def read_archive(
     spark: SparkSession, archive: str, as_of: dt.date | None = None, retention_days: int = DEFAULT_RETENTION_DAYS
 ) -> DataFrame:
-    """Archive rows as a query log, without rows past the retention."""
-    df = spark.read.parquet(archive)
+    """Archive rows as a query log, without rows past the retention; compacted days are read from their folded files."""
+    df = read_folded(spark, archive)
+    if df is None:
+        raise ValueError(f"{archive} has no rows yet")
     if as_of is not None:
         df = df.where(F.col("event_date").isNull() | (F.col("event_date") > F.lit(as_of - dt.timedelta(days=retention_days))))
     return df
@@ -139,24 +142,20 @@ def apply_retention(
 ) -> list[str]:
     """Delete ``event_date`` partitions with ``event_date + retention <= as_of``.
     Lists only partition directories (one per day), never data."""
-    fs, root = files.at(spark, archive)
     removed = []
-    if not fs.exists(root):
-        return removed
     limit = as_of - dt.timedelta(days=retention_days)
-    for month in fs.listStatus(root):
-        mname = month.getPath().getName()
-        if not (month.isDirectory() and mname.startswith("event_month=")):
-            continue
-        for day in fs.listStatus(month.getPath()):
-            dname = day.getPath().getName()
-            if not (day.isDirectory() and dname.startswith("event_date=")):
+    top = archive.rstrip("/")
+    for root in (top, *(f"{top}/{FOLDED}/{name}" for name, _ in files.children(spark, f"{top}/{FOLDED}"))):
+        for month, is_folder in files.children(spark, root):
+            if not (is_folder and month.startswith("event_month=")):
                 continue
-            day_of = dname.split("=", 1)[1]
-            # rows without a date have no age and stay
-            if day_of != NO_DATE and dt.date.fromisoformat(day_of) <= limit:
-                fs.delete(day.getPath(), True)
-                removed.append(f"{mname}/{dname}")
-        if len(fs.listStatus(month.getPath())) == 0:
-            fs.delete(month.getPath(), True)
+            days = [name for name, folder in files.children(spark, f"{root}/{month}") if folder and name.startswith("event_date=")]
+            for day in days:
+                day_of = day.split("=", 1)[1]
+                # rows without a date have no age and stay
+                if day_of != NO_DATE and dt.date.fromisoformat(day_of) <= limit:
+                    files.delete(spark, f"{root}/{month}/{day}")
+                    removed.append(f"{month}/{day}")
+            if not files.children(spark, f"{root}/{month}"):
+                files.delete(spark, f"{root}/{month}")
     return removed
