@@ -2,7 +2,7 @@
 over the whole input tables (not just one check's window), so every
 primitive is exercised and verified on its own:
 
-J2 anti join, A5/A6 quantiles, A9 primary user, A8 mean interval, A12 part
+J2 anti join, P12/P15 insert targets, A5/A6 quantiles, A9 primary user, A8 mean interval, A12 part
 dedup, W1/W2 share of total and bar scale, F1/F2/F3 formatters, T4 status
 rank, R7 query summary.
 """
@@ -18,7 +18,7 @@ from ..functions.columns import bar, readable_delta, readable_size, round_half_u
 from ..functions.predicates import MERGE_PARTS, NEW_PART, day_range, finished, kind_is_not
 from ..functions.quantiles import group_quantiles
 from ..sources.logs import LogTables
-from .cluster_health import PART_KEY, TABLE_KEY, partition_status, status_rank, with_node_thresholds
+from .cluster_health import PART_KEY, TABLE_KEY, insert_duration_by_engine, partition_status, status_rank, with_node_thresholds
 from .common import HASH, query_rows
 
 SHARE_BAR_WIDTH = 30
@@ -172,7 +172,16 @@ def op_status_rank(tables: LogTables, cfg: AuditConfig) -> DataFrame:
     )
 
 
+def op_insert_targets(tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """The insert histogram of a log in which some inserts name no table and some an inner one, which it leaves out."""
+    (ql,) = tables.require("query_log")
+    inner = F.array(F.concat("current_database", F.when(F.col("query_id") % 2 == 0, F.lit(".`.inner.t1`")).otherwise(F.lit(".`.tmp.inner.t1`"))))
+    named = F.when(F.col("query_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("query_id") % 7 == 0, inner).otherwise(F.col("tables"))
+    return insert_duration_by_engine(tables.with_(query_log=ql.withColumn("tables", named)), cfg)
+
+
 OPERATORS = {
+    "op_insert_targets": op_insert_targets,
     "op_anti_join": op_anti_join,
     "op_quantile_exact": op_quantile_exact,
     "op_quantile_cont": op_quantile_cont,

@@ -682,6 +682,12 @@ def _partition_status_sql(cfg: AuditConfig) -> tuple[list[str], str, str]:
     return [mem, thr, ma], status, rank
 
 
+def op_insert_targets(cfg: AuditConfig) -> str:
+    inner = "[concat(current_database, CASE WHEN query_id % 2 = 0 THEN '.`.inner.t1`' ELSE '.`.tmp.inner.t1`' END)]"
+    named = f"ql_t AS (SELECT * REPLACE (CASE WHEN query_id % 5 = 0 THEN [] WHEN query_id % 7 = 0 THEN {inner} ELSE tables END AS tables) FROM query_log)"
+    return insert_duration_by_engine(cfg).replace("FROM query_log", "FROM ql_t").replace("\nq AS (", f"\n{named},\nq AS (", 1)
+
+
 def op_status_rank(cfg: AuditConfig) -> str:
     ctes, status, rank = _partition_status_sql(cfg)
     ps = (
@@ -699,6 +705,7 @@ def op_status_rank(cfg: AuditConfig) -> str:
 
 
 OPERATOR_SQL = {
+    "op_insert_targets": op_insert_targets,
     "op_anti_join": op_anti_join,
     "op_quantile_exact": op_quantile_exact,
     "op_quantile_cont": op_quantile_cont,
@@ -723,8 +730,8 @@ def operator_sql(cfg: AuditConfig | None = None) -> dict[str, str]:
 # ---------------------------------------------------------------------------
 
 
-def _per_check(cfg: AuditConfig, body: str) -> str:
-    """UNION ALL over the checks of ``body`` formatted with {cat}, {name},
+def _per_check(cfg: AuditConfig, body: str, only=None) -> str:
+    """UNION ALL over the checks (or those whose key ``only`` accepts) of ``body`` formatted with {cat}, {name},
     {desc} and {sql} (the check's own SQL as a subquery)."""
     from .plans.registry import select_checks
 
@@ -732,6 +739,8 @@ def _per_check(cfg: AuditConfig, body: str) -> str:
     parts = []
     for key, fn in CHECK_SQL.items():
         cat, name = key.split("/")
+        if only is not None and not only(key):
+            continue
         parts.append(body.format(cat=q(cat), name=q(name), desc=q(described[(cat, name)]), sql=fn(cfg)))
     return "\nUNION ALL\n".join(f"({p})" for p in parts)
 
@@ -909,7 +918,37 @@ def archive_retention(cfg: AuditConfig) -> str:
     return _archive_summary(f"WHERE event_date > {date_lit(cfg.today - dt.timedelta(days=ARCHIVE_RETENTION_DAYS))}")
 
 
+#: Checks that rank query patterns, and those that read other tables or no patterns.
+_OTHERS = ("cluster_health/",)
+
+
+def rollup_checks(cfg: AuditConfig) -> str:
+    return _per_check(cfg, _VALUES, lambda key: not key.startswith(_OTHERS))
+
+
+def archive_checks(cfg: AuditConfig) -> str:
+    return _per_check(cfg, _VALUES, lambda key: not key.startswith(_OTHERS) or key.endswith("insert_duration_by_engine"))
+
+
+def selected_checks(cfg: AuditConfig) -> str:
+    return _per_check(cfg, _VALUES, lambda key: key.startswith(("anti_patterns/", "cost_attribution/")))
+
+
+def run_outcomes(cfg: AuditConfig) -> str:
+    failed, late = ("insert_part_fragmentation", "merge_pressure"), "by_memory"
+    states = f"CASE WHEN name IN {failed} THEN 'failed' WHEN name = '{late}' THEN 'timed out' ELSE 'done' END"
+    return f'SELECT category, name, {states} AS state, CASE WHEN {states} = \'done\' THEN "rows" ELSE 0 END AS "rows" FROM ({report_counts(cfg)}) c'
+
+
 REPORT_SQL = {
+    "rollup_checks": rollup_checks,
+    "presence_new_patterns": new_expensive_patterns,
+    "reader_checks": report_findings,
+    "archive_checks": archive_checks,
+    "archive_compact": archive_stream,
+    "archive_rerun": archive_stream,
+    "selected_checks": selected_checks,
+    "run_outcomes": run_outcomes,
     "report_counts": report_counts,
     "report_severity": report_severity,
     "report_preview": report_preview,

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 from ..session import checkpoint_dir
-from ..sources.logs import LogTables
 from ..streaming import archive as A
+from ..sources.logs import LogTables, conform, read_log_tables
+from ..streaming import compaction, presence, rollup
 from . import report as R
 from . import sinks
-from .runner import build_checks
+from .registry import select_checks
+from .runner import build_checks, outcome_table, run_outcomes
 
 
 def _checks(tables: LogTables, cfg: AuditConfig):
@@ -169,8 +171,111 @@ def archive_retention(spark: SparkSession, tables: LogTables, cfg: AuditConfig)
     return archive_summary(A.read_archive(spark, path, cfg.today, ARCHIVE_RETENTION_DAYS))
 
 
+def archive_rerun(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """ST5: backfill and stream a second time, which adds nothing."""
+    (ql,) = tables.require("query_log")
+    path = build_archive(spark, ql)
+    root = os.path.dirname(path)
+    if A.backfill(spark, ql, path, ARCHIVE_CUTOFF):
+        raise RuntimeError("the archive was filled twice")
+    A.start_stream(spark, os.path.join(root, "landing"), path, os.path.join(root, "checkpoint")).awaitTermination()
+    return archive_summary(A.read_archive(spark, path))
+
+
+def archive_compact(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """ST3: the closed days of the archive folded, up to the stream's last committed batch."""
+    (ql,) = tables.require("query_log")
+    path = build_archive(spark, ql)
+    upto = compaction.committed_batch(spark, os.path.join(os.path.dirname(path), "checkpoint"))
+    closed = [cfg.today - dt.timedelta(days=d) for d in range(3, 40)]
+    compaction.compact(spark, path, closed, upto)
+    return archive_summary(A.read_archive(spark, path))
+
+
+def _pattern_checks(tables: LogTables, cfg: AuditConfig, also: tuple[str, ...] = ()) -> DataFrame:
+    """The checks that rank patterns (and those named), value by value."""
+    own = {(s.category, s.name): s.fn(tables, cfg) for s in select_checks() if s.uses_patterns or s.name in also}
+    return R.values(R.settled(own))
+
+
+def archive_checks(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """The query-log checks over the archive, half of its days compacted."""
+    ql, _ = tables.require("query_log", "tables")
+    path = build_archive(spark, ql)
+    upto = compaction.committed_batch(spark, os.path.join(os.path.dirname(path), "checkpoint"))
+    compaction.compact(spark, path, [cfg.today - dt.timedelta(days=d) for d in range(4, 40)], upto)
+    kept = conform(A.read_archive(spark, path, cfg.today), "query_log")
+    return _pattern_checks(tables.with_(query_log=kept), cfg, ("insert_duration_by_engine",))
+
+
+#: Days from this one on are open in ``rollup_checks``: their rows are read from the log.
+ROLLUP_OPEN_FROM = dt.date(2024, 1, 28)
+
+
+def rollup_checks(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """The query-log checks over a rollup of the closed days and the log of the open ones; the second batch is put twice."""
+    (ql,) = tables.require("query_log")
+    path = _work_dir(spark, "rollup")
+    early = F.col("event_time") < F.lit(ARCHIVE_CUTOFF.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    rollup.put(ql.where(early), rollup.BACKFILL_BATCH, path, cfg)
+    for _ in range(2):
+        rollup.put(ql.where(~early), 0, path, cfg)
+    return _pattern_checks(rollup.rolled_tables(spark, tables, path, cfg, ROLLUP_OPEN_FROM), cfg)
+
+
+def presence_new_patterns(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """C6 from the presence index and the log of the current period alone."""
+    from ..operators.anomalies import new_expensive_patterns
+
+    (ql,) = tables.require("query_log")
+    path = _work_dir(spark, "presence")
+    presence.put(ql, 0, path, cfg)
+    current = ql.where(F.col("event_date") >= F.lit(cfg.today - dt.timedelta(days=cfg.lookback_days)))
+    return new_expensive_patterns(tables.with_(query_log=current, presence=presence.read_presence(spark, path)), cfg)
+
+
+def reader_checks(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """All checks through the readers, over tables written as they are kept: the log by date, its older days in narrower
+    types and without a column that came later."""
+    ql, *others = tables.require("query_log", "part_log", "parts", "merges", "tables", "asynchronous_metrics", "settings")
+    root = _work_dir(spark, "tables")
+    paths = {n: os.path.join(root, n) for n in ("query_log", "part_log", "parts", "merges", "tables", "asynchronous_metrics", "settings")}
+    old = F.col("event_date") < F.lit(ARCHIVE_CUTOFF.date())
+    before = ql.where(old).drop("current_database").withColumn("normalized_query_hash", F.col("normalized_query_hash").cast("int"))
+    before.write.partitionBy("event_date").parquet(paths["query_log"])
+    ql.where(~old).write.mode("append").partitionBy("event_date").parquet(paths["query_log"])
+    for name, df in zip(list(paths)[1:], others, strict=True):
+        df.write.parquet(paths[name])
+    return R.values(_checks(read_log_tables(spark, paths), cfg))
+
+
+def selected_checks(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """The checks of two categories, value by value; the others are not planned."""
+    return R.values(_checks(tables, cfg.with_(only_categories=SELECTED)))
+
+
+#: The categories of ``selected_checks``.
+SELECTED = ("anti_patterns", "cost_attribution")
+#: The check that ``run_outcomes`` gives too little time, in seconds.
+HURRIED, NO_TIME = "top_n/by_memory", 0.001
+
+
+def run_outcomes_table(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:
+    """What becomes of each check where the part log is missing and one check gets no time."""
+    done = run_outcomes(tables.with_(part_log=None), cfg, budgets={HURRIED: NO_TIME})
+    return outcome_table(spark, done).select("category", "name", "state", "rows")
+
+
 ARCHIVE_QUERIES = {
     "archive_backfill": archive_backfill,
     "archive_stream": archive_stream,
     "archive_retention": archive_retention,
+    "archive_rerun": archive_rerun,
+    "archive_compact": archive_compact,
+    "archive_checks": archive_checks,
+    "rollup_checks": rollup_checks,
+    "presence_new_patterns": presence_new_patterns,
+    "reader_checks": reader_checks,
+    "selected_checks": selected_checks,
+    "run_outcomes": run_outcomes_table,
 }
