@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from workload_audit.functions.quantiles import group_quantiles
 from workload_audit.functions.sketches import merged_sketch, rank_error, sketch_of, sketch_quantiles
+from workload_audit.operators import common, top_n
 from workload_audit.operators.anomalies import new_expensive_patterns
 from workload_audit.plans.registry import select_checks
 from workload_audit.session import checkpoint_dir
@@ -129,3 +130,19 @@ def test_new_patterns_with_the_index_read_the_log_of_one_period(spark, tables_sm
     presence.put(tables_small.query_log, 3, path, cfg)
     recent = tables_small.with_(presence=presence.read_presence(spark, path), query_log=tables_small.query_log.where("event_date >= '2024-01-24'"))
     assert _rows(new_expensive_patterns(recent, cfg)) == _rows(new_expensive_patterns(tables_small, cfg))
+
+
+def test_patterns_below_the_bar_are_not_counted(spark, tables_small, cfg):
+    """Few slow patterns among many fast ones: only those whose greatest value reaches the bar are looked at, and the rows are the same."""
+    log = tables_small.query_log.where("query_kind = 'Select'")
+    spread = log.withColumn(HASH, (F.col("query_id") % 97).cast("bigint")).withColumn("query_duration_ms", (F.col("query_duration_ms") % 50 + F.pow(F.col(HASH) % 97, 2)).cast("bigint"))
+    path = _dir(spark, "bar")
+    rollup.put(spread, 0, path, cfg)
+    own = cfg.with_(top_n=5)
+    both = rollup.rolled_tables(spark, tables_small.with_(query_log=spread), path, own, dt.date(2024, 2, 1))
+    specs = {"p95": ("cont", 0.95)}
+    kept, everything = common.reaching(both, own, "selects", "query_duration_ms", "p95", specs), common.pattern_counts(both, own, "selects", [])
+    assert 5 <= kept.count() < everything.select(HASH).distinct().count() / 4
+    assert _rows(top_n.by_duration(both, own)) == _rows(top_n.by_duration(tables_small.with_(query_log=spread), own))
+    few = own.with_(top_n=500)
+    assert common.reaching(both, few, "selects", "query_duration_ms", "p95", specs).count() == everything.select(HASH).distinct().count()

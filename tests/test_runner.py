@@ -50,3 +50,36 @@ def test_extra_self_patterns_exclude_archive_queries(spark, tables_small, cfg):
     assert star
     filtered = {r["query_text"] for r in by_read_bytes(tables_small, cfg.with_(top_n=100, extra_self_patterns=("SELECT * FROM%",))).collect()}
     assert filtered == base - star
+
+
+def test_outcomes_tell_failures_and_overruns(spark, tables_small, cfg, tmp_path_factory):
+    """A check that has no input fails, one that gets no time is interrupted, the others are done; results may be written instead of collected."""
+    import os
+    import uuid
+
+    from workload_audit.plans.runner import outcome_table, run_outcomes, written_to
+    from workload_audit.session import checkpoint_dir
+
+    own = cfg.with_(only_categories=("top_n", "cost_attribution", "cluster_health"))
+    path = os.path.join(checkpoint_dir(spark), f"out-{uuid.uuid4().hex}")
+    out = run_outcomes(tables_small.with_(part_log=None), own, budgets={"top_n/by_memory": 0.001}, take=written_to(path))
+    state = {o.name: o.state for o in out}
+    assert state["by_memory"] == "timed out" and state["merge_pressure"] == "failed" and state["insert_part_fragmentation"] == "failed"
+    assert {state[n] for n in ("by_user", "by_duration", "by_read_bytes", "partition_health")} == {"done"}
+    assert [(o.category, o.name) for o in out] == sorted((o.category, o.name) for o in out)
+    table = {r["name"]: r for r in outcome_table(spark, out).collect()}
+    assert "missing input" in table["merge_pressure"]["error"] and table["by_user"]["error"] is None and table["by_user"]["seconds"] > 0
+    assert spark.read.parquet(f"{path}/cost_attribution/by_user").count() == table["by_user"]["rows"]
+    assert not any(n.startswith("run-") for n in os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+
+
+def test_an_overrunning_job_is_stopped(spark, tables_small, cfg):
+    """A job that would run for minutes ends soon after its budget."""
+    import time
+
+    from workload_audit.plans.runner import run_outcomes
+
+    many = tables_small.query_log.selectExpr("*", "explode(sequence(1, 100000)) as i").selectExpr("*", "explode(sequence(1, 1000)) as j")
+    start = time.monotonic()
+    out = run_outcomes(tables_small.with_(query_log=many), cfg.with_(only_categories=("cost_attribution",)), seconds=2)
+    assert [o.state for o in out] == ["timed out"] and time.monotonic() - start < 60

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
-from ..functions.aggregates import counted, totals, user_counts, with_primary_user, with_sample_text
+from ..functions.aggregates import counted, same_keys, totals, user_counts, with_primary_user, with_sample_text
 from ..functions.predicates import base_query_filter, selected_parts
 from ..functions.quantiles import Specs, quantiles_of, value_counts
 from ..functions.sketches import merged_sketch, sketch_of, sketch_quantiles
@@ -112,10 +112,11 @@ def pattern_quantiles(
     period: Column | None = None,
     min_count: int = 1,
     days: int | None = None,
+    among: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(patterns with quantiles, measures and ``executions``; the counts that tell their primary users), from one read.
 
-    With ``period`` (an expression on ``event_date``) the groups are (pattern, period).
+    With ``period`` (an expression on ``event_date``) the groups are (pattern, period). With ``among`` only its patterns are looked at.
     """
     keys = [HASH, *([PERIOD] if period is not None else [])]
     days = cfg.lookback_days if days is None else days
@@ -129,6 +130,8 @@ def pattern_quantiles(
     if not cfg.approx_quantiles:
         fresh = lambda since=None: value_counts(rows(since), keys, value, given, label="user")
         counts = fresh() if rollup is None else with_closed_days(rollup.value_counts(cfg, subset, value, measures, days, period), rollup, fresh)
+        if among is not None:
+            counts = counts.join(among.select(F.col(HASH).alias(f"_k_{HASH}")), same_keys([HASH]), "left_semi")
         return quantiles_of(counts, keys, specs, min_count=min_count, measures=given, rows="executions"), counts
     k, numbers = cfg.approx_accuracy, [_OPS[op](c).alias(n) for n, op, c in measures]
     sketched = lambda since=None: rows(since).groupBy(*keys).agg(sketch_of(F.col(value), k).alias("_sketch"), F.count(F.lit(1)).alias("_rows"), *numbers)
@@ -144,4 +147,23 @@ def pattern_quantiles(
     return stats.select(*keys, *sketch_quantiles("_sketch", specs), "executions", *[n for n, _, _ in measures]), counts
 
 
+#: Patterns whose quantile is computed first, as a multiple of the wanted number.
+FIRST_TRIES = 4
+
+
+def reaching(tables: LogTables, cfg: AuditConfig, subset: str, value: str, quantile: str, specs: Specs) -> DataFrame:
+    """Patterns that can be among the ``top_n`` by a quantile of ``value``: (pattern, executions, _bound).
+
+    A pattern's greatest value bounds its quantiles from above, and is known without its distribution. In a first round the quantile of the
+    patterns with the greatest bounds is computed; the ``top_n``-th best of these is a bar, and a pattern whose bound
+    does not reach it can't be among the ``top_n``. With fewer patterns than that there is no bar.
+    """
+    bounds = totals(pattern_counts(tables, cfg, subset, [("_bound", "max", value)]), [HASH], [("_bound", "max", None)])
+    first = top(bounds, [F.desc("_bound"), F.asc(HASH)], FIRST_TRIES * cfg.top_n)
+    tried, _ = pattern_quantiles(tables, cfg, subset, value, {quantile: specs[quantile]}, [], among=first)
+    best = top(tried.select(F.floor(quantile).alias("q")), [F.desc("q")], cfg.top_n)
+    bar = best.agg(F.when(F.count(F.lit(1)) >= cfg.top_n, F.min("q"))).scalar()
+    return bounds.where(F.coalesce(F.col("_bound") >= bar, F.lit(True)))
+
+
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
