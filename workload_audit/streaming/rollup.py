@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -206,4 +207,5 @@ def rolled_tables(spark: SparkSession, tables: LogTables, path: str, cfg: AuditC
 def rollup_of(query_log: DataFrame, cfg: AuditConfig, days: int, keep: Callable[[DataFrame], DataFrame]) -> Rollup:
     """A rollup of the last ``days`` days for one run: numbers and texts, each kept by ``keep``; quantiles still come from the log."""
     rows = query_log.where(P.since_day(cfg, days))
-    return Rollup(keep(numbers(rows, cfg)), keep(texts(rows, cfg)))
+    with ThreadPoolExecutor(max_workers=2, thread_name_prefix="audit-rollup") as pool:
+        return Rollup(*pool.map(lambda roll: keep(roll(rows, cfg)), (numbers, texts)))
