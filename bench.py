@@ -4,8 +4,8 @@ Prints one JSON line:
   {"metric": "full_audit_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 The headline is ``full_run``: all 17 checks through the runner, the way an
-audit is run - one shared, persisted base scan and up to four checks as
-concurrent Spark jobs. ``checks_total_sec`` is the sum of the 17 checks
+audit is run - one rollup of the log and up to four checks as concurrent
+Spark jobs. ``checks_total_sec`` is the sum of the 17 checks
 timed one by one. Each query is timed end to end - building the DataFrame
 from the Parquet tables and collecting its result - after one untimed
 warm-up pass (JIT and code generation); the reported time is the median of

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import os
-import uuid
 
 import pytest
 

