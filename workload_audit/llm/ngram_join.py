@@ -43,7 +43,7 @@ def probe_length(n: int) -> int:
 
 
 def index_length(n: int) -> int:
-    """The same for partners at least as large as the set itself."""
+    """The same for partners at least as large as the set itself: what lies behind an element further on is too little for them."""
     p, q = LINK
     return n - -(-2 * p * n // (p + q)) + 1
 
@@ -238,9 +238,9 @@ def near_links(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
 
 
 def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
-    """(shingle, d1, n, index): the first elements of each set, rare shingles before ``common`` ones and else by hash.
+    """(shingle, d1, at): the first elements of each set, rare shingles before ``common`` ones and else by hash, and their places in that order.
 
-    Sets that link share one of these, which stands among the index elements of the smaller set.
+    Sets that link share one of these.
     """
 
     def read(batches):
@@ -248,7 +248,7 @@ def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
         held = 0
         for batch in batches:
             parts: list[np.ndarray] = []
-            ids, sizes, lengths, marks = [], [], [], []
+            ids, lengths = [], []
             for _, own in shingle_sets(batch.column(0), k):
                 if not len(own):
                     continue
@@ -263,53 +263,49 @@ def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     often = common[at] == own
                     own = np.concatenate([own[~often], own[often]]) if often.any() else own
-                n = len(own)
-                first = own[: probe_length(n)]
+                first = own[: probe_length(len(own))]
                 parts.append(first)
                 ids.append(d1)
-                sizes.append(n)
                 lengths.append(len(first))
-                marks.append(np.arange(len(first)) < index_length(n))
                 if sum(lengths[-64:]) > 200_000 or len(ids) >= 2000:
-                    yield tiles(parts, ids, sizes, lengths, marks)
-                    parts, ids, sizes, lengths, marks = [], [], [], [], []
+                    yield tiles(parts, ids, lengths)
+                    parts, ids, lengths = [], [], []
             if ids:
-                yield tiles(parts, ids, sizes, lengths, marks)
+                yield tiles(parts, ids, lengths)
 
-    def tiles(parts, ids, sizes, lengths, marks):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(_signed(np.concatenate(parts))), pa.array(np.repeat(np.array(ids, np.int64), lengths)),
-             pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate(marks))], names=["shingle", "d1", "n", "index"])
+    def tiles(parts, ids, lengths):
+        at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(parts))), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(at)], names=["shingle", "d1", "at"])
 
-    return texts.select("text").mapInArrow(read, "shingle long, d1 long, n int, index boolean")
+    return texts.select("text").mapInArrow(read, "shingle long, d1 long, at int")
 
 
 def candidate_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of documents of different components that share a tile.
+    """Distinct pairs (a, b) of documents of different components that share a tile and can link by what lies behind it.
 
     A tile is a shingle and a size band; bands are so wide that linked sets are in one band or in neighbouring ones, and a set is also a
     guest in the tile of the next larger band. Tiles of one set, or of one component, drop out before anything is paired.
-    Each pair must share enough of its first elements for the rest to make up an intersection that links.
+    A pair counts in the tile of the first element that its sets have in common: there, as many elements as the shorter rest has can
+    still be shared, and they must be enough to link. So a pair is passed over where both sets have the same element ahead of the
+    tile's (of those in tiles of several sets), as they have met there; sets that are alike over long stretches meet once for each
+    stretch, not for each element.
     """
     by_shingle = Window.partitionBy("shingle")
     shared = rows.withColumns({"least": F.min("d1").over(by_shingle), "most": F.max("d1").over(by_shingle)}).filter("least <> most")
-    known = sets.select("d1", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    shared = shared.select("shingle", "d1", "n", "index").distinct().join(known, "d1")
+    known = sets.select("d1", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    shared = shared.select("shingle", "d1", "at").repartition("d1").distinct().join(known, "d1")
+    shared = shared.withColumn("before", F.lag("shingle").over(Window.partitionBy("d1", "doc_id").orderBy("at")))
     shared = shared.withColumns({"least": F.min("component").over(by_shingle), "most": F.max("component").over(by_shingle)}).filter("least <> most")
     width = float(np.log(LINK[1] / LINK[0]))
-    shared = cut(shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")).select("shingle", "band", "doc_id", "n", "index", "component"))
-    home = shared.select("shingle", F.col("band").alias("tile"), *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "index", "component", "band")])
-    guests = shared.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "index", "component", "band")])
+    columns = ("doc_id", "n", "at", "before", "component", "band")
+    shared = cut(shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")).select("shingle", *columns))
+    home = shared.select("shingle", F.col("band").alias("tile"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    guests = shared.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"), *[F.col(c).alias(f"b_{c}") for c in columns])
     p, q = LINK
     paired = home.join(guests, ["shingle", "tile"]).filter("a_component <> b_component and (b_band < a_band or a_doc_id < b_doc_id)")
     paired = paired.filter(f"{q} * least(a_n, b_n) >= {p} * greatest(a_n, b_n)")
-    # in one of the two sets, what lies beyond its first elements comes after all that the other shares with them
-    paired = paired.groupBy(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min("a_n").alias("n1"), F.min("b_n").alias("n2"),
-        F.bool_or(F.expr("(a_n <= b_n and a_index) or (b_n <= a_n and b_index)")).alias("met"),
-    )
-    rest = F.greatest(F.ceil(F.col("n1") * p / q), F.ceil(F.col("n2") * p / q)) - 1
-    return paired.filter(F.col("met") & (F.col("shared") + rest >= F.ceil((F.col("n1") + F.col("n2")) * p / (p + q) - 1e-6))).select("a", "b")
+    paired = paired.filter(f"{p + q} * least(a_n - a_at, b_n - b_at) >= {p} * (a_n + b_n) and not coalesce(a_before = b_before, false)")
+    return paired.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
 
 
 def verified_links(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
