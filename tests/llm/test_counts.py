@@ -156,3 +156,28 @@ def test_tilt_keeps_priors_in_proportion(spark):
     assert np.exp(duals["a"]) == pytest.approx(1.0, rel=1e-6)
     assert min(2, np.exp(duals[None])) == pytest.approx(2.0, rel=1e-6)
     assert np.exp(duals["b"]) < 1e-12
+
+
+def test_rates_keep_the_priors_proportions(spark, small):
+    """Equal priors would give all documents of a source one rate; here each size has its own, up to the cap, and targets are still met."""
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in np.concatenate([rng.integers(1, 60, 900), rng.integers(64, 900, 700), rng.integers(2048, 4000, 40)])]
+    rows = [(i, " ".join(["w"] * n), f"s{i % 3}") for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mix(docs).collect()
+    words = Counter()
+    for i, _, s in rows:
+        words[s] += sizes[i]
+    want = brute.targets(dict(words))
+    taken = Counter()
+    for r in plan:
+        taken[r["source"]] += r["copies"] * r["size"]
+    for s in want:
+        assert taken[s] == pytest.approx(want[s], rel=0.01)
+        own = [r for r in plan if r["source"] == s]
+        rate = {name: np.mean([r["copies"] for r in own if low <= r["size"] <= high]) for name, low, high in (("short", 1, 63), ("middle", 64, 2047), ("long", 2048, 10**9))}
+        if rate["middle"] < 1.9:
+            assert rate["short"] == pytest.approx(0.5 * rate["middle"], rel=0.15) and rate["long"] == pytest.approx(0.7 * rate["middle"], rel=0.35)
+        else:  # at the cap: all sizes, or only those with the largest prior
+            assert rate["short"] < 2 or want[s] == 2 * words[s]
+    assert any(np.mean([r["copies"] for r in plan if r["source"] == s and 64 <= r["size"] <= 2047]) < 1.9 for s in want)

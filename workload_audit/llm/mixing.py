@@ -13,6 +13,8 @@ from .storage import cut, unwrapped, wrapped
 WORD = r"[^\x20\x09-\x0D]+"
 #: The dual of a source from which nothing is taken.
 NEVER = -50.0
+#: Prior rates by size in words: (up to, rate); fragments and very long documents are repeated less readily than others.
+PRIORS = ((63, 0.5), (2047, 1.0), (None, 0.7))
 #: Sizes, as multiples of a source's mean, down to which each rounding step goes; the last takes the rest.
 STEPS = (4.0, 1.0, 0.25, 0.0)
 #: Tables of sources are broadcast if they have no more rows than this, and joined by shuffling beyond it.
@@ -54,47 +56,35 @@ def tilt(cells: DataFrame, most: float = 2.0, rounds: int = 40, tolerance: float
     """The entropy-balancing multiplier ``dual`` of each source.
 
     ``cells`` has (source, prior, size, target): the words of a source's
-    documents with that prior rate. Rates min(most, prior * exp(dual)) are, of
+    documents with that prior rate, a few cells for each source. Rates min(most, prior * exp(dual)) are, of
     all rates up to ``most``, those nearest to the priors in relative entropy
-    whose words sum to the target. The dual is convex and falls apart by source, so each
-    Newton step (on the logarithm of the words, which an exponential tilt makes
-    straight below the cap) is one grouped sum of words and slope over all
-    sources at once. Steps end when no source is off its target by more than
-    ``tolerance`` of it. A source without words or target gets the dual ``NEVER``.
+    whose words sum to the target. The dual is convex and falls apart by source, so the
+    Newton steps (on the logarithm of the words, which an exponential tilt makes
+    straight below the cap) of all sources run side by side, each on its source's cells. A step is nothing once a source is within
+    ``tolerance`` of its target. A source without words or target gets the dual ``NEVER``.
     """
-    duals = cut(cells.groupBy("source").agg(F.lit(0.0).alias("dual"), F.first("target").alias("target")))
-    for _ in range(rounds):
-        raw = F.col("prior") * F.exp(F.col("dual"))
-        off = (
-            cells.drop("target").join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-            .groupBy("source").agg(
-                F.first("dual").alias("dual"), F.first("target").alias("target"),
-                F.sum(F.col("size") * F.least(F.lit(most), raw)).alias("words"),
-                F.sum(F.when(raw < most, F.col("size") * raw).otherwise(0.0)).alias("slope"),
-            )
-        )
-        step = F.expr("ln(target / words) * if(slope > 0, words / nullif(slope, 0), 1)")
-        step = F.when((F.col("target") <= 0) | (F.col("words") <= 0), 0.0).when(F.abs(F.col("target") - F.col("words")) <= F.col("target") * tolerance, 0.0).otherwise(
-            F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step)))
-        duals = cut(off.select(
-            "source", F.when(F.col("target") > 0, F.col("dual") + step).otherwise(NEVER).alias("dual"), "target", step.alias("step")))
-        if not duals.filter("step != 0").limit(1).count():
-            break
-    return duals.select("source", "dual")
+    rate = f"least({float(most)}D, c.prior * exp(dual))"
+    words = f"aggregate(cells, 0D, (sum, c) -> sum + c.size * {rate})"
+    slope = f"aggregate(cells, 0D, (sum, c) -> sum + if(c.prior * exp(dual) < {float(most)}D, c.size * c.prior * exp(dual), 0D))"
+    newton = "greatest(-2D, least(2D, ln(target / now.words) * if(now.slope > 0, now.words / now.slope, 1D)))"
+    step = f"if(now.words <= 0 or abs(target - now.words) <= target * {tolerance!r}D, 0D, {newton})"
+    solved = f"aggregate(sequence(1, {rounds}), 0D, (dual, i) -> dual + transform(array(struct({words} AS words, {slope} AS slope)), now -> {step})[0])"
+    sources = cells.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("prior", "size"))).alias("cells"), F.max(F.col("target").cast("double")).alias("target"))
+    return cut(sources.select("source", F.expr(f"if(target > 0, {solved}, {NEVER}D)").alias("dual")))
 
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", priors: Sequence[tuple[int | None, float]] = PRIORS,
 ) -> DataFrame:
     """How many times (0 to ``most``) each document enters the mix: (doc_id, size, source, source_size, target, rate, copies, key).
 
-    Targets as in ``source_targets``. Rates are exponentially tilted from equal
-    priors (``tilt``) and rounded into whole copies by systematic sampling: in each
-    source, documents stand in order of falling size, and one has as many copies
-    as whole numbers the running sum of rates passes in it. Large documents
-    round first; the rest of a source then gets the rate that meets what is left
-    of its target, in ``STEPS`` steps down in size, so that a source misses its
+    Targets as in ``source_targets``. Rates are exponentially tilted from
+    ``priors`` by size (``tilt``), so that within a source they keep the priors' proportions up to ``most``, and
+    rounded into whole copies by systematic sampling: in each source, documents stand in order of falling size, and one has as many
+    copies as whole numbers the running sum of rates passes in it. Large documents
+    round first; the rates of the rest are then tilted again to meet what is left
+    of the target, in ``STEPS`` steps down in size, so that a source misses its
     target by a few of its smallest documents.
 
     Null text or text without words: size 0, never taken (0 words either way). Null source: a source
@@ -110,12 +100,12 @@ def mix(
     targets = cut(source_targets(sources.drop("largest"), weights, share, float(most)).withColumnRenamed("source", "s"))
     on = F.col("source").eqNullSafe(F.col("s"))
     side = F.broadcast if targets.count() <= MAX_BROADCAST else lambda x: x
-    cells = cut(sized.groupBy("source").agg(F.sum("size").cast("double").alias("size"), F.lit(1.0).alias("prior"))
-                .join(targets, on).select("source", "prior", "size", "target"))
-    duals = tilt(cells, float(most)).withColumnRenamed("source", "d")
-    rates = cut(targets.join(duals, F.col("s").eqNullSafe(F.col("d"))).select(
-        "s", "source_size", "target", F.least(F.lit(float(most)), F.exp("dual")).alias("rate")))
-    left = sized.join(side(rates), on).drop("s")
+    prior = F.lit(float(priors[-1][1]))
+    for upto, rate in reversed(priors[:-1]):
+        prior = F.when(F.col("size") <= upto, float(rate)).otherwise(prior)
+    left = sized.withColumn("prior", prior).join(side(targets), on).drop("s")
+    duals = tilt(_cells(left, "prior", F.first("target")), float(most)).withColumnRenamed("source", "d")
+    left = left.join(side(duals), F.col("source").eqNullSafe(F.col("d"))).withColumn("rate", F.least(F.lit(float(most)), F.col("prior") * F.exp("dual"))).drop("d", "dual", "prior")
     means = sized.filter("size > 0").groupBy("source").agg(F.avg("size").alias("mean")).withColumnRenamed("source", "m")
     left = cut(left.join(side(means), F.col("source").eqNullSafe(F.col("m")), "left").drop("m"))
 
@@ -130,16 +120,21 @@ def mix(
         if not bound:
             break
         rest = left.filter((F.col("size") <= F.col("mean") * bound) | F.col("mean").isNull())
-        need = (
-            rest.groupBy("source").agg(F.sum("size").alias("words"), F.first("target").alias("goal"), F.first("rate").alias("before"))
-            .join(_decided(done), F.col("source").eqNullSafe(F.col("t")), "left")
-            .select(F.col("source").alias("n"), F.when(F.col("words") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("goal") - F.coalesce(F.col("taken"), F.lit(0))) / F.nullif(F.col("words"), F.lit(0)))))
-                    .otherwise(F.col("before")).alias("new_rate"))
-        )
-        left = cut(rest.join(side(need), F.col("source").eqNullSafe(F.col("n"))).withColumn("rate", F.col("new_rate")).drop("n", "new_rate"))
+        goals = rest.groupBy("source").agg(F.sum("size").alias("words"), F.first("target").alias("goal")).join(
+            _decided(done), F.col("source").eqNullSafe(F.col("t")), "left")
+        goals = goals.select(F.col("source").alias("n"), F.greatest(F.lit(0.0), F.least(F.col("words") * float(most), F.col("goal") - F.coalesce(F.col("taken"), F.lit(0)))).alias("goal"))
+        cells = _cells(rest, "rate").join(side(goals), F.col("source").eqNullSafe(F.col("n"))).select("source", "prior", "size", F.col("goal").alias("target"))
+        duals = tilt(cells, float(most)).withColumnRenamed("source", "n")
+        rate = F.least(F.lit(float(most)), F.col("rate") * F.exp("dual"))
+        left = cut(rest.join(side(duals), F.col("source").eqNullSafe(F.col("n"))).withColumn("rate", rate).drop("n", "dual"))
     return done.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "key")
 
 
+def _cells(rows: DataFrame, rate: str, *others) -> DataFrame:
+    """(source, prior, size, [target]): the words of a source's documents with one rate; a source has a few rates, as many as there are priors."""
+    return cut(rows.groupBy("source", F.col(rate).alias("prior")).agg(F.sum("size").cast("double").alias("size"), *[x.alias("target") for x in others]))
+
+
 def _decided(done: DataFrame) -> DataFrame:
     """Words taken so far by source."""
     return done.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).withColumnRenamed("source", "t")
