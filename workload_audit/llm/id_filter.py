@@ -31,3 +31,14 @@ def build(ids: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
 def holds(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether the filter may hold the ids at ``places``."""
     return (words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def maybe(ids: DataFrame, *columns: Column) -> Column:
+    """A condition on other rows: whether their place, told by ``columns``, is that of a row of ``ids`` (place). The filter is one array of
+    BITS / 64 numbers, made by a grouped bit_or and read as a scalar subquery, so that rows stay in Spark."""
+    spark = ids.sparkSession
+    own = ids.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = spark.range(BITS // 64).join(own, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    dense = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])).scalar()
+    at = place(*columns)
+    return F.get(dense, F.shiftright(at, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0

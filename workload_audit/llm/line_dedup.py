@@ -161,7 +161,8 @@ def row_keys(df: DataFrame, doc_id: Column, text: Column, twins: DataFrame | Non
     if twins is None:
         return keyed.drop("_of")
     same = F.col("_of").eqNullSafe(F.col("twin_id")) & (F.col("_key") == F.col("twin_key"))
-    place = F.row_number().over(Window.partitionBy("_of", "_key").orderBy(F.lit(0)))
+    # by all that the row holds, so that a second reading numbers them alike
+    place = F.row_number().over(Window.partitionBy("_of", "_key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
     several = keyed.join(twins, same, "left_semi").withColumn("_place", place)
     several = several.withColumn("_key", F.when(F.col("_place") > 1, F.xxhash64("_key", "_place")).otherwise(F.col("_key"))).drop("_place")
     return keyed.join(twins, same, "left_anti").unionByName(several).drop("_of")
@@ -356,19 +357,23 @@ def dedup_lines(
     base = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("_at"))
     base = row_keys(base, F.col("_at"), F.col("row")[text_col], twins)
     nothing = F.array().cast("array<struct<line:int,near:boolean,kept_doc:long,kept_line:int>>")
-    whole = base.join(by_doc, F.col("_at").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left").select("row", F.coalesce("_dropped", nothing).alias("_dropped"))
+    # rows without a dropped line, most of them, pass as they are; the rest, and a few that share a bit with them, meet their lines
+    touched = id_filter.maybe(by_doc.select(id_filter.place(F.col("_id"), F.col("_row")).alias("place")), F.col("_at"), F.col("_key"))
+    met = base.filter(touched).join(by_doc, F.col("_at").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
     text = F.col("row")[text_col]
-    whole = settle(whole, {"_split": F.split(text, "\n", -1)})
+    whole = settle(met.select("row", F.coalesce("_dropped", nothing).alias("_dropped")), {"_split": F.split(text, "\n", -1)})
     stay = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.transform("_dropped", lambda d: d["line"]))
     kept = F.when(F.size("_dropped") == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_split", i)), "\n"))
-    added = {
-        "_lines": F.when(text.isNull(), 0).otherwise(F.size("_split")), "_dropped": F.col("_dropped"),
-        "_near": F.size(F.filter("_dropped", lambda d: d["near"])),
-    }
-    columns = [c for c in docs.columns if c not in added]
-    return whole.select(
-        *[kept.alias(c) if c == text_col else col for c, col in zip(columns, unwrapped(columns), strict=True)], *[c.alias(k) for k, c in added.items()]
-    )
+    near = F.size(F.filter("_dropped", lambda d: d["near"]))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def shaped(rows: DataFrame, own: Column, lines: Column, dropped: Column, near: Column) -> DataFrame:
+        added = {"_lines": F.when(text.isNull(), 0).otherwise(lines), "_dropped": dropped, "_near": near}
+        columns = [c for c in docs.columns if c not in added]
+        return rows.select(
+            *[own.alias(c) if c == text_col else col for c, col in zip(columns, unwrapped(columns), strict=True)], *[c.alias(k) for k, c in added.items()])
+
+    return shaped(whole, kept, F.size("_split"), F.col("_dropped"), near).unionByName(shaped(base.filter(~touched), text, breaks + 1, nothing, F.lit(0)))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
