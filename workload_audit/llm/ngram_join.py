@@ -295,7 +295,9 @@ def candidate_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     known = sets.select("d1", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     shared = shared.select("shingle", "d1", "at").repartition("d1").distinct().join(known, "d1")
     shared = shared.withColumn("before", F.lag("shingle").over(Window.partitionBy("d1", "doc_id").orderBy("at")))
-    shared = shared.withColumns({"least": F.min("component").over(by_shingle), "most": F.max("component").over(by_shingle)}).filter("least <> most")
+    # tiles of one component, or in which all have the same element ahead, make no pair
+    ends = {"least": F.min("component"), "most": F.max("component"), "low": F.min("before"), "high": F.max("before"), "ahead": F.count("before"), "all": F.count(F.lit(1))}
+    shared = shared.withColumns({name: value.over(by_shingle) for name, value in ends.items()}).filter("least <> most and (ahead < all or low <> high)")
     width = float(np.log(LINK[1] / LINK[0]))
     columns = ("doc_id", "n", "at", "before", "component", "band")
     shared = cut(shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")).select("shingle", *columns))
