@@ -22,7 +22,7 @@ LINK = (3, 4)
 BITMAP = 2048
 #: Documents that are compared with each other at once in the first step; larger groups are dealt into several.
 GROUP = 256
-#: Groups that are dealt, at most, the largest first; a group beyond these is compared as one.
+#: Groups that are dealt, at most, the largest first; a group beyond these is compared in runs of 4 * GROUP, and tiles tell what that leaves.
 MAX_DEALT = 1 << 16
 #: Shingles are counted in runs of about this many; a run tells of those in at least RUN_TIMES of its sets.
 RUN, RUN_TIMES = 4_000_000, 2
@@ -69,7 +69,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def links_within(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def links_within(ids: list, sets: list[np.ndarray]) -> Iterator[tuple]:
     """Links that join all linked documents of a small group; documents that are joined already aren't compared."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
@@ -105,7 +105,7 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
 
     def read(batches):
         run: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def told():
@@ -125,8 +125,8 @@ def set_table(texts: DataFrame, k: int) -> DataFrame:
                     continue
                 d1, d2 = _digest(own)
                 rows[i] = len(own), d1, d2, *minimal_hashes(own)
-                if d1 not in seen:  # copies count once in a run
-                    seen.add(d1)
+                if (d1, d2) not in seen:  # copies count once in a run
+                    seen.add((d1, d2))
                     run.append(own)
                     size += len(own)
                 if size >= RUN:
@@ -165,24 +165,27 @@ def _set_batch(ids, sizes, bits, sets):
 
 
 def _group_links(rows: DataFrame) -> DataFrame:
-    """Links (as digests) inside the groups (key, deal) of rows (key, deal, d1, own)."""
+    """Links (as digests) inside the groups (key, deal) of rows (key, deal, d1, d2, own). So many sets as 4 * GROUP are held and compared at once."""
 
     def compare(batches):
         at, sets, out = None, {}, []
         for batch in batches:
-            for key, deal, d1, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (key, deal) != at:
+            for key, deal, d1, d2, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key, deal) != at or len(sets) >= 4 * GROUP:
                     if len(sets) > 1:
                         out += links_within(list(sets), list(sets.values()))
                     at, sets = (key, deal), {}
-                sets[d1] = np.frombuffer(own, U64)
-            yield _link_batch(out)
+                sets[d1, d2] = np.frombuffer(own, U64)
+            yield told(out)
             out = []
         if len(sets) > 1:
             out += links_within(list(sets), list(sets.values()))
-        yield _link_batch(out)
+        yield told(out)
+
+    def told(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[i][j] for x in links], pa.int64()) for i in (0, 1) for j in (0, 1)], names=["a1", "a2", "b1", "b2"])
 
-    return rows.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(compare, "a long, b long")
+    return rows.repartition("key", "deal").sortWithinPartitions("key", "deal").mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long")
 
 
 def _link_batch(links):
@@ -206,8 +209,8 @@ def near_links(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     parts = {r["key"]: -(-r["n"] // GROUP) for r in most_frequent(often, "n", GROUP + 1, MAX_DEALT).collect()}
 
     def read(batches):
-        seen: set[int] = set()
-        names, kinds = ["key", "deal", "d1", "own"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        seen: set[tuple[int, int]] = set()
+        names, kinds = ["key", "deal", "d1", "d2", "own"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
         for batch in batches:
             rows, size = [], 0
@@ -218,23 +221,23 @@ def near_links(texts: DataFrame, sets: DataFrame, k: int) -> DataFrame:
                 wanted = [key for key in (m1, ~m2) if int(words[(key % id_filter.BITS) >> 6]) >> (key % 64) & 1]
                 if not wanted:
                     continue
-                d1, _ = _digest(own)
-                if d1 in seen:
+                d1, d2 = whole = _digest(own)
+                if whole in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen = set()
-                seen.add(d1)
+                seen.add(whole)
                 data = own.tobytes()
-                rows += [(key, (d1 ^ key) % parts.get(key, 1), d1, data) for key in wanted]
+                rows += [(key, (d1 ^ key) % parts.get(key, 1), d1, d2, data) for key in wanted]
                 size += len(data)
                 if size >= 4 << 20:
                     yield told(rows)
                     rows, size = [], 0
             yield told(rows)
 
-    links = _group_links(texts.select("text").mapInArrow(read, "key long, deal int, d1 long, own binary")).distinct()
-    one, other = (sets.select(F.col("d1").alias(x), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
-    return cut(links.join(one, "a").join(other, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    links = _group_links(texts.select("text").mapInArrow(read, "key long, deal int, d1 long, d2 long, own binary")).distinct()
+    one, other = (sets.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), F.col("doc_id").alias(f"{x}_id")) for x in "ab")
+    return cut(links.join(one, ["a1", "a2"]).join(other, ["b1", "b2"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
 def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
@@ -244,7 +247,7 @@ def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
     """
 
     def read(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         held = 0
         for batch in batches:
             parts: list[np.ndarray] = []
@@ -252,10 +255,10 @@ def tile_rows(texts: DataFrame, common: np.ndarray, k: int) -> DataFrame:
             for _, own in shingle_sets(batch.column(0), k):
                 if not len(own):
                     continue
-                d1, _ = _digest(own)
-                if d1 in seen:
+                d1, _ = whole = _digest(own)
+                if whole in seen:
                     continue
-                seen.add(d1)
+                seen.add(whole)
                 held += len(own)
                 if held >= RUN:
                     seen, held = set(), 0
