@@ -16,6 +16,7 @@ from workload_audit.llm.language_id import declared_language, fit_text_model, id
 from workload_audit.llm.line_dedup import dedup_lines, parity, signatures, within
 from workload_audit.llm.ngram_join import bitmap, index_length, least_overlap, links_within, may_link, near_duplicates, overlap, probe_length
 from workload_audit.llm.packing import pack, sweep, token_pieces
+from workload_audit.llm.storage import Rounds
 from workload_audit.llm.textops import shingle_sets
 from workload_audit.llm.tokens import WordIds, vocabulary_path
 
@@ -292,11 +293,13 @@ def test_short_lines_go_where_they_are_equal(spark, small):
     assert {r["doc_id"]: (len(r["_dropped"]), r["_near"]) for r in out} == {1: (1, 0), 2: (2, 0), None: (0, 0), 3: (2, 1)}
 
 
-def test_line_dedup_with_many_variants(spark, small, monkeypatch):
-    """Lines with common segments, more than a block of them, some within two edits and most not."""
+@pytest.mark.parametrize("block, hot", [(128, 1 << 16), (32, 0)])
+def test_line_dedup_with_many_variants(spark, small, monkeypatch, block, hot):
+    """Lines with common segments, more than a block of them, some within two edits and most not; hot keys told by the scan, or only when they meet."""
     from workload_audit.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "BLOCK", 128)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "MAX_HOT", hot)
     rng = random.Random(9)
     base = "the quick brown fox jumps over the lazy dog and runs far away from here"
     lines = [base]
@@ -311,6 +314,21 @@ def test_line_dedup_with_many_variants(spark, small, monkeypatch):
     assert Counter(map(tuple, out)) == _kept(rows, 2, 20)
 
 
+@pytest.mark.parametrize("block", [1 << 11, 16])
+def test_pairs_of_large_groups_are_all_pairs(spark, small, monkeypatch, block):
+    """A group that is passed on, refined and dealt gives the pairs that comparing it at once gives; rows of one line from several tasks count once."""
+    from workload_audit.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(key, 0, line, sum(1 << rng.randrange(32) for _ in range(3)) << 2 | rng.choice([2, 3])) for key, n in ((5, 400), (6, 90), (7, 2)) for line in range(key * 1000, key * 1000 + n)]
+    frame = spark.createDataFrame(rows + rows[:300], "key long, block int, line long, mark long").repartition(5)
+    with Rounds(spark) as rounds:
+        got = sorted(map(tuple, line_dedup.pair_rows(frame, 2, rounds).collect()))
+    alike = lambda x, y: x[0] == y[0] and x[3] & 1 | y[3] & 1 and ((x[3] ^ y[3]) >> 2).bit_count() <= 4
+    assert got == sorted((x[2], y[2]) for n, x in enumerate(rows) for y in rows[n + 1 :] if alike(x, y))
+
+
 def test_language_of_pages(spark, rows, edge_docs, no_docs):
     languages, model = fit_text_model(edge_docs)
     assert languages == sorted({r[2] for r in rows if r[1] is not None and r[2] is not None})

@@ -23,8 +23,11 @@ MAX_EDITS, MIN_CHARS = 2, 20
 BLOCK = 2048
 #: Keys are counted in runs of this many lines; a run tells of those that at least RUN_TIMES of its lines have.
 RUN, RUN_TIMES = 250_000, 8
-#: Hot keys that are dealt into blocks, at most, the hottest first. Any other key is one block.
+#: Hot keys that the scan refines at once, at most, the hottest first. So any other key has less than one in MAX_HOT of all rows; where
+#: it has many lines even so, they are told apart by what is refined and dealt in a second step.
 MAX_HOT = 1 << 16
+#: Bits of a parity's blocks: of lines within two edits, whose parities differ in four bits at most, one block is equal.
+PARITY_BLOCKS = (7, 7, 6, 6, 6)
 INDEX, PROBE = 1, 2
 KEY_MASK = (1 << 40) - 1
 U64 = np.uint64
@@ -105,6 +108,17 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(states[-1] >> (len(b) - len(a) + edits) & 1)
 
 
+def parity_blocks(edits: int) -> list[tuple[int, int]]:
+    """First bit and bits of 2 * edits + 1 blocks of a parity, of which lines within ``edits`` edits have an equal one."""
+    sizes = PARITY_BLOCKS if edits == 2 else [32 // (2 * edits + 1) + (i < 32 % (2 * edits + 1)) for i in range(2 * edits + 1)]
+    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+
+def refined(key: int, sign: int, edits: int) -> list[tuple[int, int]]:
+    """(key, block) of a line of a hot key: one for each block of its parity ``sign``, so that a line goes to a few groups, however many lines the key has."""
+    return [(key | (sign >> first & (1 << size) - 1) << 40, 1 + i) for i, (first, size) in enumerate(parity_blocks(edits))]
+
+
 def line_hash(line: str) -> tuple[int, int]:
     whole = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
     return _signed(whole >> 64), _signed(whole & (1 << 64) - 1)
@@ -125,7 +139,7 @@ def occurrences(texts: DataFrame, edits: int, least: int, exact: int) -> DataFra
 
     def read(batches):
         keys: list[int] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
 
         def told():
             values, times = np.unique(np.array(keys, U64), return_counts=True)
@@ -139,8 +153,8 @@ def occurrences(texts: DataFrame, edits: int, least: int, exact: int) -> DataFra
                     if len(line) >= exact:
                         h1, h2 = line_hash(line)
                         rows.append((0, h1, h2, doc, own, at))
-                        if len(line) >= least and h1 not in seen:
-                            seen.add(h1)
+                        if len(line) >= least and (h1, h2) not in seen:
+                            seen.add((h1, h2))
                             for i, (start, size) in enumerate(segments(len(line), edits)):
                                 keys.append(segment_key(line[start : start + size], len(line) * 16 + i))
                 if len(rows) >= 50_000:
@@ -168,58 +182,86 @@ def row_keys(df: DataFrame, doc_id: Column, text: Column, twins: DataFrame | Non
     return keyed.join(twins, same, "left_anti").unionByName(several).drop("_of")
 
 
-def key_rows(texts: DataFrame, hot: dict[int, int], edits: int, least: int) -> DataFrame:
+def key_rows(texts: DataFrame, hot: set[int], edits: int, least: int) -> DataFrame:
     """(key, block, line, mark) of each different line: its keys, and in ``mark`` its roles (2 bits) and its parity.
 
-    The lines of a hot key are dealt into as many parts as it has blocks; each pair of an index part and a probe part is a block of its own.
+    A line goes to block 0 of a key, and to the blocks of its parity where the key is ``hot``.
     """
+    hottest = np.array(sorted(hot), np.int64)
 
-    def told(keys, roles, lines, lows, counts, dealt):
+    def told(keys, roles, lines, lows, counts):
         line, mark = np.repeat(np.array(lines, np.int64), counts), np.repeat(np.array(lows, np.int64), counts) | np.array(roles, np.int64)
         key, block = np.array(keys, np.int64), np.zeros(len(keys), np.int32)
-        if dealt:
-            own = np.array(dealt, np.int64)
-            stay = ~np.isin(key, list(hot)) if hot else np.ones(len(key), bool)
-            key, block, line, mark = (np.concatenate([x[stay], own[:, i].astype(x.dtype)]) for i, x in enumerate((key, block, line, mark)))
+        dealt = np.isin(key, hottest)
+        if dealt.any():
+            rows = [(k, b, x, m) for own, x, m in zip(key[dealt].tolist(), line[dealt].tolist(), mark[dealt].tolist(), strict=True) for k, b in refined(own, m >> 2, edits)]
+            key, block, line, mark = (np.concatenate([x[~dealt], np.array(more, x.dtype)]) for x, more in zip((key, block, line, mark), zip(*rows, strict=True), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(line), pa.array(mark)], names=["key", "block", "line", "mark"])
 
     def read(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, roles, lines, lows, counts, dealt = [], [], [], [], [], []
+            keys, roles, lines, lows, counts = [], [], [], [], []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) < least:
                         continue
-                    h1, _ = line_hash(line)
-                    if h1 in seen:
+                    whole = line_hash(line)
+                    if whole in seen:
                         continue
                     if len(seen) >= 2 * RUN:
                         seen = set()
-                    seen.add(h1)
+                    seen.add(whole)
                     own = list(signatures(line, edits))
-                    lines.append(h1)
+                    lines.append(whole[0])
                     lows.append(parity(line) << 2)
                     counts.append(len(own))
                     for key, role in own:
                         keys.append(key)
                         roles.append(role)
-                        parts = hot.get(key)
-                        if parts:
-                            part = h1 % parts
-                            if role & INDEX:
-                                dealt += [(key, part * parts + p, h1, lows[-1] | INDEX) for p in range(parts)]
-                            dealt += [(key, p * parts + part, h1, lows[-1] | PROBE) for p in range(parts)]
                 if len(keys) >= 100_000:
-                    yield told(keys, roles, lines, lows, counts, dealt)
-                    keys, roles, lines, lows, counts, dealt = [], [], [], [], [], []
-            yield told(keys, roles, lines, lows, counts, dealt)
+                    yield told(keys, roles, lines, lows, counts)
+                    keys, roles, lines, lows, counts = [], [], [], [], []
+            yield told(keys, roles, lines, lows, counts)
 
     return texts.select("text").mapInArrow(read, "key long, block int, line long, mark long")
 
 
-def pair_rows(rows: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of lines that share a key and whose parities allow ``edits`` edits."""
+def pair_rows(rows: DataFrame, edits: int, rounds: Rounds) -> DataFrame:
+    """Pairs (a, b) of lines that share a key and whose parities allow ``edits`` edits.
+
+    A group (key, block) of more than 4 * BLOCK rows is not compared at first but passed on, row by row. What is passed on is refined
+    by the blocks of the parities, counted, and dealt into parts of about BLOCK lines; each pair of an index part and a probe part is a group of its own.
+    """
+    first = rounds.keep(_compared(rows.withColumn("part", F.lit(0)), edits, 4 * BLOCK))
+    left = first.filter("key is not null").select("key", "block", F.col("a").alias("line"), F.col("b").alias("mark"))
+    pairs = first.filter("key is null").select("a", "b")
+    if left.isEmpty():
+        return pairs.distinct()
+    blocks = [
+        F.struct(F.col("key").bitwiseOR(F.shiftleft(F.shiftright("mark", 2 + at).bitwiseAND(F.lit((1 << size) - 1).cast("long")), 40)).alias("key"), F.lit(1 + i).alias("block"))
+        for i, (at, size) in enumerate(parity_blocks(edits))
+    ]
+    own = F.when(F.col("block") == 0, F.array(*blocks)).otherwise(F.array(F.struct("key", "block")))
+    # a line that several tasks have seen counts once
+    left = rounds.keep(left.distinct().select(F.explode(own).alias("at"), "line", "mark").select("at.*", "line", "mark"))
+    large = left.groupBy("key", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    dealt = left.join(large, ["key", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    one_role = lambda role: F.col("mark").bitwiseAND(F.lit(-4).cast("long")).bitwiseOR(F.lit(role).cast("long"))
+    index = F.transform(every, lambda p: F.struct((F.col("own") * F.col("parts") + p).alias("part"), one_role(INDEX).alias("mark")))
+    probe = F.transform(every, lambda p: F.struct((p * F.col("parts") + F.col("own")).alias("part"), one_role(PROBE).alias("mark")))
+    nothing = F.array().cast("array<struct<part:int,mark:long>>")
+    has = lambda role: F.col("mark").bitwiseAND(F.lit(role).cast("long")) != 0
+    places = F.concat(F.when(has(INDEX), index).otherwise(nothing), F.when(has(PROBE), probe).otherwise(nothing))
+    dealt = dealt.select("key", "block", "line", F.explode(places).alias("to")).select("key", "block", "line", "to.mark", "to.part")
+    return pairs.unionByName(_compared(dealt, edits, None).select("a", "b")).distinct()
+
+
+def _compared(rows: DataFrame, edits: int, most: int | None) -> DataFrame:
+    """(a, b) of the pairs in the groups (key, block, part) of ``rows``, and (line, mark, key, block) of the rows of groups of more than ``most``."""
+    names, kinds = ["a", "b", "key", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run_pairs(line: np.ndarray, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         index, probe = np.flatnonzero(mark & INDEX), np.flatnonzero(mark & PROBE)
@@ -233,25 +275,41 @@ def pair_rows(rows: DataFrame, edits: int) -> DataFrame:
 
     def told(found):
         if not found:
-            return _batch(["a", "b"], [pa.int64()] * 2, [])
+            return _batch(names, kinds, [])
         a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), kinds[2]), pa.nulls(len(both), kinds[3])], names=names)
+
+    def passed(key, block, line, mark):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((line, mark, key, block.astype(np.int32)), kinds, strict=True)], names=names)
 
     def compare(batches):
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+        passing = None  # the group whose rows are passed on as they come
         for batch in batches:
-            key, block, line, mark = (np.concatenate([r, batch.column(i).to_numpy().astype(np.int64)]) for i, r in enumerate(rest))
+            columns = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
+            if passing is not None:
+                same = (columns[0] == passing[0]) & (columns[1] == passing[1]) & (columns[4] == passing[2])
+                if same.any():
+                    yield passed(*(x[same] for x in columns[:4]))
+                    columns = [x[~same] for x in columns]
+                if len(columns[0]):
+                    passing = None
+            key, block, line, mark, part = (np.concatenate([r, x]) for r, x in zip(rest, columns, strict=True))
             if not len(key):
                 continue
-            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
             starts = np.concatenate([[0], new])
-            rest = [x[starts[-1] :] for x in (key, block, line, mark)]  # the last group may go on in the next batch
-            yield told(groups(starts, line, mark))
-        yield told(groups(np.array([0, len(rest[0])]), rest[2], rest[3]))
-
-    def groups(starts: np.ndarray, line: np.ndarray, mark: np.ndarray):
-        """Pairs in all groups but the one at the last start."""
+            rest = [x[starts[-1] :] for x in (key, block, line, mark, part)]  # the last group may go on in the next batch
+            yield from groups(starts, key, block, line, mark)
+            if most and len(rest[0]) > most:
+                passing = tuple(int(rest[i][0]) for i in (0, 1, 4))
+                yield passed(*rest[:4])
+                rest = [x[:0] for x in rest]
+        yield from groups(np.array([0, len(rest[0])]), *rest[:4])
+
+    def groups(starts: np.ndarray, key: np.ndarray, block: np.ndarray, line: np.ndarray, mark: np.ndarray):
+        """What all groups but the one at the last start give."""
         size = np.diff(starts)
         two = starts[:-1][size == 2]
         found = []
@@ -262,52 +320,59 @@ def pair_rows(rows: DataFrame, edits: int) -> DataFrame:
             ok = either & near & (line[x] != line[y])
             found.append((line[x[ok]], line[y[ok]]))
         for s, n in zip(starts[:-1][size > 2], size[size > 2], strict=True):
-            found += run_pairs(line[s : s + n], mark[s : s + n])
-        return found
+            own = slice(s, s + n)
+            if most and n > most:
+                yield passed(key[own], block[own], line[own], mark[own])
+            else:
+                found += run_pairs(line[own], mark[own])
+        yield told(found)
 
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = rows.select("key", "block", "line", "mark", "part").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part")
+    return dealt.mapInArrow(compare, "a long, b long, key long, block int")
 
 
 def line_links(texts: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
-    """The pairs whose lines are within ``edits`` edits of each other."""
+    """Links (a, b) between lines within ``edits`` edits of each other, each told by both halves of its hash: of the pairs, which have the
+    first halves, every line with such a half is compared itself."""
     pairs = cut(pairs)
     ends = cut(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
 
     def verify(batches):
         for batch in batches:
-            ok = [within(x, y, edits) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            ok = [within(x, y, edits) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a1", "a2", "b1", "b2"])
 
     found = cut(wanted_lines(texts, ends, least))
-    one, other = (found.select(F.col("h1").alias(x), F.col("content").alias(f"x{x}")) for x in "ab")
-    return cut(pairs.join(one, "a").join(other, "b").select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long"))
+    one, other = (found.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("content").alias(f"x{x}")) for x in "ab")
+    met = pairs.select(F.col("a").alias("a1"), F.col("b").alias("b1")).join(one, "a1").join(other, "b1").select("a1", "a2", "b1", "b2", "xa", "xb")
+    linked = met.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    return cut(linked.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b")))
 
 
 def wanted_lines(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
-    """(h1, content) of the lines in ``ends``, once each: a scan through a filter of their hashes."""
+    """(h1, h2, content) of the lines in ``ends``, once each: a scan through a filter of their hashes."""
     words = id_filter.build(ends, "h1", hashed=True)
 
     def read(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for text in batch.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) >= least:
-                        h1 = line_hash(line)[0]
+                        h1, h2 = whole = line_hash(line)
                         at = h1 % id_filter.BITS
-                        if int(words[at >> 6]) >> (at & 63) & 1 and h1 not in seen:  # a frequent line once from each task
+                        if int(words[at >> 6]) >> (at & 63) & 1 and whole not in seen:  # a frequent line once from each task
                             seen = seen if len(seen) < RUN else set()
-                            seen.add(h1)
-                            rows.append((h1, line))
+                            seen.add(whole)
+                            rows.append((h1, h2, line))
                 if len(rows) >= 5_000:
-                    yield _batch(["h1", "content"], [pa.int64(), pa.string()], rows)
+                    yield _batch(["h1", "h2", "content"], [pa.int64(), pa.int64(), pa.string()], rows)
                     rows = []
-            yield _batch(["h1", "content"], [pa.int64(), pa.string()], rows)
+            yield _batch(["h1", "h2", "content"], [pa.int64(), pa.int64(), pa.string()], rows)
 
-    found = texts.select("text").mapInArrow(read, "h1 long, content string")
-    return found.join(ends, "h1", "left_semi").groupBy("h1").agg(F.min("content").alias("content"))
+    found = texts.select("text").mapInArrow(read, "h1 long, h2 long, content string")
+    return found.join(ends, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("content").alias("content"))
 
 
 def dedup_lines(
@@ -336,14 +401,14 @@ def dedup_lines(
     with Rounds(docs.sparkSession) as rounds:
         table = rounds.keep(occurrences(texts, edits, least, least if exact is None else min(exact, least)))
         counts = table.filter("kind = 1").groupBy("h1").agg(F.sum("h2").alias("n"))
-        hot = {r["h1"]: -(-r["n"] // BLOCK) for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
-        pairs = pair_rows(key_rows(texts, hot, edits, least), edits)
+        hot = {r["h1"] for r in most_frequent(counts, "n", BLOCK, MAX_HOT).collect()}
+        pairs = pair_rows(key_rows(texts, hot, edits, least), edits, rounds)
         links = line_links(texts, pairs, edits, least)
-        joined = components(links).select(F.col("node").alias("h1"), "component")
+        joined = components(links).select("node.h1", "node.h2", "component")
 
         places = table.filter("kind = 0").drop("kind")
         lines = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "line")).alias("first"))
-        lines = lines.join(joined, "h1", "left")
+        lines = lines.join(joined, ["h1", "h2"], "left")
         alone = lines.filter("component is null and n > 1").select("h1", "h2", F.col("first").alias("kept"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
         classed = lines.filter("component is not null")
         firsts = classed.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("f"))
