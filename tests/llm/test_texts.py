@@ -321,12 +321,12 @@ def test_pairs_of_large_groups_are_all_pairs(spark, small, monkeypatch, block):
 
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(block)
-    rows = [(key, 0, line, sum(1 << rng.randrange(32) for _ in range(3)) << 2 | rng.choice([2, 3])) for key, n in ((5, 400), (6, 90), (7, 2)) for line in range(key * 1000, key * 1000 + n)]
-    frame = spark.createDataFrame(rows + rows[:300], "key long, block int, line long, mark long").repartition(5)
+    rows = [(key, line, sum(1 << rng.randrange(32) for _ in range(3)) << 2 | rng.choice([2, 3])) for key, n in ((5, 400), (6, 90), (7, 2)) for line in range(key * 1000, key * 1000 + n)]
+    frame = spark.createDataFrame(rows + rows[:300], "key long, line long, mark long").repartition(5)
     with Rounds(spark) as rounds:
         got = sorted(map(tuple, line_dedup.pair_rows(frame, 2, rounds).collect()))
-    alike = lambda x, y: x[0] == y[0] and x[3] & 1 | y[3] & 1 and ((x[3] ^ y[3]) >> 2).bit_count() <= 4
-    assert got == sorted((x[2], y[2]) for n, x in enumerate(rows) for y in rows[n + 1 :] if alike(x, y))
+    alike = lambda x, y: x[0] == y[0] and x[2] & 1 | y[2] & 1 and ((x[2] ^ y[2]) >> 2).bit_count() <= 4
+    assert got == sorted((x[1], y[1]) for n, x in enumerate(rows) for y in rows[n + 1 :] if alike(x, y))
 
 
 def test_language_of_pages(spark, rows, edge_docs, no_docs):

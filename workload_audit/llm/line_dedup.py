@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ MAX_HOT = 1 << 16
 PARITY_BLOCKS = (7, 7, 6, 6, 6)
 INDEX, PROBE = 1, 2
 KEY_MASK = (1 << 40) - 1
+#: From this bit on a refined key has the number of its parity block, and a plain key nothing.
+REFINED = 56
 U64 = np.uint64
 
 
@@ -56,14 +59,21 @@ def signatures(line: str, edits: int) -> Iterator[tuple[int, int]]:
     such one, i edits at most lie before it and the others after it; so it has moved by no
     more than i places, and by no more than edits - i from where the difference in length would put it.
     """
-    n = len(line)
+    for at, end, seed, role in signature_places(len(line), edits):
+        yield segment_key(line[at:end], seed), role
+
+
+@lru_cache(maxsize=4096)
+def signature_places(n: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, seed, roles) of the keys of a line of ``n`` characters."""
+    out = []
     for shorter in range(min(edits, n - edits - 1) + 1):
         for i, (start, size) in enumerate(segments(n - shorter, edits)):
             low = max(start - i, start + shorter - (edits - i), 0)
             high = min(start + i, start + shorter + (edits - i), n - size)
             seed = (n - shorter) * 16 + i
-            for at in range(low, high + 1):
-                yield segment_key(line[at : at + size], seed), INDEX | PROBE if not shorter and at == start else PROBE
+            out += [(at, at + size, seed, INDEX | PROBE if not shorter and at == start else PROBE) for at in range(low, high + 1)]
+    return out
 
 
 def parity(line: str) -> int:
@@ -114,9 +124,9 @@ def parity_blocks(edits: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
 
 
-def refined(key: int, sign: int, edits: int) -> list[tuple[int, int]]:
-    """(key, block) of a line of a hot key: one for each block of its parity ``sign``, so that a line goes to a few groups, however many lines the key has."""
-    return [(key | (sign >> first & (1 << size) - 1) << 40, 1 + i) for i, (first, size) in enumerate(parity_blocks(edits))]
+def refined(key: int, sign: int, edits: int) -> list[int]:
+    """The keys of a line of a hot key: one for each block of its parity ``sign``, so that a line goes to a few groups, however many lines the key has."""
+    return [key | (sign >> first & (1 << size) - 1) << 40 | 1 + i << REFINED for i, (first, size) in enumerate(parity_blocks(edits))]
 
 
 def line_hash(line: str) -> tuple[int, int]:
@@ -183,20 +193,18 @@ def row_keys(df: DataFrame, doc_id: Column, text: Column, twins: DataFrame | Non
 
 
 def key_rows(texts: DataFrame, hot: set[int], edits: int, least: int) -> DataFrame:
-    """(key, block, line, mark) of each different line: its keys, and in ``mark`` its roles (2 bits) and its parity.
-
-    A line goes to block 0 of a key, and to the blocks of its parity where the key is ``hot``.
-    """
+    """(key, line, mark) of each different line: its keys, refined where they are ``hot``, and in ``mark`` its roles (2 bits) and its parity."""
     hottest = np.array(sorted(hot), np.int64)
+    hashed = xxhash.xxh3_64_intdigest
 
     def told(keys, roles, lines, lows, counts):
         line, mark = np.repeat(np.array(lines, np.int64), counts), np.repeat(np.array(lows, np.int64), counts) | np.array(roles, np.int64)
-        key, block = np.array(keys, np.int64), np.zeros(len(keys), np.int32)
+        key = np.array(keys, np.int64)
         dealt = np.isin(key, hottest)
         if dealt.any():
-            rows = [(k, b, x, m) for own, x, m in zip(key[dealt].tolist(), line[dealt].tolist(), mark[dealt].tolist(), strict=True) for k, b in refined(own, m >> 2, edits)]
-            key, block, line, mark = (np.concatenate([x[~dealt], np.array(more, x.dtype)]) for x, more in zip((key, block, line, mark), zip(*rows, strict=True), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(line), pa.array(mark)], names=["key", "block", "line", "mark"])
+            rows = [(k, x, m) for own, x, m in zip(key[dealt].tolist(), line[dealt].tolist(), mark[dealt].tolist(), strict=True) for k in refined(own, m >> 2, edits)]
+            key, line, mark = (np.concatenate([x[~dealt], np.array(more, x.dtype)]) for x, more in zip((key, line, mark), zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(mark)], names=["key", "line", "mark"])
 
     def read(batches):
         seen: set[tuple[int, int]] = set()
@@ -212,41 +220,40 @@ def key_rows(texts: DataFrame, hot: set[int], edits: int, least: int) -> DataFra
                     if len(seen) >= 2 * RUN:
                         seen = set()
                     seen.add(whole)
-                    own = list(signatures(line, edits))
+                    places = signature_places(len(line), edits)
                     lines.append(whole[0])
                     lows.append(parity(line) << 2)
-                    counts.append(len(own))
-                    for key, role in own:
-                        keys.append(key)
-                        roles.append(role)
+                    counts.append(len(places))
+                    keys += [hashed(line[at:end], seed) & KEY_MASK for at, end, seed, _ in places]
+                    roles += [role for _, _, _, role in places]
                 if len(keys) >= 100_000:
                     yield told(keys, roles, lines, lows, counts)
                     keys, roles, lines, lows, counts = [], [], [], [], []
             yield told(keys, roles, lines, lows, counts)
 
-    return texts.select("text").mapInArrow(read, "key long, block int, line long, mark long")
+    return texts.select("text").mapInArrow(read, "key long, line long, mark long")
 
 
 def pair_rows(rows: DataFrame, edits: int, rounds: Rounds) -> DataFrame:
     """Pairs (a, b) of lines that share a key and whose parities allow ``edits`` edits.
 
-    A group (key, block) of more than 4 * BLOCK rows is not compared at first but passed on, row by row. What is passed on is refined
+    A key's group of more than 4 * BLOCK rows is not compared at first but passed on, row by row. What is passed on is refined
     by the blocks of the parities, counted, and dealt into parts of about BLOCK lines; each pair of an index part and a probe part is a group of its own.
     """
-    first = rounds.keep(_compared(rows.withColumn("part", F.lit(0)), edits, 4 * BLOCK))
-    left = first.filter("key is not null").select("key", "block", F.col("a").alias("line"), F.col("b").alias("mark"))
+    first = rounds.keep(_compared(rows, edits, 4 * BLOCK))
+    left = first.filter("key is not null").select("key", F.col("a").alias("line"), F.col("b").alias("mark"))
     pairs = first.filter("key is null").select("a", "b")
     if left.isEmpty():
         return pairs.distinct()
-    blocks = [
-        F.struct(F.col("key").bitwiseOR(F.shiftleft(F.shiftright("mark", 2 + at).bitwiseAND(F.lit((1 << size) - 1).cast("long")), 40)).alias("key"), F.lit(1 + i).alias("block"))
+    own = [
+        F.col("key").bitwiseOR(F.shiftleft(F.shiftright("mark", 2 + at).bitwiseAND(F.lit((1 << size) - 1).cast("long")), 40)).bitwiseOR(F.lit(1 + i << REFINED))
         for i, (at, size) in enumerate(parity_blocks(edits))
     ]
-    own = F.when(F.col("block") == 0, F.array(*blocks)).otherwise(F.array(F.struct("key", "block")))
+    own = F.when(F.shiftright("key", REFINED) == 0, F.array(*own)).otherwise(F.array("key"))
     # a line that several tasks have seen counts once
-    left = rounds.keep(left.distinct().select(F.explode(own).alias("at"), "line", "mark").select("at.*", "line", "mark"))
-    large = left.groupBy("key", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
-    dealt = left.join(large, ["key", "block"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = rounds.keep(left.distinct().select(F.explode(own).alias("key"), "line", "mark"))
+    large = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    dealt = left.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     one_role = lambda role: F.col("mark").bitwiseAND(F.lit(-4).cast("long")).bitwiseOR(F.lit(role).cast("long"))
@@ -255,13 +262,14 @@ def pair_rows(rows: DataFrame, edits: int, rounds: Rounds) -> DataFrame:
     nothing = F.array().cast("array<struct<part:int,mark:long>>")
     has = lambda role: F.col("mark").bitwiseAND(F.lit(role).cast("long")) != 0
     places = F.concat(F.when(has(INDEX), index).otherwise(nothing), F.when(has(PROBE), probe).otherwise(nothing))
-    dealt = dealt.select("key", "block", "line", F.explode(places).alias("to")).select("key", "block", "line", "to.mark", "to.part")
+    # groups whose hashes meet by chance only make lines meet that then fail to match
+    dealt = dealt.select("key", "line", F.explode(places).alias("to")).select(F.xxhash64("key", "to.part").alias("key"), "line", "to.mark")
     return pairs.unionByName(_compared(dealt, edits, None).select("a", "b")).distinct()
 
 
 def _compared(rows: DataFrame, edits: int, most: int | None) -> DataFrame:
-    """(a, b) of the pairs in the groups (key, block, part) of ``rows``, and (line, mark, key, block) of the rows of groups of more than ``most``."""
-    names, kinds = ["a", "b", "key", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    """(a, b) of the pairs in the groups (key) of ``rows``, and (line, mark, key) of the rows of groups of more than ``most``."""
+    names, kinds = ["a", "b", "key"], [pa.int64()] * 3
 
     def run_pairs(line: np.ndarray, mark: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         index, probe = np.flatnonzero(mark & INDEX), np.flatnonzero(mark & PROBE)
@@ -278,37 +286,36 @@ def _compared(rows: DataFrame, edits: int, most: int | None) -> DataFrame:
             return _batch(names, kinds, [])
         a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), kinds[2]), pa.nulls(len(both), kinds[3])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=names)
 
-    def passed(key, block, line, mark):
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((line, mark, key, block.astype(np.int32)), kinds, strict=True)], names=names)
+    def passed(key, line, mark):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (line, mark, key)], names=names)
 
     def compare(batches):
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 5
-        passing = None  # the group whose rows are passed on as they come
+        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        passing = None  # the key whose rows are passed on as they come
         for batch in batches:
-            columns = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
-            if passing is not None:
-                same = (columns[0] == passing[0]) & (columns[1] == passing[1]) & (columns[4] == passing[2])
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            if passing is not None and len(columns[0]):
+                same = columns[0] == passing
                 if same.any():
-                    yield passed(*(x[same] for x in columns[:4]))
+                    yield passed(*(x[same] for x in columns))
                     columns = [x[~same] for x in columns]
                 if len(columns[0]):
                     passing = None
-            key, block, line, mark, part = (np.concatenate([r, x]) for r, x in zip(rest, columns, strict=True))
+            key, line, mark = (np.concatenate([r, x]) for r, x in zip(rest, columns, strict=True))
             if not len(key):
                 continue
-            new = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1])) + 1
-            starts = np.concatenate([[0], new])
-            rest = [x[starts[-1] :] for x in (key, block, line, mark, part)]  # the last group may go on in the next batch
-            yield from groups(starts, key, block, line, mark)
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            rest = [x[starts[-1] :] for x in (key, line, mark)]  # the last group may go on in the next batch
+            yield from groups(starts, key, line, mark)
             if most and len(rest[0]) > most:
-                passing = tuple(int(rest[i][0]) for i in (0, 1, 4))
-                yield passed(*rest[:4])
+                passing = int(rest[0][0])
+                yield passed(*rest)
                 rest = [x[:0] for x in rest]
-        yield from groups(np.array([0, len(rest[0])]), *rest[:4])
+        yield from groups(np.array([0, len(rest[0])]), *rest)
 
-    def groups(starts: np.ndarray, key: np.ndarray, block: np.ndarray, line: np.ndarray, mark: np.ndarray):
+    def groups(starts: np.ndarray, key: np.ndarray, line: np.ndarray, mark: np.ndarray):
         """What all groups but the one at the last start give."""
         size = np.diff(starts)
         two = starts[:-1][size == 2]
@@ -322,13 +329,12 @@ def _compared(rows: DataFrame, edits: int, most: int | None) -> DataFrame:
         for s, n in zip(starts[:-1][size > 2], size[size > 2], strict=True):
             own = slice(s, s + n)
             if most and n > most:
-                yield passed(key[own], block[own], line[own], mark[own])
+                yield passed(key[own], line[own], mark[own])
             else:
                 found += run_pairs(line[own], mark[own])
         yield told(found)
 
-    dealt = rows.select("key", "block", "line", "mark", "part").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part")
-    return dealt.mapInArrow(compare, "a long, b long, key long, block int")
+    return rows.select("key", "line", "mark").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, key long")
 
 
 def line_links(texts: DataFrame, pairs: DataFrame, edits: int, least: int) -> DataFrame:
