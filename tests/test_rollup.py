@@ -13,6 +13,7 @@ from workload_audit.functions.sketches import merged_sketch, rank_error, sketch_
 from workload_audit.operators import common, top_n
 from workload_audit.operators.anomalies import new_expensive_patterns
 from workload_audit.plans.registry import select_checks
+from workload_audit.plans.runner import checkpointed, with_shared_days
 from workload_audit.session import checkpoint_dir
 from workload_audit.streaming import archive, presence, rollup
 
@@ -52,6 +53,51 @@ def test_checks_over_a_rollup_equal_checks_over_the_log(spark, tables_small, cfg
             assert _rows(spec.fn(both, cfg)) == _rows(spec.fn(tables_small, cfg)), spec.key
 
 
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("other", [{}, {"include_internal": True, "exclude_users": ("svc_3",), "min_executions": 2, "regression_threshold_pct": 1}])
+def test_open_days_are_rolled_up_once_for_all_checks(spark, tables_small, cfg, rolled, other):
+    """No check reads the log itself, and each finds what it finds over the log."""
+    cfg = cfg.with_(**other)
+    both = with_shared_days(rollup.rolled_tables(spark, tables_small, rolled, cfg, dt.date(2024, 1, 27)), cfg, select_checks(), checkpointed)
+    for spec in select_checks():
+        if spec.uses_patterns:
+            df = spec.fn(both, cfg)
+            assert "events.parquet" not in _plan(df), spec.key
+            assert _rows(df) == _rows(spec.fn(tables_small, cfg)), spec.key
+
+
+def test_open_days_have_sketches_where_they_are_asked_for(spark, tables_small, cfg, rolled):
+    own = cfg.with_(approx_quantiles=True, top_n=1000)
+    both = with_shared_days(rollup.rolled_tables(spark, tables_small, rolled, own, dt.date(2024, 1, 27)), own, select_checks(), checkpointed)
+    for spec in select_checks(("top_n",)):
+        df = spec.fn(both, own)
+        assert "events.parquet" not in _plan(df), spec.key
+        assert {(r["query_text"], r["executions"]) for r in df.collect()} == {(r["query_text"], r["executions"]) for r in spec.fn(tables_small, own).collect()}
+
+
+def test_a_batch_is_read_twice(spark, tables_small, cfg):
+    """Once for its values, once for all else: numbers, texts, sketches and presence."""
+    log = tables_small.query_log
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rollup.put(log.mapInArrow(passed, log.schema), 0, _dir(spark, "reads"), cfg)
+    assert read.value == 2 * log.count()
+
+
+def test_the_key_of_an_event_is_told_once(tables_small, cfg):
+    """A filter on the text, which the fixture makes from the event's number, does not look for that number again."""
+    assert _plan(rollup.rolled(tables_small.query_log, cfg, ("numbers", "texts"))).count("regexp_extract(") == 1
+
+
 def test_a_rollup_of_other_thresholds_is_refused(spark, cfg, rolled):
     with pytest.raises(ValueError, match="rolled up with"):
         rollup.read_rollup(spark, rolled, cfg.with_(min_batch_size=5))

@@ -19,7 +19,7 @@ from ..streaming import compaction, presence, rollup
 from . import report as R
 from . import sinks
 from .registry import select_checks
-from .runner import build_checks, outcome_table, run_outcomes
+from .runner import build_checks, checkpointed, outcome_table, run_outcomes, with_shared_days
 
 
 def _checks(tables: LogTables, cfg: AuditConfig):
@@ -194,8 +194,9 @@ def archive_compact(spark: SparkSession, tables: LogTables, cfg: AuditConfig) ->
 
 def _pattern_checks(tables: LogTables, cfg: AuditConfig, also: tuple[str, ...] = ()) -> DataFrame:
     """The checks that rank patterns (and those named), value by value."""
-    own = {(s.category, s.name): s.fn(tables, cfg) for s in select_checks() if s.uses_patterns or s.name in also}
-    return R.values(R.settled(own))
+    specs = [s for s in select_checks() if s.uses_patterns or s.name in also]
+    tables = with_shared_days(tables, cfg, specs, checkpointed)
+    return R.values(R.settled({(s.category, s.name): s.fn(tables, cfg) for s in specs}))
 
 
 def archive_checks(spark: SparkSession, tables: LogTables, cfg: AuditConfig) -> DataFrame:

@@ -27,7 +27,7 @@ from ..config import AuditConfig
 from ..session import checkpoint_dir
 from ..sources.logs import LogTables
 from ..streaming import files
-from ..streaming.rollup import rollup_of
+from ..streaming.rollup import rollup_of, with_open_days
 from .registry import CheckSpec, select_checks
 
 log = logging.getLogger(__name__)
@@ -62,17 +62,28 @@ def base_days(cfg: AuditConfig) -> int:
     return 2 * cfg.lookback_days
 
 
-def _shares(tables: LogTables, specs: list[CheckSpec]) -> bool:
-    return tables.query_log is not None and tables.rollup is None and sum(s.uses_patterns for s in specs) > 1
+def with_shared_days(tables: LogTables, cfg: AuditConfig, specs: list[CheckSpec], keep: Callable[[DataFrame], DataFrame]) -> LogTables:
+    """``tables`` with the days of a run rolled up: all, or the open ones of a rollup. Kept by ``keep``, once for all of its checks."""
+    if tables.query_log is None or sum(s.uses_patterns for s in specs) < 2:
+        return tables
+    if tables.rollup is None:
+        return tables.with_(rollup=rollup_of(tables.query_log, cfg, base_days(cfg), keep))
+    if tables.rollup.closed_before is None:
+        return tables
+    return tables.with_(rollup=with_open_days(tables.rollup, tables.query_log, cfg, base_days(cfg), keep))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def build_checks(tables: LogTables, cfg: AuditConfig, *, share_base: bool = True) -> dict[tuple[str, str], DataFrame]:
     """The selected checks as DataFrames keyed by (category, name). A check whose plan cannot be built (e.g. a missing input) is
     skipped. With ``share_base`` the days are rolled up first, by a job, into checkpoints; the checks themselves start none."""
     specs = select_checks(cfg.only_categories)
-    if share_base and _shares(tables, specs):
-        checkpoint_dir(tables.query_log.sparkSession)
-        tables = tables.with_(rollup=rollup_of(tables.query_log, cfg, base_days(cfg), lambda df: df.checkpoint()))
+    if share_base:
+        tables = with_shared_days(tables, cfg, specs, checkpointed)
     out: dict[tuple[str, str], DataFrame] = {}
     for spec in specs:
         try:
@@ -143,16 +154,16 @@ def run_outcomes(
         log.warning("no checks selected (categories: %s)", cfg.only_categories)
         return []
     folder = None
-    if share_base and _shares(tables, specs):
-        spark = tables.query_log.sparkSession
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
-        def keep(df: DataFrame) -> DataFrame:
-            at = f"{folder}/{uuid.uuid4().hex}"
-            df.write.parquet(at)
-            return spark.read.parquet(at)
+    def keep(df: DataFrame) -> DataFrame:
+        nonlocal folder
+        folder = folder or f"{checkpoint_dir(df.sparkSession).rstrip('/')}/run-{uuid.uuid4().hex}"
+        at = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return df.sparkSession.read.parquet(at)
 
-        tables = tables.with_(rollup=rollup_of(tables.query_log, cfg, base_days(cfg), keep))
+    if share_base:
+        tables = with_shared_days(tables, cfg, specs, keep)
 
     def run_one(spec: CheckSpec) -> Outcome:
         budget = (budgets or {}).get(spec.key, seconds)
@@ -175,7 +186,7 @@ def run_outcomes(
             return list(pool.map(run_one, specs))
     finally:
         if folder:
-            files.delete(spark, folder)
+            files.delete(tables.query_log.sparkSession, folder)
 
 
 def outcome_table(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:

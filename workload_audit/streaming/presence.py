@@ -23,16 +23,25 @@ EPOCH = dt.date(1970, 1, 1)
 
 def day_bits(query_log: DataFrame, cfg: AuditConfig) -> DataFrame:
     """(pattern, user, block, days) of the finished queries that C6 looks at, of any user."""
-    rows = query_log.where((F.col("is_initial_query") == 1) & not_self_query(cfg.extra_self_patterns) & finished() & kind_is_not("Insert") & F.col("event_date").isNotNull())
-    days = rows.select(HASH, F.coalesce("user", F.lit("")).alias("user"), F.unix_date("event_date").alias("_day"))
+    return bits_of(query_log.where((F.col("is_initial_query") == 1) & not_self_query(cfg.extra_self_patterns)))
+
+
+def bits_of(rows: DataFrame) -> DataFrame:
+    """``day_bits`` of rows of the audited population: those of the log, or one for each day, pattern, user, kind and type."""
+    kept = rows.where(finished() & kind_is_not("Insert") & F.col("event_date").isNotNull())
+    days = kept.select(HASH, F.coalesce("user", F.lit("")).alias("user"), F.unix_date("event_date").alias("_day"))
     bit = F.expr(f"shiftleft(1L, cast(pmod(_day, {BLOCK_DAYS}) as int))")
     return days.groupBy(HASH, "user", F.expr(f"cast(floor(_day / {BLOCK_DAYS}) as bigint)").alias("block")).agg(F.bit_or(bit).alias("days"))
 
 
 def put(df: DataFrame, batch_id: int, path: str, cfg: AuditConfig) -> None:
     """The bits of one batch of log rows, in that batch's own partition."""
-    bits = day_bits(conform(df, "query_log"), cfg).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-    bits.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    put_bits(day_bits(conform(df, "query_log"), cfg), batch_id, path)
+
+
+def put_bits(bits: DataFrame, batch_id: int, path: str) -> None:
+    kept = bits.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
 def read_presence(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ Four tables below one folder, each partitioned by ``event_date`` and ``batch_id`
 
 All of it merges: sums of sums, maxima of maxima, sketches of sketches. ``put`` writes one batch of log rows into that batch's own
 partitions, so a batch that is replayed replaces itself, and late rows of an old day simply add a batch to it.
-Checks read the rollup for days before ``closed_before`` and the log for the open ones.
+Checks read the rollup for days before ``closed_before`` and the log for the open ones, which a run of several checks rolls up first.
 
 Populations depend on some thresholds (how many parts are many, and so on). They are recorded beside the
 tables; reading a rollup with other ones is refused.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,19 +82,40 @@ def _population(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
 _OPS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def numbers(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """``numbers`` of log rows, with one struct per group of ``GROUPS``: n and each measure as ``sum_read_bytes`` and so on."""
-    aggs = []
-    for group, (condition, measures) in GROUPS.items():
-        own = condition(cfg) if condition else F.lit(True)
-        aggs.append(F.struct(F.count_if(own).alias("n"), *[_OPS[op](F.when(own, F.col(c))).alias(f"{op}_{c}") for op, c in measures]).alias(group))
-    return _population(rows, cfg).groupBy(*ROLLED_KEYS).agg(*aggs)
+def _numbers() -> dict[str, Column]:
+    """Aggregates of ``numbers``: one struct per group of ``GROUPS``, n and each measure as ``sum_read_bytes`` and so on."""
+    out = {}
+    for group, (_, measures) in GROUPS.items():
+        own = F.col(f"_is_{group}")
+        out[group] = F.struct(F.count_if(own).alias("n"), *[_OPS[op](F.when(own, F.col(c))).alias(f"{op}_{c}") for op, c in measures])
+    return out
 
 
-def texts(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """``texts`` of log rows: a text per group."""
-    aggs = [F.min(F.when(condition(cfg), F.col("query")) if condition else F.col("query")).alias(group) for group, (condition, _) in GROUPS.items()]
-    return _population(rows, cfg).groupBy(*ROLLED_KEYS).agg(*aggs)
+def _texts() -> dict[str, Column]:
+    """Aggregates of ``texts``: a text per group."""
+    return {group: F.min(F.when(F.col(f"_is_{group}"), F.col("query"))) for group in GROUPS}
+
+
+def _sketches(k: int = DEFAULT_K) -> dict[str, Column]:
+    """Aggregates of ``sketches``, per user too, so that excluded users can be left out when reading."""
+    return {c: sketch_of(F.when(condition(), F.col(c)), k) for c, condition in VALUES.items()}
+
+
+#: The aggregates of three of the tables; all of them are taken in one read of a batch.
+AGGREGATES: dict[str, Callable[[], dict[str, Column]]] = {"numbers": _numbers, "texts": _texts, "sketches": _sketches}
+
+
+def rolled(rows: DataFrame, cfg: AuditConfig, tables: Sequence[str]) -> DataFrame:
+    """The aggregates of ``tables`` over log rows from one read: the keys, and a struct per table."""
+    kept = _population(rows, cfg).withColumns({f"_is_{group}": condition(cfg) if condition else F.lit(True) for group, (condition, _) in GROUPS.items()})
+    per = kept.groupBy(*ROLLED_KEYS).agg(*[a.alias(f"{name}_{c}") for name in tables for c, a in AGGREGATES[name]().items()])
+    return per.select(*ROLLED_KEYS, *[F.struct(*[F.col(f"{name}_{c}").alias(c) for c in AGGREGATES[name]()]).alias(name) for name in tables])
+
+
+def table_of(rows: DataFrame, name: str) -> DataFrame:
+    """One of the tables of ``rolled`` rows. The sums of ``sketches`` are those that ``numbers`` has of every row."""
+    sums = [F.col(f"numbers.every.{c}") for c in ("n", "sum_read_bytes", "max_query_duration_ms", "max_memory_usage")] if name == "sketches" else []
+    return rows.select(*ROLLED_KEYS, f"{name}.*", *sums)
 
 
 def values(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
@@ -105,16 +125,6 @@ def values(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
     return spread.groupBy(*ROLLED_KEYS, F.col("v.what").alias("what"), F.col("v.x").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("read_bytes").alias("read_bytes"))
 
 
-def sketches(rows: DataFrame, cfg: AuditConfig, k: int = DEFAULT_K) -> DataFrame:
-    """``sketches`` of log rows, per user too, so that excluded users can be left out when reading."""
-    own = [sketch_of(F.when(condition(), F.col(c)), k).alias(c) for c, condition in VALUES.items()]
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("read_bytes").alias("sum_read_bytes"), F.max("query_duration_ms").alias("max_query_duration_ms"), F.max("memory_usage").alias("max_memory_usage")]
-    return _population(rows, cfg).groupBy(*ROLLED_KEYS).agg(*own, *sums)
-
-
-ROLL = {"numbers": numbers, "texts": texts, "values": values, "sketches": sketches}
-
-
 def spec(cfg: AuditConfig) -> dict:
     """The thresholds that the populations depend on."""
     return {"min_parts_threshold": cfg.min_parts_threshold, "max_result_rows": cfg.max_result_rows, "min_batch_size": cfg.min_batch_size, "self": sorted(cfg.extra_self_patterns)}
@@ -131,15 +141,27 @@ def _check_spec(spark: SparkSession, path: str, cfg: AuditConfig, write: bool) -
 
 
 def put(df: DataFrame, batch_id: int, path: str, cfg: AuditConfig) -> None:
-    """Roll up one batch of log rows into its own partitions of the tables below ``path``; a replay replaces them."""
+    """Roll up one batch of log rows into its own partitions of the tables below ``path``; a replay replaces them.
+
+    The batch is read twice: for its values, and for all that is one row per key. Those rows, not the log's, are kept
+    until the tables that are made from them are written.
+    """
     spark = df.sparkSession
     _check_spec(spark, path, cfg, write=True)
-    rows = conform(df, "query_log")
-    for name, roll in ROLL.items():
-        rolled = roll(rows, cfg).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-        writer = rolled.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", HASH).write.mode("overwrite")
+    log = conform(df, "query_log")
+
+    def write(name: str, rows: DataFrame) -> None:
+        own = rows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+        writer = own.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", HASH).write.mode("overwrite")
         writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(f"{path.rstrip('/')}/{name}")
-    presence.put(rows, batch_id, f"{path.rstrip('/')}/presence", cfg)
+
+    per = rolled(log, cfg, tuple(AGGREGATES)).persist()
+    try:
+        for name in TABLES:
+            write(name, values(log, cfg) if name == "values" else table_of(per, name))
+        presence.put_bits(presence.bits_of(per), batch_id, f"{path.rstrip('/')}/presence")
+    finally:
+        per.unpersist()
 
 
 @dataclass(frozen=True)
@@ -205,7 +227,19 @@ def rolled_tables(spark: SparkSession, tables: LogTables, path: str, cfg: AuditC
 
 
 def rollup_of(query_log: DataFrame, cfg: AuditConfig, days: int, keep: Callable[[DataFrame], DataFrame]) -> Rollup:
-    """A rollup of the last ``days`` days for one run: numbers and texts, each kept by ``keep``; quantiles still come from the log."""
-    rows = query_log.where(P.since_day(cfg, days))
-    with ThreadPoolExecutor(max_workers=2, thread_name_prefix="audit-rollup") as pool:
-        return Rollup(*pool.map(lambda roll: keep(roll(rows, cfg)), (numbers, texts)))
+    """A rollup of the last ``days`` days for one run: numbers and texts, from one read and kept by ``keep``; quantiles still come from the log."""
+    per = keep(rolled(query_log.where(P.since_day(cfg, days)), cfg, ("numbers", "texts")))
+    return Rollup(table_of(per, "numbers"), table_of(per, "texts"))
+
+
+def with_open_days(closed: Rollup, query_log: DataFrame, cfg: AuditConfig, days: int, keep: Callable[[DataFrame], DataFrame]) -> Rollup:
+    """``closed`` with the open ones of the last ``days`` days, rolled up for one run and kept by ``keep``: instead of once or more by
+    each check, the log of these days is read twice, for the values and for the rest."""
+    rows = query_log.where(P.since_day(cfg, days) & (F.col("event_date") >= F.lit(closed.closed_before)))
+    own = ["numbers", "texts", *(["sketches"] if closed.sketches is not None and cfg.approx_quantiles else [])]
+    per = keep(rolled(rows, cfg, own))
+    # The checks of a run take quantiles from values or from sketches, never from both.
+    fresh = {name: table_of(per, name) for name in own} | ({"values": keep(values(rows, cfg))} if closed.values is not None and not cfg.approx_quantiles else {})
+    both = lambda name, old: old.where(F.col("event_date") < F.lit(closed.closed_before)).select(fresh[name].columns).unionByName(fresh[name])
+    told = {name: both(name, old) if name in fresh else old for name, old in (("values", closed.values), ("sketches", closed.sketches))}
+    return Rollup(both("numbers", closed.numbers), both("texts", closed.texts_table), **told)
