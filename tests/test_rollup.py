@@ -79,9 +79,8 @@ def test_open_days_have_sketches_where_they_are_asked_for(spark, tables_small, c
         assert {(r["query_text"], r["executions"]) for r in df.collect()} == {(r["query_text"], r["executions"]) for r in spec.fn(tables_small, own).collect()}
 
 
-def test_a_batch_is_read_twice(spark, tables_small, cfg):
-    """Once for its values, once for all else: numbers, texts, sketches and presence."""
-    log = tables_small.query_log
+def _counted_reads(spark, log):
+    """``log``, and how many of its rows have been read so far."""
     read = spark.sparkContext.accumulator(0)
 
     def passed(batches):
@@ -89,8 +88,29 @@ def test_a_batch_is_read_twice(spark, tables_small, cfg):
             read.add(batch.num_rows)
             yield batch
 
-    rollup.put(log.mapInArrow(passed, log.schema), 0, _dir(spark, "reads"), cfg)
-    assert read.value == 2 * log.count()
+    return log.mapInArrow(passed, log.schema), read
+
+
+def test_a_batch_is_read_twice(spark, tables_small, cfg):
+    """Once for its values, once for all else: numbers, texts, sketches and presence."""
+    log, read = _counted_reads(spark, tables_small.query_log)
+    rollup.put(log, 0, _dir(spark, "reads"), cfg)
+    assert read.value == 2 * tables_small.query_log.count()
+
+
+def test_the_rollup_of_a_run_is_one_read(spark, tables_small, cfg):
+    log, read = _counted_reads(spark, tables_small.query_log)
+    own = rollup.rollup_of(log, cfg, 40, checkpointed)
+    assert own.numbers.count() == own.texts_table.count() > 0
+    assert read.value == tables_small.query_log.count()
+
+
+def test_merged_parts_are_named_without_a_lambda(spark, tables_small):
+    """The part log's list of merged parts is the texts of 0 to the line's number, in generated code alone."""
+    merges = tables_small.part_log.where("event_type = 'MergeParts'")
+    assert "lambda" not in _plan(merges)
+    for row in merges.select("part_name", "merged_from").limit(50).collect():
+        assert row["merged_from"] == [str(i) for i in range(int(row["part_name"].rsplit("_", 1)[1]) + 1)]
 
 
 def test_the_key_of_an_event_is_told_once(tables_small, cfg):

@@ -114,7 +114,7 @@ def part_log_from_lineitem(lineitem: DataFrame) -> DataFrame:
         (F.col("l_quantity").cast("bigint") * 100).alias("bytes_uncompressed"),
         (F.round("l_extendedprice").cast("bigint") * (sk % 3 + 1)).alias("duration_ms"),
         F.when(new_part, F.array().cast("array<string>"))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.col("l_linenumber")), lambda x: x.cast("string")))
+        .otherwise(F.sequence(F.lit(0), F.col("l_linenumber")).cast("array<string>"))
         .alias("merged_from"),
     )
     return conform(out, "part_log")
