@@ -171,6 +171,40 @@ def test_word_ids_equal_encode(rows):
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == whole(text), repr(text)
 
 
+def test_parts_of_words_are_computed_once(monkeypatch):
+    ids = WordIds(vocabulary_path())
+    whole = lambda t: ids.tokenizer.encode(t, add_special_tokens=False).ids
+    asked: Counter = Counter()
+    compute = ids.compute
+    monkeypatch.setattr(ids, "compute", lambda word: asked.update([word]) or compute(word))
+    cases = [w + end for w in ("there", "There", "THERE", "déjà", "DÉJÀ") for end in ("", ".", ",", "...", "'s", "'LL.", "7", "77,")]
+    text = " ".join(cases * 3) + "\n" + "\t".join(cases)
+    assert np.frombuffer(ids.encode(text), "<u4").tolist() == whole(text)
+    assert asked == Counter(["there", "déjà", ".", ",", "...", "'s", "'ll", "7"])
+
+
+def test_texts_encoded_together():
+    ids = WordIds(vocabulary_path())
+    whole = lambda t: ids.tokenizer.encode(t, add_special_tokens=False).ids
+    rng = random.Random(7)
+    letters = [*"abAB Z  \n\t''sdḿé×÷ÀÞßÿİſ0١中😀\x00\x7f\r.,-", "'re", "'VE", "'ll", "Ｋ", "H̱", "<|endoftext|>", "<|ENDOFTEXT|>", " <|startoftext|>"]
+    for _ in range(500):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
+        data, ends = ids.encode_all(texts)
+        assert [data[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [whole(t) for t in texts], texts
+
+
+def test_pieces_of_several_runs(spark, small):
+    the = WordIds(vocabulary_path()).tokenizer.encode("the", add_special_tokens=False).ids
+    words = [0, 2_300_000, 3, 2047, 2048, 1_200_000, 1, 5]  # more bytes than are encoded together, in one batch
+    docs = spark.createDataFrame([(i, "The " * n if n else None) for i, n in enumerate(words)], "doc_id long, text string").coalesce(1)
+    want = Counter()
+    for i, n in enumerate(words):
+        ids = np.array([*the * n, 0], "<u4")
+        want.update((i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048])) for k, a in enumerate(range(0, len(ids), 2048)))
+    assert Counter(map(tuple, token_pieces(docs).collect())) == want
+
+
 def test_pieces_and_packing(rows, edge_docs, no_docs):
     tokenizer = WordIds(vocabulary_path()).tokenizer
     want = Counter()

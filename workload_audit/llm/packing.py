@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .storage import cut
 from .tokens import vocabulary_path, word_ids
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of texts that are encoded together; a run can be larger by its first text.
+RUN_BYTES = 1 << 23
 
 
 def token_pieces(
@@ -27,17 +30,24 @@ def token_pieces(
 
     def cut_up(batches):
         ids = word_ids(path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids.encode(text.as_py() or "") + end
-                for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[a : a + 4 * capacity]
-                    rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = pc.fill_null(batch.column(1), "")
+            run = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // RUN_BYTES
+            bounds = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)] if len(run) else []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                data, ends = ids.encode_all(texts[a:b].to_pylist())
+                data = np.insert(data, ends[1:], end_id)
+                ends = ends + np.arange(b - a + 1)
+                sizes = np.diff(ends)
+                n = -(-sizes // capacity)
+                doc = np.repeat(np.arange(b - a), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                at = ends[doc] + start
+                crc = [zlib.crc32(data[x:y]) for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(a + doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, PIECES)
 
